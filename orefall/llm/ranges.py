@@ -18,8 +18,8 @@ from orefall.llm.common import deal_by_range, id_bounds, shuffle_partitions
 DEALT = "part int, halo int, doc_id long, payload binary"
 
 
-def dealt_texts(docs: DataFrame, halo: bool = False, parts: int | None = None) -> DataFrame:
-    """(part, halo, doc_id, payload): texts packed with zstd, partition number = range number.
+def dealt_texts(docs: DataFrame, halo: bool = False, parts: int | None = None, pack: bool = True) -> DataFrame:
+    """(part, halo, doc_id, payload): texts packed with zstd or as plain UTF-8, partition number = range number.
 
     Null ids come before all others and null texts count as empty. With ``halo``, each
     range also gets, marked 1, the rows of the id just below it (the lowest range: the rows
@@ -32,14 +32,15 @@ def dealt_texts(docs: DataFrame, halo: bool = False, parts: int | None = None) -
     if bounds and top is not None and bounds[-1] >= top:
         bounds.pop()
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         zip_ = zstandard.ZstdCompressor(level=3)
         for b in batches:
             ids = b.column("doc_id")
             part = deal_by_range(bounds, ids)
-            packed = pa.array([zip_.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column("text").to_pylist()], pa.binary())
+            text = b.column("text").fill_null("").cast(pa.binary())
+            packed = pa.array(map(zip_.compress, text.to_pylist()), pa.binary()) if pack else text
             batch = pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.zeros(len(part), np.int32)), ids, packed], names=["part", "halo", "doc_id", "payload"])
             yield batch
             if not halo:
@@ -55,4 +56,4 @@ def dealt_texts(docs: DataFrame, halo: bool = False, parts: int | None = None) -
                 more = batch.take(pa.array(wrap))
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(wrap), np.int32)), pa.array(np.ones(len(wrap), np.int32)), more.column(2), more.column(3)], names=batch.schema.names)
 
-    return docs.mapInArrow(pack, DEALT).repartitionById(len(bounds) + 1, F.col("part"))
+    return docs.mapInArrow(spread, DEALT).repartitionById(len(bounds) + 1, F.col("part"))

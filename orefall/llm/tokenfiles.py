@@ -4,9 +4,9 @@ Texts are dealt to ascending ranges of doc_id, sorted, encoded and written, one
 range. ORC's own statistics and Bloom filters then let a reader take stripes in parallel and
 skip those that cannot hold a wanted document.
 
-Encoding is by the tokenizers library. Texts are cut only before a single blank between two
-non-blank characters, where this pre-tokenizer always cuts, so that an encoded piece can be
-kept and used again; a bounded store of pieces stays with the worker.
+Encoding is by the tokenizers library. Texts are cut only where this pre-tokenizer always
+cuts, so that an encoded piece can be kept and used again; a bounded store of pieces stays
+with the worker.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from orefall.llm.common import maybe_broadcast, shared_dir
 from orefall.llm.ranges import dealt_texts
 
 END_ID = 2
-KEEP_PIECES = 400_000
+KEEP_PIECES = 600_000
 FILE_SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids array<int>"
 
 _encoders: dict[str, tuple] = {}
@@ -38,17 +39,28 @@ def _encoder(path: str) -> tuple:
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        _encoders[path] = (tokenizer, {})
+        _encoders[path] = (tokenizer, {}, tokenizer.encode("\n", add_special_tokens=False).ids[0])
     return _encoders[path]
 
 
+MARK = "\x01"
+
+
 def safe_pieces(text: str) -> list[str]:
-    """Cuts ``text`` before each blank that stands between two non-blank characters; joined, the pieces are the text."""
+    """Cuts ``text`` where this pre-tokenizer always cuts; joined, the pieces are the text.
+
+    Where each blank or line feed stands alone between other characters, there is a cut
+    before each blank and on both sides of each line feed. Other texts are cut only before
+    blanks that stand alone.
+    """
+    if MARK not in text:
+        pieces = text.replace("\n", "\x01\n\x01").replace(" ", "\x01 ").split(MARK)
+        # Nothing else is white space, and no two of them stand together or at an end.
+        if sum(map(len, text.split())) == len(text) - text.count(" ") - text.count("\n") and "" not in pieces and " " not in pieces:
+            return pieces
     pieces = text.split(" ")
     for i in range(1, len(pieces)):
         pieces[i] = " " + pieces[i]
-    if "" not in pieces[:1] and not any(p[-1].isspace() or p[1:2].isspace() for p in pieces):
-        return pieces
     out: list[str] = []
     glue = True
     for p in pieces:
@@ -61,23 +73,70 @@ def safe_pieces(text: str) -> list[str]:
     return out
 
 
+TAIL = ".,;:!?"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 for itself, the others from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_LETTERS = _byte_letters()
+_BLANK = _LETTERS[32]
+
+
+def _encode_missing(tokenizer, kept: dict[str, bytes], missing: list[str], feed: int) -> None:
+    """Adds pieces to ``kept``.
+
+    A word of letters only, with or without a blank before it, is one pre-token and goes
+    straight to the tokenizer's model. Others without white space inside are encoded many at
+    a time, parted by line feeds, which are tokens of their own.
+    """
+    whole, plain, rest, split = tokenizer.model.tokenize, [], [], []
+    for p in missing:
+        base = p.rstrip(TAIL)
+        if base != p and base and base[-1].isalnum():
+            split.append((p, base, p[len(base) :]))
+            p = base
+            if p in kept:
+                continue
+        if (p[1:] if p[0] == " " else p).isalpha():
+            word = (_BLANK + p[1:] if p[0] == " " else p) if p.isascii() else p.encode("utf-8").decode("latin-1").translate(_LETTERS)
+            kept[p] = array("I", [t.id for t in whole(word)]).tobytes()
+        elif len(p.split()) == 1 and not p[-1].isspace() and not p[1:2].isspace() and (p[0] == " " or not p[0].isspace()):
+            plain.append(p)
+        else:
+            rest.append(p)
+    plain += {tail for _, _, tail in split} - kept.keys() - set(plain)
+    for at in range(0, len(plain), 200):
+        part = plain[at : at + 200]
+        ids = np.array(tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        cuts = np.flatnonzero(ids == feed)
+        if len(cuts) != len(part) - 1:
+            raise ValueError("a piece holds a line feed token")
+        for q, lo, hi in zip(part, np.r_[0, cuts + 1], np.r_[cuts, len(ids)], strict=True):
+            kept[q] = ids[lo:hi].tobytes()
+    for q in rest:
+        kept[q] = np.array(tokenizer.encode(q, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
+    for p, base, tail in split:
+        kept[p] = kept[base] + kept[tail]
+
+
 def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
     """Token ids of each text as uint32 arrays, equal to the library's for the whole text."""
-    tokenizer, kept = _encoder(path)
+    tokenizer, kept, feed = _encoder(path)
+    if len(kept) > KEEP_PIECES:
+        kept.clear()
     split = [safe_pieces(t) if t else [] for t in texts]
-    missing = [p for p in {p for s in split for p in s} if p not in kept]
-    if len(kept) + len(missing) > KEEP_PIECES:
-        wanted = {p for s in split for p in s}
-        for p in list(kept):
-            if p not in wanted:
-                del kept[p]
-        missing = [p for p in wanted if p not in kept]
-    for at in range(0, len(missing), 4096):
-        part = missing[at : at + 4096]
-        for p, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            kept[p] = np.array(e.ids, dtype=np.uint32).tobytes()
-    get = kept.__getitem__
-    return [np.frombuffer(b"".join(map(get, s)), dtype=np.uint32) for s in split]
+    found = [list(map(kept.get, s)) for s in split]
+    short = [i for i, f in enumerate(found) if None in f]
+    if short:
+        _encode_missing(tokenizer, kept, list({p for i in short for p, k in zip(split[i], found[i], strict=True) if k is None}), feed)
+        for i in short:
+            found[i] = [kept[p] if k is None else k for p, k in zip(split[i], found[i], strict=True)]
+    return [np.frombuffer(b"".join(f), dtype=np.uint32) for f in found]
 
 
 def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = END_ID, parts: int | None = None) -> None:
@@ -88,13 +147,11 @@ def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, end_id: in
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        unzip, start = zstandard.ZstdDecompressor(), 0
+        start = 0
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                texts = [unzip.decompress(p).decode("utf-8", "surrogatepass") for p in part.column("payload").to_pylist()]
+                texts = [p.decode("utf-8", "surrogatepass") for p in part.column("payload").to_pylist()]
                 ids = encode_texts(texts, tokenizer_path)
                 counts = np.array([len(x) + 1 for x in ids], dtype=np.int64)
                 ends = np.cumsum(counts)
@@ -108,7 +165,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, end_id: in
                 )
                 start += int(ends[-1])
 
-    dealt = dealt_texts(docs, parts=parts).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "payload")
+    dealt = dealt_texts(docs, parts=parts, pack=False).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "payload")
     (
         dealt.mapInArrow(encode, FILE_SCHEMA)
         .write.option("compression", "zstd")
