@@ -36,4 +36,5 @@ def oracles() -> dict[str, str]:
 
 
 def _load() -> None:
-    pass
+    """Imports the modules that register queries."""
+    from orefall.plans import retrieval  # noqa: F401
