@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from orefall import config
 
 
+def r6(value: Column | str) -> Column:
+    """Rounded to six digits, ties upward: a nudge of a billionth takes values off the tie, where engines differ."""
+    return F.round((F.col(value) if isinstance(value, str) else value) + 1e-9, 6)
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0 or null."""
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))

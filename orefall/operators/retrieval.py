@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from orefall.config import RETRIEVAL, ROUTES
 from orefall.functions.text import tokenize
+from orefall.functions.scores import r6
 
 DIGITS = 6  # scores are ranked as rounded, so that order does not hang on the last bits of a sum
 
@@ -49,7 +50,7 @@ def bm25_search(queries: DataFrame, docs: DataFrame, k: int, posted: DataFrame |
     idf = idf.join(asked.select("term").distinct(), "term", "left_semi")
     idf = idf.select("term", "avgdl", F.when(raw_idf() < 0, p.bm25_floor * F.col("mean_idf")).otherwise(raw_idf()).alias("idf"))
     weight = F.col("qtf") * F.col("idf") * F.col("tf") * (p.bm25_k1 + 1) / (F.col("tf") + p.bm25_k1 * (1 - p.bm25_b + p.bm25_b * F.col("dl") / F.col("avgdl")))
-    scored = asked.join(idf, "term").join(posted, "term").groupBy("qid", "doc_id").agg(F.round(F.sum(weight), DIGITS).alias("score"))
+    scored = asked.join(idf, "term").join(posted, "term").groupBy("qid", "doc_id").agg(r6(F.sum(weight)).alias("score"))
     return scored.where("score > 0").withColumn("rank", rank_by("qid", "score", "doc_id")).where(F.col("rank") <= k)
 
 
@@ -70,7 +71,7 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4
         a, b = np.array(left["v"].tolist()), np.array(right["v"].tolist())
         with np.errstate(invalid="ignore", divide="ignore"):
             s = (a / np.linalg.norm(a, axis=1, keepdims=True)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T
-        s = np.round(np.nan_to_num(s, nan=-1.0), DIGITS)
+        s = np.round(np.nan_to_num(s, nan=-1.0) + 1e-9, DIGITS)
         ids = right["doc_id"].to_numpy()
         order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
         out = pd.DataFrame({"qid": np.repeat(left["qid"].to_numpy(), order.shape[1]), "doc_id": ids[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
@@ -123,9 +124,9 @@ def retrieval_rows(ranked: DataFrame, truth: DataFrame, queries: DataFrame, k: i
     per = marked.groupBy("qid").agg(F.count("*").alias("n_retrieved"), F.count("t").alias("n_hits"), F.min(F.when(F.col("t") == 1, F.col("rank"))).alias("first_hit"))
     wanted = truth.select("qid", "file").distinct().groupBy("qid").agg(F.count("*").alias("n_expected"))
     rows = queries.select("qid").join(wanted, "qid", "left").join(per, "qid", "left").fillna(0, ["n_expected", "n_retrieved", "n_hits"])
-    ratio = lambda a, b: F.round(F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0)), DIGITS)
+    ratio = lambda a, b: r6(F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0)))
     return rows.select(
         "qid", "n_expected", "n_retrieved", (F.col("n_hits") > 0).cast("int").alias("hit"), ratio("n_hits", "n_expected").alias("recall"),
-        ratio("n_hits", "n_retrieved").alias("precision"), F.round(F.coalesce(1 / F.col("first_hit"), F.lit(0.0)), DIGITS).alias("mrr"),
-        F.round(F.coalesce(F.least(F.lit(1.0), F.try_divide(F.lit(1.0), F.col("n_retrieved"))), F.lit(0.0)), DIGITS).alias("integrity"),
+        ratio("n_hits", "n_retrieved").alias("precision"), r6(F.coalesce(1 / F.col("first_hit"), F.lit(0.0))).alias("mrr"),
+        r6(F.coalesce(F.least(F.lit(1.0), F.try_divide(F.lit(1.0), F.col("n_retrieved"))), F.lit(0.0))).alias("integrity"),
     )

@@ -10,6 +10,7 @@ from orefall.functions.text import tokenize
 from orefall.operators import retrieval as R
 from orefall.plans.registry import register
 from orefall.plans.views import DOCS, docs, read
+from orefall.functions.scores import r6
 
 _P = RETRIEVAL
 TOKENS = "list_transform(list_filter(regexp_split_to_array({0}, '[^a-zA-Z0-9_.@一-龥]+'), lambda t: t <> ''), lambda t: lower(t))"
@@ -70,7 +71,7 @@ def tokenize_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir)
     s = R.corpus_stats(d, R.postings(d))
-    return s.select("n_docs", F.round("avgdl", 6).alias("avgdl"), F.round("mean_idf", 6).alias("mean_idf"), "n_terms")
+    return s.select("n_docs", r6("avgdl").alias("avgdl"), r6("mean_idf").alias("mean_idf"), "n_terms")
 
 
 @register("bm25_topk", f"WITH {CORPUS}, {Q}, {bm25_sql('b', 'q', 6)} SELECT qid, doc_id, score, rank FROM b")
@@ -216,15 +217,15 @@ def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("retrieval_metrics", f"WITH {RANKED} SELECT qid, n_expected, n_retrieved, hit, recall, precision, mrr, integrity, round(0.3 * recall + 0.3 * precision + 0.25 * precision + 0.15 * integrity, 6) AS overall FROM rows_")
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     overall = 0.3 * F.col("recall") + 0.3 * F.col("precision") + 0.25 * F.col("precision") + 0.15 * F.col("integrity")
-    return measured(spark, sf_dir).withColumn("overall", F.round(overall, 6))
+    return measured(spark, sf_dir).withColumn("overall", r6(overall))
 
 
 _MACRO = "count(*) AS n_total, count(*) FILTER (n_expected > 0) AS n_evaluated, round(sum(hit) / count(*), 6) AS hit_rate, round(avg(recall) FILTER (n_expected > 0), 6) AS recall, round(avg(precision) FILTER (n_expected > 0), 6) AS precision, round(avg(mrr) FILTER (n_expected > 0), 6) AS mrr"
 
 
 def _macro() -> list:
-    mean = lambda c: F.round(F.avg(F.when(F.col("n_expected") > 0, F.col(c))), 6).alias(c)
-    return [F.count("*").alias("n_total"), F.count_if(F.col("n_expected") > 0).alias("n_evaluated"), F.round(F.sum("hit") / F.count("*"), 6).alias("hit_rate"), mean("recall"), mean("precision"), mean("mrr")]
+    mean = lambda c: r6(F.avg(F.when(F.col("n_expected") > 0, F.col(c)))).alias(c)
+    return [F.count("*").alias("n_total"), F.count_if(F.col("n_expected") > 0).alias("n_evaluated"), r6(F.sum("hit") / F.count("*")).alias("hit_rate"), mean("recall"), mean("precision"), mean("mrr")]
 
 
 @register("retrieval_macro", f"WITH {RANKED} SELECT {_MACRO} FROM rows_")
