@@ -92,8 +92,7 @@ def sql_text(value) -> str:
 
 def sql_values(name: str, columns: str, rows: list[tuple]) -> str:
     """A CTE with literal rows; ``columns`` as for ``literals``."""
-    names = ", ".join(c.split()[0] for c in columns.split(", "))
     kinds = {"string": "VARCHAR", "int": "INTEGER", "long": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
-    casts = ", ".join(f"CAST({c.split()[0]} AS {kinds[c.split()[1]]}) AS {c.split()[0]}" for c in columns.split(", "))
-    body = ", ".join("(" + ", ".join(map(sql_text, r)) + ")" for r in rows)
-    return f"{name} AS (SELECT {casts} FROM (VALUES {body}) AS v({names}))"
+    fields = [c.split() for c in columns.split(", ")]
+    body = " UNION ALL ".join("SELECT " + ", ".join(f"CAST({sql_text(v)} AS {kinds[k]}) AS {c}" for v, (c, k) in zip(r, fields, strict=True)) for r in rows)
+    return f"{name} AS ({body})"
