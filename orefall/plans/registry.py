@@ -43,4 +43,4 @@ def oracles() -> dict[str, str]:
 
 def _load() -> None:
     """Imports the modules that register queries."""
-    from orefall.plans import chunks, evaluation, replies, repo, retrieval, state  # noqa: F401
+    from orefall.plans import chunks, evaluation, replies, repo, retrieval, sources, state  # noqa: F401
