@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ from orefall.llm.common import maybe_broadcast, shared_dir
 from orefall.llm.ranges import dealt_texts
 
 END_ID = 2
-KEEP_PIECES = 600_000
+KEEP_PIECES = 900_000
 FILE_SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids array<int>"
 
 _encoders: dict[str, tuple] = {}
@@ -87,21 +88,31 @@ _LETTERS = _byte_letters()
 _BLANK = _LETTERS[32]
 
 
-def _encode_missing(tokenizer, kept: dict[str, bytes], missing: list[str], feed: int) -> None:
-    """Adds pieces to ``kept``.
+def _packed(pieces: list[str], path: str) -> list[bytes]:
+    """Packed uint32 ids of each piece, through the worker's store.
 
-    A word of letters only, with or without a blank before it, is one pre-token and goes
-    straight to the tokenizer's model. Others without white space inside are encoded many at
-    a time, parted by line feeds, which are tokens of their own.
+    Punctuation at a piece's end is encoded apart, so that the store holds words once. A word
+    of letters only, with or without a blank before it, is one pre-token and goes straight to
+    the tokenizer's model. Others without white space inside are encoded many at a time,
+    parted by line feeds, which are tokens of their own.
     """
-    whole, plain, rest, split = tokenizer.model.tokenize, [], [], []
+    tokenizer, kept, feed = _encoder(path)
+    if len(kept) > KEEP_PIECES:
+        kept.clear()
+    kept[""] = b""
+    halves: dict[str, tuple[str, str]] = {}
+    missing: set[str] = set()
+    for p in pieces:
+        if p not in kept:
+            base = p.rstrip(TAIL)
+            if base != p and base and base[-1].isalnum():
+                halves[p] = base, p[len(base) :]
+                missing.update(halves[p])
+            else:
+                missing.add(p)
+    missing -= kept.keys()
+    whole, plain, rest = tokenizer.model.tokenize, [], []
     for p in missing:
-        base = p.rstrip(TAIL)
-        if base != p and base and base[-1].isalnum():
-            split.append((p, base, p[len(base) :]))
-            p = base
-            if p in kept:
-                continue
         if (p[1:] if p[0] == " " else p).isalpha():
             word = (_BLANK + p[1:] if p[0] == " " else p) if p.isascii() else p.encode("utf-8").decode("latin-1").translate(_LETTERS)
             kept[p] = array("I", [t.id for t in whole(word)]).tobytes()
@@ -109,7 +120,6 @@ def _encode_missing(tokenizer, kept: dict[str, bytes], missing: list[str], feed:
             plain.append(p)
         else:
             rest.append(p)
-    plain += {tail for _, _, tail in split} - kept.keys() - set(plain)
     for at in range(0, len(plain), 200):
         part = plain[at : at + 200]
         ids = np.array(tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, dtype=np.uint32)
@@ -120,23 +130,59 @@ def _encode_missing(tokenizer, kept: dict[str, bytes], missing: list[str], feed:
             kept[q] = ids[lo:hi].tobytes()
     for q in rest:
         kept[q] = np.array(tokenizer.encode(q, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
-    for p, base, tail in split:
-        kept[p] = kept[base] + kept[tail]
+    return [kept[p] if p not in halves else kept[halves[p][0]] + kept[halves[p][1]] for p in pieces]
 
 
 def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
     """Token ids of each text as uint32 arrays, equal to the library's for the whole text."""
-    tokenizer, kept, feed = _encoder(path)
-    if len(kept) > KEEP_PIECES:
-        kept.clear()
     split = [safe_pieces(t) if t else [] for t in texts]
-    found = [list(map(kept.get, s)) for s in split]
-    short = [i for i, f in enumerate(found) if None in f]
-    if short:
-        _encode_missing(tokenizer, kept, list({p for i in short for p, k in zip(split[i], found[i], strict=True) if k is None}), feed)
-        for i in short:
-            found[i] = [kept[p] if k is None else k for p, k in zip(split[i], found[i], strict=True)]
-    return [np.frombuffer(b"".join(f), dtype=np.uint32) for f in found]
+    distinct = list(set().union(*split))
+    table = dict(zip(distinct, _packed(distinct, path), strict=True))
+    return [np.frombuffer(b"".join([table[p] for p in s]), dtype=np.uint32) for s in split]
+
+
+# Texts that need the careful cut: white space other than blank and line feed, two together or one at an end, or a mark of ours.
+_CAREFUL = r"[\x01\x02\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|^[ \n]|[ \n]$"
+
+
+def encode_column(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts in a row, ids in each text) for a string column without nulls.
+
+    The column is cut to pieces and these are made distinct by Arrow; Python sees each
+    distinct piece of the batch once, and Arrow gathers the ids.
+    """
+    careful = pc.match_substring_regex(texts, _CAREFUL)
+    slow = np.flatnonzero(careful.to_numpy(zero_copy_only=False))
+    whole: dict[str, bytes] = {}
+    if len(slow):
+        texts = texts.to_pylist()
+        for i, ids in zip(slow, encode_texts([texts[i] for i in slow], path), strict=True):
+            whole[f"\x02{i}"] = ids.tobytes()
+            texts[i] = f"\x02{i}"
+        texts = pa.array(texts, pa.string())
+    marked = pc.replace_substring(pc.replace_substring(texts, "\n", "\x01\n\x01"), " ", "\x01 ")
+    lists = pc.split_pattern(marked, MARK)
+    coded = lists.flatten().dictionary_encode()
+    pieces = coded.dictionary.to_pylist()
+    packed = _packed([p for p in pieces if p not in whole] if whole else pieces, path)
+    if whole:
+        rest = iter(packed)
+        packed = [whole[p] if p in whole else next(rest) for p in pieces]
+    sizes = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4
+    table = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.frombuffer(b"".join(packed), dtype=np.uint32)))
+    values = table.take(coded.indices).flatten().to_numpy()
+    before = np.r_[0, np.cumsum(sizes[coded.indices.to_numpy()])]
+    return values, np.diff(before[lists.offsets.to_numpy() - lists.offsets[0].as_py()])
+
+
+def _portions(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``most`` bytes of text, one row at least."""
+    ends = np.cumsum(pc.binary_length(batch.column("payload")).to_numpy())
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = END_ID, parts: int | None = None) -> None:
@@ -149,15 +195,14 @@ def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, end_id: in
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = 0
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                texts = [p.decode("utf-8", "surrogatepass") for p in part.column("payload").to_pylist()]
-                ids = encode_texts(texts, tokenizer_path)
-                counts = np.array([len(x) + 1 for x in ids], dtype=np.int64)
+            for part in _portions(b):
+                values, counts = encode_column(part.column("payload").cast(pa.string()), tokenizer_path)
+                counts += 1
                 ends = np.cumsum(counts)
-                flat = np.full(ends[-1], end_id, dtype=np.int32)
-                for x, stop, n in zip(ids, ends, counts, strict=True):
-                    flat[stop - n : stop - 1] = x
+                flat = np.full(len(values) + len(counts), end_id, dtype=np.int32)
+                inner = np.ones(len(flat), bool)
+                inner[ends - 1] = False
+                flat[inner] = values
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("part"), part.column("doc_id"), pa.array(start + ends - counts), pa.array(counts), lists],
