@@ -18,18 +18,20 @@ split with at most ``CHUNK_BYTES`` of text, and needs only the units that it hol
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orefall.llm.common import shuffle_partitions
 
 SPACE = "▁"
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 16 << 20
 BITS = 62  # units up to this length fold over a bit mask of boundaries, longer ones over an array
 
 
@@ -54,35 +56,45 @@ class Vocabulary:
             self.pieces[i] = p.replace(SPACE, " ").encode()
         for b, i in self.bytes.items():
             self.pieces[i] = bytes([b])
+        self.piece_bytes = pa.array(self.pieces, pa.large_binary())
 
     def cut(self, word: str) -> tuple[str, ...]:
         """Units of a word: cuts wherever no piece spans the two characters beside."""
         spots = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.spanned]
         return tuple(word[a:b] for a, b in zip([0, *spots], [*spots, len(word)], strict=True))
 
+    def units(self, words: Iterable[str]) -> set[str]:
+        out: set[str] = set()
+        for w in words:
+            out.update(self.cut(w))
+        return out
+
     def single(self, char: str) -> list[int]:
         got = self.ids.get(char)
         if got is not None:
             return [got]
         return [self.bytes[b] for b in char.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
 
-    def fill(self, unit: str, chosen: np.ndarray) -> bytes:
-        """Ids of a unit from its pieces of two characters and more (start, end, id, ...), as packed uint32."""
-        ids, at = [], 0
-        for k in range(0, len(chosen), 3):
-            while at < chosen[k]:
-                ids += self.single(unit[at])
-                at += 1
-            ids.append(chosen[k + 2])
-            at = int(chosen[k + 1])
-        for c in unit[at:]:
-            ids += self.single(c)
-        return np.array(ids, np.uint32).tobytes()
-
-    def decode(self, ids: np.ndarray | list[int]) -> str:
-        """The text of ids: pieces joined, the blank that encoding puts first taken away."""
-        raw = b"".join(self.pieces[i] for i in ids)
-        return raw.removeprefix(b" ").decode("utf-8", "replace")
+    def fill(self, unit: str, bounds: Iterable[int]) -> bytes:
+        """Packed uint32 ids of a unit cut at ``bounds`` (ascending, from 0 to its length)."""
+        out, at = array("I"), 0
+        for end in bounds:
+            if end > at:
+                piece = unit[at:end]
+                got = self.ids.get(piece)
+                if got is None:
+                    out.extend(self.single(piece))
+                else:
+                    out.append(got)
+                at = end
+        return out.tobytes()
+
+    def decode(self, ids: np.ndarray, starts: np.ndarray) -> list[bytes]:
+        """UTF-8 texts of the runs of ids between ``starts``: pieces joined, the blank that encoding puts first taken away."""
+        joined = self.piece_bytes.take(pa.array(ids))
+        ends = np.frombuffer(joined.buffers()[1], dtype=np.int64)[: len(ids) + 1]
+        raw = joined.buffers()[2].to_pybytes() if len(ids) else b""
+        return [raw[lo:hi].removeprefix(b" ") for lo, hi in zip(ends[starts], ends[np.r_[starts[1:], len(ids)]], strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -107,90 +119,137 @@ def words_of(text: str) -> list[str]:
     return [*out, marked[at:]]
 
 
-def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, list[str], bool]]:
+def distinct_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct words, word number of each word in order, words of each text) for a string column without nulls."""
+    careful = pc.match_substring_regex(texts, f"{SPACE}|  |^ | $|^$")
+    slow = np.flatnonzero(careful.to_numpy(zero_copy_only=False))
+    if len(slow):
+        rows = texts.to_pylist()
+        marked = pc.replace_substring(texts, " ", "\x01").to_pylist()
+        for i in slow:
+            # Words of these are cut one by one; in the other texts the mark stands for the one blank before a word.
+            rows[i] = words_of(rows[i])
+        split = [r if isinstance(r, list) else [SPACE + w for w in m.split("\x01")] if "\x01" not in r else words_of(r) for r, m in zip(rows, marked, strict=True)]
+        lists = pa.array(split, pa.list_(pa.string()))
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+    else:
+        lists = pc.split_pattern(texts, " ")
+        coded = lists.flatten().dictionary_encode()
+        words = [SPACE + w for w in coded.dictionary.to_pylist()]
+    return words, coded.indices.to_numpy(), np.diff(lists.offsets.to_numpy())
+
+
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, pa.Array, bool]]:
     """(chunk, ids, texts, whether the chunk ends here); the same cuts on each pass over the same split."""
     from pyspark import TaskContext
 
     chunk, size = TaskContext.get().partitionId() << 24, 0
     for b in batches:
-        for at in range(0, b.num_rows, 256):
-            part = b.slice(at, 256)
-            texts = [t or "" for t in part.column("text").to_pylist()]
-            size += sum(map(len, texts))
-            yield chunk, part.column("doc_id"), texts, size >= CHUNK_BYTES
-            if size >= CHUNK_BYTES:
+        texts = b.column("text").fill_null("")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy())
+        at = 0
+        while at < b.num_rows:
+            room = CHUNK_BYTES - size + (ends[at - 1] if at else 0)
+            stop = max(at + 1, int(np.searchsorted(ends, room, side="right")))
+            size += int(ends[stop - 1] - (ends[at - 1] if at else 0))
+            full = size >= CHUNK_BYTES or stop < b.num_rows
+            yield chunk, b.column("doc_id").slice(at, stop - at), texts.slice(at, stop - at), full
+            if full:
                 chunk, size = chunk + 1, 0
+            at = stop
 
 
 def units_by_chunk(docs: DataFrame, path: str) -> DataFrame:
-    """(chunk, unit): the distinct units of each chunk of documents."""
+    """(chunk, pos, unit): the distinct units of each chunk of documents, in ascending order from position 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, words, at = vocabulary(path), set(), 0
 
         def out(chunk: int) -> Iterator[pa.RecordBatch]:
-            units = sorted({u for w in words for u in vocab.cut(w)})
+            units = sorted(vocab.units(words))
             for lo in range(0, len(units), 50_000):
                 part = units[lo : lo + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk)), pa.array(part, pa.string())], names=["chunk", "unit"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk)), pa.array(np.arange(lo, lo + len(part), dtype=np.int32)), pa.array(part, pa.string())], names=["chunk", "pos", "unit"])
             words.clear()
 
         for at, _, texts, ends in _chunked(batches):
-            for t in texts:
-                words.update(words_of(t))
+            words.update(distinct_words(texts)[0])
             if ends:
                 yield from out(at)
         if words:
             yield from out(at)
 
-    return docs.mapInArrow(run, "chunk long, unit string")
+    return docs.mapInArrow(run, "chunk long, pos int, unit string")
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """(piece, rank, id) of the pieces of two characters and more: a fixed vocabulary, so its size is bounded."""
+    """(piece, rank) of the pieces of two characters and more: a fixed vocabulary, so its size is bounded."""
     vocab = vocabulary(path)
-    rows = pa.table({"piece": [p for p in vocab.ids if len(p) > 1], "rank": pa.array([vocab.rank[i] for p, i in vocab.ids.items() if len(p) > 1], pa.int32()), "id": pa.array([i for p, i in vocab.ids.items() if len(p) > 1], pa.int32())})
-    return spark.createDataFrame(rows)
+    rows = [(p, vocab.rank[i]) for p, i in vocab.ids.items() if len(p) > 1]
+    return spark.createDataFrame(pa.table({"piece": [p for p, _ in rows], "rank": pa.array([r for _, r in rows], pa.int64())}))
+
+
+# An edge is one long: rank, start and length, so that the natural order is that of rank and place.
+START_BITS, LENGTH_BITS = 24, 5
 
 
 def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(unit, edges): edges struct(rank, s, e, id) in the order of rank and place; units without an edge have no row."""
+    """(unit, edges): the edges of each unit's lattice in the order of rank and place; units without an edge have no row."""
     size = F.length("unit")
-    starts = F.sequence(F.lit(0), size - 2)
-    spans = F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(F.lit(2), F.least(F.lit(longest), size - s)), lambda n: F.struct(s.alias("s"), (s + n).alias("e"), F.substring(F.col("unit"), s + 1, n).alias("piece")))))
-    subs = units.where(size >= 2).select("unit", F.explode(spans).alias("x")).select("unit", "x.s", "x.e", "x.piece")
-    edges = subs.join(F.broadcast(pieces), "piece").select("unit", F.struct("rank", "s", "e", "id").alias("edge"))
+    starts = units.where(size >= 2).select("unit", F.explode(F.sequence(F.lit(0), size - 2)).alias("s"))
+    spans = starts.select("unit", "s", F.explode(F.sequence(F.lit(2), F.least(F.lit(longest), size - F.col("s")))).alias("n"))
+    subs = spans.select("unit", "s", "n", F.col("unit").substr(F.col("s") + 1, F.col("n")).alias("piece"))
+    edge = F.col("rank") * (1 << (START_BITS + LENGTH_BITS)) + F.col("s") * (1 << LENGTH_BITS) + F.col("n")
+    edges = subs.join(F.broadcast(pieces), "piece").select("unit", edge.alias("edge"))
     return edges.groupBy("unit").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
 
 
+def _start(edge: Column) -> Column:
+    return F.shiftright(edge, LENGTH_BITS).bitwiseAND(F.lit((1 << START_BITS) - 1).cast("long")).cast("int")
+
+
+def _length(edge: Column) -> Column:
+    return edge.bitwiseAND(F.lit((1 << LENGTH_BITS) - 1).cast("long")).cast("int")
+
+
 def _bit(n: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), n)
 
 
 def _fold_bits(edges: Column, size: Column) -> Column:
-    """Chosen edges; the state is a mask with a bit for each boundary."""
-    inner = lambda x: _bit(x["e"]) - _bit(x["s"] + 1)
-    ends = lambda x: _bit(x["e"]) + _bit(x["s"])
-    step = lambda st, x: F.when((st.bitwiseAND(ends(x)) == ends(x)) & (F.bit_count(st.bitwiseAND(inner(x))) == 1), st.bitwiseAND(F.bitwise_not(inner(x)))).otherwise(st)
-    last = F.aggregate(edges, _bit(size + 1) - 1, step)
-    return F.filter(edges, lambda x: (last.bitwiseAND(ends(x)) == ends(x)) & (last.bitwiseAND(inner(x)) == 0))
+    """The boundaries that are left, as a mask with a bit for each.
+
+    An edge joins two segments if its ends are boundaries and there is just one between: of the
+    bits from its start to its end three are set, the outer two among them.
+    """
+
+    def step(state: Column, edge: Column) -> Column:
+        s, n = _start(edge), _length(edge)
+        seen = F.call_function("shiftrightunsigned", state, s).bitwiseAND(_bit(n + 1) - 1)
+        outer = _bit(n) + 1
+        joins = (F.bit_count(seen) == 3) & (seen.bitwiseAND(outer) == outer)
+        return F.when(joins, state - F.call_function("shiftleft", seen - outer, s)).otherwise(state)
+
+    return F.aggregate(edges, _bit(size + 1) - 1, step)
 
 
 def _fold_array(edges: Column, size: Column) -> Column:
-    """As ``_fold_bits`` for units of any length; the state is the array of boundaries."""
-    inside = lambda st, x: F.filter(st, lambda p: (p > x["s"]) & (p < x["e"]))
-    both = lambda st, x: F.array_contains(st, x["s"]) & F.array_contains(st, x["e"])
-    step = lambda st, x: F.when(both(st, x) & (F.size(inside(st, x)) == 1), F.filter(st, lambda p: (p <= x["s"]) | (p >= x["e"]))).otherwise(st)
-    last = F.aggregate(edges, F.sequence(F.lit(0), size), step)
-    return F.filter(edges, lambda x: both(last, x) & (F.size(inside(last, x)) == 0))
+    """As ``_fold_bits`` for units of any length: the state is the array of boundaries."""
+
+    def step(state: Column, edge: Column) -> Column:
+        s, e = _start(edge), _start(edge) + _length(edge)
+        inner = F.size(F.filter(state, lambda p: (p > s) & (p < e)))
+        joins = F.array_contains(state, s) & F.array_contains(state, e) & (inner == 1)
+        return F.when(joins, F.filter(state, lambda p: (p <= s) | (p >= e))).otherwise(state)
+
+    return F.aggregate(edges, F.sequence(F.lit(0), size), step)
 
 
 def best_paths(lattices: DataFrame) -> DataFrame:
-    """(unit, chosen): chosen is the flat array start, end, id of the pieces of two characters and more, in order."""
+    """(unit, mask, bounds): the boundaries of the pieces as a mask for units up to BITS characters, else as an array."""
     size = F.length("unit")
-    picked = F.when(size <= BITS, _fold_bits(F.col("edges"), size)).otherwise(_fold_array(F.col("edges"), size))
-    ordered = F.array_sort(F.transform(picked, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["id"].alias("id"))))
-    return lattices.select("unit", F.flatten(F.transform(ordered, lambda x: F.array(x["s"], x["e"], x["id"]))).alias("chosen"))
+    return lattices.select("unit", F.when(size <= BITS, _fold_bits(F.col("edges"), size)).alias("mask"), F.when(size > BITS, _fold_array(F.col("edges"), size)).alias("bounds"))
 
 
 def _packed_chunks(docs: DataFrame) -> DataFrame:
@@ -201,7 +260,7 @@ def _packed_chunks(docs: DataFrame) -> DataFrame:
 
         zip_ = zstandard.ZstdCompressor(level=3)
         for chunk, ids, texts, _ in _chunked(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(texts), chunk)), ids, pa.array([zip_.compress(t.encode("utf-8", "surrogatepass")) for t in texts], pa.binary())], names=["chunk", "doc_id", "payload"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(texts), chunk)), ids, pa.array(map(zip_.compress, texts.cast(pa.binary()).to_pylist()), pa.binary())], names=["chunk", "doc_id", "payload"])
 
     return docs.mapInArrow(run, "chunk long, doc_id long, payload binary")
 
@@ -209,6 +268,34 @@ def _packed_chunks(docs: DataFrame) -> DataFrame:
 ENCODED = "doc_id long, ids binary"
 
 
+def _bounds(mask: int) -> list[int]:
+    return [i for i, c in enumerate(bin(mask)[:1:-1]) if c == "1"]
+
+
+def _encode_chunk(vocab: Vocabulary, ids: list, packed: list[bytes], masks: np.ndarray, longer: dict[int, list[int]]) -> Iterator[pa.RecordBatch]:
+    """Ids of a chunk's documents from the boundaries of its units, which come by position."""
+    import zstandard
+
+    unzip = zstandard.ZstdDecompressor()
+    texts = pa.array([unzip.decompress(p) for p in packed], pa.binary()).cast(pa.string())
+    words, order, counts = distinct_words(texts)
+    units = sorted(vocab.units(words))
+    if len(units) != len(masks):
+        raise ValueError("the units of a chunk changed between two passes over the input")
+    table = {u: vocab.fill(u, longer[i] if i in longer else _bounds(m) if m else range(len(u) + 1)) for i, (u, m) in enumerate(zip(units, masks.tolist(), strict=True))}
+    coded = [b"".join([table[u] for u in vocab.cut(w)]) for w in words]
+    sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.frombuffer(b"".join(coded), np.uint32)))
+    stops = np.cumsum(counts)
+    for lo in range(0, len(ids), 512):
+        hi = min(len(ids), lo + 512)
+        first, last = (stops[lo - 1] if lo else 0), stops[hi - 1]
+        part = order[first:last]
+        raw = lists.take(pa.array(part)).flatten().to_numpy().astype("<u4").tobytes()
+        ends = np.r_[0, np.cumsum(sizes[part])][np.r_[first, stops[lo:hi]] - first] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi], pa.int64()), pa.array([raw[a:b] for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], names=["doc_id", "ids"])
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids) for each row: ids as packed little-endian unsigned 32-bit integers.
 
@@ -218,43 +305,37 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     found = units_by_chunk(docs, path).repartition(n, "unit")
-    distinct = found.groupBy("unit").agg(F.min("chunk").alias("first")).select("unit")
+    # The condition on the chunk keeps it in the plan, so that both uses read one shuffle.
+    distinct = found.groupBy("unit").agg(F.min("chunk").alias("first")).where("first >= 0").select("unit")
     paths = best_paths(lattice(distinct, piece_table(spark, path), vocabulary(path).longest))
-    known = found.join(paths.hint("shuffle_merge"), "unit", "left").select("chunk", "unit", "chosen")
+    known = found.join(paths.hint("merge"), "unit", "left").select("chunk", "pos", F.coalesce("mask", F.lit(0)).cast("long").alias("mask"), "bounds")
 
     def solve(texts: pa.Table, units: pa.Table) -> pa.Table:
-        import zstandard
-
-        vocab, unzip = vocabulary(path), zstandard.ZstdDecompressor()
-        table = {}
-        for b in units.to_batches():
-            lists = b.column("chosen")
-            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-            for u, lo, hi in zip(b.column("unit").to_pylist(), offsets, offsets[1:], strict=False):
-                table[u] = vocab.fill(u, flat[lo:hi])
-        words: dict[str, bytes] = {}
-        ids, out = [], []
-        for b in texts.to_batches():
-            for p in b.column("payload").to_pylist():
-                split = words_of(unzip.decompress(p).decode("utf-8", "surrogatepass"))
-                for w in split:
-                    if w not in words:
-                        words[w] = b"".join([table[u] for u in vocab.cut(w)])
-                out.append(b"".join(map(words.__getitem__, split)))
-            ids += b.column("doc_id").to_pylist()
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "ids": pa.array(out, pa.binary())})
+        units = units.sort_by("pos").combine_chunks()
+        far = units.filter(pc.is_valid(units["bounds"]))
+        longer = dict(zip(far["pos"].to_pylist(), far["bounds"].to_pylist(), strict=True))
+        parts = list(_encode_chunk(vocabulary(path), texts["doc_id"].to_pylist(), texts["payload"].to_pylist(), units["mask"].to_numpy(), longer)) if texts.num_rows else []
+        return pa.Table.from_batches(parts, pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())]))
 
+    # Each side has a shuffle of its own, so that the number of a split is the same in both passes.
     return _packed_chunks(docs).groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(solve, ENCODED)
 
 
+def _ids_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all ids, where each row's begin) of a column of packed ids."""
+    raw = [i or b"" for i in column.to_pylist()]
+    sizes = np.array([len(i) // 4 for i in raw], np.int64)
+    return np.frombuffer(b"".join(raw), "<u4"), np.cumsum(sizes) - sizes
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, text) of encoded documents."""
+    """(doc_id, text) of encoded documents; bytes that are no UTF-8 become replacement characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
         for b in batches:
-            texts = [vocab.decode(np.frombuffer(i or b"", "<u4")) for i in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+            if b.num_rows:
+                texts = [t.decode("utf-8", "replace") for t in vocabulary(path).decode(*_ids_of(b.column("ids")))]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
@@ -265,13 +346,13 @@ def encoding_digest(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        vocab = vocabulary(path)
         for b in batches:
-            raw = b.column("ids").to_pylist()
-            texts = [vocab.decode(np.frombuffer(i, "<u4")) for i in raw]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(i) // 4 for i in raw], pa.int64()), pa.array([zlib.crc32(i) for i in raw], pa.int64()), pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts])],
-                names=["doc_id", "n_tokens", "ids_crc32", "decoded_sha256"],
-            )
-
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string")
+            if b.num_rows:
+                raw = b.column("ids").to_pylist()
+                texts = vocabulary(path).decode(*_ids_of(b.column("ids")))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id"), pa.array([len(i) // 4 for i in raw], pa.int64()), pa.array([zlib.crc32(i) for i in raw], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])],
+                    names=["doc_id", "n_tokens", "ids_crc32", "decoded_sha256"],
+                )
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string")
