@@ -27,20 +27,35 @@ from orefall.llm.common import maybe_broadcast, shared_dir
 from orefall.llm.ranges import dealt_texts
 
 END_ID = 2
-KEEP_PIECES = 900_000
+KEEP_PIECES = 350_000
 FILE_SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids array<int>"
 
-_encoders: dict[str, tuple] = {}
+class Encoder:
+    """A tokenizer and the pieces it has encoded, in two generations: what is not used while the new one fills up goes."""
 
-
-def _encoder(path: str) -> tuple:
-    if path not in _encoders:
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        _encoders[path] = (tokenizer, {}, tokenizer.encode("\n", add_special_tokens=False).ids[0])
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        self.kept: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def fresh(self) -> dict[str, bytes]:
+        if len(self.kept) > KEEP_PIECES:
+            self.old, self.kept = self.kept, {}
+        self.kept[""] = b""
+        return self.kept
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
@@ -96,10 +111,8 @@ def _packed(pieces: list[str], path: str) -> list[bytes]:
     the tokenizer's model. Others without white space inside are encoded many at a time,
     parted by line feeds, which are tokens of their own.
     """
-    tokenizer, kept, feed = _encoder(path)
-    if len(kept) > KEEP_PIECES:
-        kept.clear()
-    kept[""] = b""
+    encoder = _encoder(path)
+    tokenizer, feed, kept, old = encoder.tokenizer, encoder.feed, encoder.fresh(), encoder.old
     halves: dict[str, tuple[str, str]] = {}
     missing: set[str] = set()
     for p in pieces:
@@ -111,6 +124,9 @@ def _packed(pieces: list[str], path: str) -> list[bytes]:
             else:
                 missing.add(p)
     missing -= kept.keys()
+    again = missing & old.keys()
+    kept.update((p, old[p]) for p in again)
+    missing -= again
     whole, plain, rest = tokenizer.model.tokenize, [], []
     for p in missing:
         if (p[1:] if p[0] == " " else p).isalpha():
@@ -242,8 +258,9 @@ def ids_digest(tokens: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column("ids")
-            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<u4")
-            crcs = [zlib.crc32(flat[lo:hi].tobytes()) for lo, hi in zip(offsets, offsets[1:], strict=False)]
+            offsets = lists.offsets.to_numpy()
+            raw = memoryview(lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)).cast("B")
+            crcs = [zlib.crc32(raw[4 * lo : 4 * hi]) for lo, hi in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return tokens.select("doc_id", "start", "ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
