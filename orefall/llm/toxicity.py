@@ -28,12 +28,14 @@ LEXICONS: dict[str, tuple[str, ...]] = {
     "mockery": ("clown", "freak", "creep", "weirdo", "buffoon"),
     "threat": ("kill", "hate", "destroy", "hurt"),
 }
-MAX_LABELLED = 10_000  # bound on the labelled rows that a model is fitted on
+MAX_LABELLED = 8_000  # bound on the labelled rows that a model is fitted on
 MAX_MINED = 400
 MAX_VOTERS = 80
 STEMS = (4, 5, 6)
+RIDGE = 0.5
 _BLANKED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 PATTERNS = ("shouting", "exclaims", "decorated", "repeats")
+DENSE = 4 + len(PATTERNS)
 
 
 def words_of(text: str) -> list[bytes]:
@@ -53,23 +55,27 @@ class ToxicityModel:
 
     features: dict[bytes, int]
     weights: np.ndarray
+    odds: np.ndarray  # log odds of each feature: how strongly a word that it matches speaks for toxic
     voters: list[str] = field(default_factory=list)
     accuracy: np.ndarray | None = None  # P(vote toxic | toxic), P(vote toxic | clean) for each voter
     correlation: np.ndarray | None = None
 
     def evidence(self, text: str) -> tuple[list[int], list[float]]:
+        """(features that occur, DENSE measures): a word that several features match counts once, by the strongest."""
         words = words_of(text)
         distinct = set(words)
-        hits = {self.features[w] for w in distinct & self.features.keys()}
-        stems4 = self._stems4()
-        hit_words = len(distinct & self.features.keys())
+        features, stems4, odds = self.features, self._stems4(), self.odds
+        hits: set[int] = set()
+        strengths = []
         for w in distinct:
+            found = [features[w]] if w in features else []
             if len(w) > 4 and w[:4] in stems4:
-                found = [self.features[s] for k in STEMS if len(w) > k and (s := w[:k] + b"~") in self.features]
-                if found:
-                    hit_words += w not in self.features
-                    hits.update(found)
-        dense = [float(hit_words > 0), float(np.log1p(hit_words)), hit_words / max(1, len(distinct)), *patterns_of(text, words, len(distinct))]
+                found += [features[s] for k in STEMS if len(w) > k and (s := w[:k] + b"~") in features]
+            if found:
+                hits.update(found)
+                strengths.append(max(odds[i] for i in found))
+        total = sum(strengths)
+        dense = [float(bool(strengths)), max(strengths, default=0.0), float(np.log1p(total)), min(10.0, 20 * total / max(1, len(distinct))), *patterns_of(text, words, len(distinct))]
         return sorted(hits), dense
 
     def _stems4(self) -> frozenset:
@@ -93,25 +99,30 @@ def surprise(a: float, b: float, rate: float) -> float:
     return n * (p * np.log(p / rate) + (1 - p) * np.log((1 - p) / (1 - rate)))
 
 
-def mine(texts: list[str], toxic: np.ndarray, fixed: list[bytes]) -> tuple[list[bytes], list[bytes]]:
-    """(words and word beginnings, marked ~, that speak for toxic; fixed words that labelled clean texts don't contradict).
+def mine(texts: list[str], toxic: np.ndarray, fixed: list[bytes]) -> tuple[dict[bytes, float], list[bytes]]:
+    """(words and word beginnings, marked ~, that speak for toxic, with their log odds; fixed words that labelled clean texts don't contradict).
 
     Copies of a text count once. Beginnings are preferred where they say as much as the whole
     words, since they also hold for words not seen.
     """
     pos, neg, seen = Counter(), Counter(), set()
-    for text, y in zip(texts, toxic, strict=True):
-        distinct = frozenset(words_of(text))
-        if distinct not in seen:
-            seen.add(distinct)
-            stems = {w[:k] + b"~" for w in distinct for k in STEMS if len(w) > k}
-            (pos if y else neg).update(distinct | stems)
+    for turn in (1, 0):  # toxic texts first: only what they have at least three times is counted in the others
+        for text, y in zip(texts, toxic, strict=True):
+            if y == turn and (mark := hash(text)) not in seen:
+                seen.add(mark)
+                distinct = set(words_of(text))
+                distinct |= {w[:k] + b"~" for w in distinct for k in STEMS if len(w) > k}
+                pos.update(distinct) if turn else neg.update(distinct & pos.keys())
+        if turn:
+            pos = Counter({f: n for f, n in pos.items() if n >= 3})
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     rate = min(max(n1 / (n1 + n0), 0.001), 0.999)
     scored = {f: surprise(a, neg.get(f, 0), rate) for f, a in pos.items() if a >= 3}
-    found = sorted((-v, f) for f, v in scored.items() if v > 12 and pos[f] >= 3 * neg.get(f, 0))
+    share = lambda f: pos[f] / (pos[f] + neg.get(f, 0))
+    found = sorted((-v, f) for f, v in scored.items() if v > 12 and share(f) >= min(0.75, 3 * rate))[:MAX_MINED]
     kept = [w for w in fixed if not (neg.get(w, 0) >= 3 and scored.get(w, 0.0) < 12)]
-    return [f for _, f in found[:MAX_MINED]], kept
+    odds = {f: float(np.log((pos[f] + 0.5) / (n1 + 1)) - np.log((neg.get(f, 0) + 0.5) / (n0 + 1))) for _, f in found}
+    return odds, kept
 
 
 def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,28 +178,31 @@ def fit(texts: list[str], toxic: list[int]) -> ToxicityModel:
     """A model from labelled texts; without any, only the fixed lists speak."""
     y = np.array([int(t == 1) for t in toxic], dtype=float)
     fixed = [w.encode() for ws in LEXICONS.values() for w in ws]
-    mined, fixed = mine(texts, y, fixed) if len(texts) else ([], fixed)
+    mined, fixed = mine(texts, y, fixed) if len(texts) else ({}, fixed)
     features = {f: i for i, f in enumerate(dict.fromkeys([*mined, *fixed]))}
-    model = ToxicityModel(features, np.zeros(len(features) + 8))
+    odds = np.array([mined.get(f, 3.0) for f in features])
+    model = ToxicityModel(features, np.zeros(len(features) + DENSE + 1), odds)
+    mined = list(mined)
     if not len(texts):
         model.weights[[features[w] for w in fixed]] = 2.0
         model.weights[-1] = -3.0
         return model
     rows = [model.evidence(t) for t in texts]
     n, f = len(texts), len(features)
-    sparse = np.zeros((n, f))
+    sparse = np.zeros((n, f), np.float32)
     for i, (hits, _) in enumerate(rows):
         sparse[i, hits] = 1
     dense = np.array([d for _, d in rows])
     kinds = [sparse[:, [features[w.encode()] for w in ws if w.encode() in features]].any(axis=1).astype(int) for ws in LEXICONS.values()]
     singles = sparse[:, : min(len(mined), MAX_VOTERS)].astype(int)
     none = -(dense[:, 0] == 0).astype(int)
-    patterns = [(dense[:, 3 + i] > cut).astype(int) - (dense[:, 3 + i] <= cut / 4).astype(int) for i, cut in enumerate((0.5, 0.3, 0.3, 0.6))]
-    votes = np.column_stack([*kinds, none, *patterns, singles]).astype(int)
-    model.voters = [*LEXICONS, "no listed word", *PATTERNS, *(m.decode("utf-8", "replace") for m in mined[: singles.shape[1]])]
+    patterns = [(dense[:, 4 + i] > cut).astype(int) - (dense[:, 4 + i] <= cut / 4).astype(int) for i, cut in enumerate((0.5, 0.3, 0.3, 0.6))]
+    density = (dense[:, 3] > 1).astype(int) - (dense[:, 3] < 0.2).astype(int)
+    votes = np.column_stack([*kinds, none, density, *patterns, singles]).astype(int)
+    model.voters = [*LEXICONS, "no listed word", "density of listed words", *PATTERNS, *(m.decode("utf-8", "replace") for m in mined[: singles.shape[1]])]
     q, model.accuracy, model.correlation = label_model(votes, 0.05 + 0.9 * y)
     x = np.c_[sparse, dense]
-    w = _fit_linear(x, q, np.r_[np.full(f, 0.05), np.full(dense.shape[1], 1.0)])
+    w = _fit_linear(x, q, np.r_[np.full(f, RIDGE), np.full(dense.shape[1], 0.05)])
     # A slope and an intercept fitted on the same labelled rows set the meaning of 0.5.
     z = np.c_[x, np.ones(n)] @ w
     a, b = _fit_linear(z[:, None], y, ridge=1e-2)
