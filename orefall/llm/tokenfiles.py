@@ -89,9 +89,6 @@ def safe_pieces(text: str) -> list[str]:
     return out
 
 
-TAIL = ".,;:!?"
-
-
 def _byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 for itself, the others from 256 on."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -104,29 +101,23 @@ _BLANK = _LETTERS[32]
 
 
 def _packed(pieces: list[str], path: str) -> list[bytes]:
-    """Packed uint32 ids of each piece, through the worker's store.
+    """Packed uint32 ids of each distinct piece, through the worker's store.
 
-    Punctuation at a piece's end is encoded apart, so that the store holds words once. A word
-    of letters only, with or without a blank before it, is one pre-token and goes straight to
-    the tokenizer's model. Others without white space inside are encoded many at a time,
-    parted by line feeds, which are tokens of their own.
+    A word of letters only, with or without a blank before it, is one pre-token and goes
+    straight to the tokenizer's model. Others without white space inside are encoded many at
+    a time, parted by line feeds, which are tokens of their own.
     """
     encoder = _encoder(path)
     tokenizer, feed, kept, old = encoder.tokenizer, encoder.feed, encoder.fresh(), encoder.old
-    halves: dict[str, tuple[str, str]] = {}
-    missing: set[str] = set()
-    for p in pieces:
-        if p not in kept:
-            base = p.rstrip(TAIL)
-            if base != p and base and base[-1].isalnum():
-                halves[p] = base, p[len(base) :]
-                missing.update(halves[p])
-            else:
-                missing.add(p)
-    missing -= kept.keys()
-    again = missing & old.keys()
-    kept.update((p, old[p]) for p in again)
-    missing -= again
+    found = list(map(kept.get, pieces))
+    spots = [i for i, ids in enumerate(found) if ids is None]
+    missing = []
+    for i in spots:
+        p = pieces[i]
+        if p in old:
+            kept[p] = old[p]
+        else:
+            missing.append(p)
     whole, plain, rest = tokenizer.model.tokenize, [], []
     for p in missing:
         if (p[1:] if p[0] == " " else p).isalpha():
@@ -146,7 +137,9 @@ def _packed(pieces: list[str], path: str) -> list[bytes]:
             kept[q] = ids[lo:hi].tobytes()
     for q in rest:
         kept[q] = np.array(tokenizer.encode(q, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
-    return [kept[p] if p not in halves else kept[halves[p][0]] + kept[halves[p][1]] for p in pieces]
+    for i in spots:
+        found[i] = kept[pieces[i]]
+    return found
 
 
 def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
@@ -157,6 +150,8 @@ def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
     return [np.frombuffer(b"".join([table[p] for p in s]), dtype=np.uint32) for s in split]
 
 
+# Punctuation between a letter or digit and white space: a pre-token of its own, so words are met without it.
+_TAIL = r"([\p{L}\p{N}])([.,;:!?]+)([ \n]|$)"
 # Texts that need the careful cut: white space other than blank and line feed, two together or one at an end, or a mark of ours.
 _CAREFUL = r"[\x01\x02\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|^[ \n]|[ \n]$"
 
@@ -176,7 +171,8 @@ def encode_column(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
             whole[f"\x02{i}"] = ids.tobytes()
             texts[i] = f"\x02{i}"
         texts = pa.array(texts, pa.string())
-    marked = pc.replace_substring(pc.replace_substring(texts, "\n", "\x01\n\x01"), " ", "\x01 ")
+    parted = pc.replace_substring_regex(texts, _TAIL, "\\1\x01\\2\\3")
+    marked = pc.replace_substring(pc.replace_substring(parted, "\n", "\x01\n\x01"), " ", "\x01 ")
     lists = pc.split_pattern(marked, MARK)
     coded = lists.flatten().dictionary_encode()
     pieces = coded.dictionary.to_pylist()
@@ -191,7 +187,7 @@ def encode_column(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return values, np.diff(before[lists.offsets.to_numpy() - lists.offsets[0].as_py()])
 
 
-def _portions(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _portions(batch: pa.RecordBatch, most: int = 12 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes of text, one row at least."""
     ends = np.cumsum(pc.binary_length(batch.column("payload")).to_numpy())
     at = 0
