@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from orefall.llm.common import shuffle_partitions
 
 SPACE = "▁"
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 24 << 20
+PACK_BYTES = 1 << 20
 BITS = 62  # units up to this length fold over a bit mask of boundaries, longer ones over an array
 
 
@@ -119,24 +120,32 @@ def words_of(text: str) -> list[str]:
     return [*out, marked[at:]]
 
 
+# Texts whose words are cut one by one: a mark of ours, blanks together or at an end, a literal mark of blanks, no character.
+_CAREFUL = f"\x01|{SPACE}|  |^ | $|^$"
+
+
 def distinct_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(distinct words, word number of each word in order, words of each text) for a string column without nulls."""
-    careful = pc.match_substring_regex(texts, f"{SPACE}|  |^ | $|^$")
-    slow = np.flatnonzero(careful.to_numpy(zero_copy_only=False))
-    if len(slow):
-        rows = texts.to_pylist()
-        marked = pc.replace_substring(texts, " ", "\x01").to_pylist()
-        for i in slow:
-            # Words of these are cut one by one; in the other texts the mark stands for the one blank before a word.
-            rows[i] = words_of(rows[i])
-        split = [r if isinstance(r, list) else [SPACE + w for w in m.split("\x01")] if "\x01" not in r else words_of(r) for r, m in zip(rows, marked, strict=True)]
-        lists = pa.array(split, pa.list_(pa.string()))
-        coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-    else:
-        lists = pc.split_pattern(texts, " ")
-        coded = lists.flatten().dictionary_encode()
-        words = [SPACE + w for w in coded.dictionary.to_pylist()]
+    careful = np.flatnonzero(pc.match_substring_regex(texts, _CAREFUL).to_numpy(zero_copy_only=False))
+    marked = pc.binary_join_element_wise(SPACE, pc.replace_substring(texts, " ", f"\x01{SPACE}"), "")
+    whole: dict[str, str] = {}
+    if len(careful):
+        instead = []
+        for i in careful.tolist():
+            text = texts[i].as_py()
+            words = words_of(text)
+            if "\x01" in text:  # such a text counts as one word; words begin with a blank's mark, so the name is free
+                whole[f"\x02{i}"] = "".join(words)
+                words = [f"\x02{i}"]
+            instead.append("\x01".join(words))
+        mask = np.zeros(len(texts), bool)
+        mask[careful] = True
+        marked = pc.replace_with_mask(marked, pa.array(mask), pa.array(instead, pa.string()))
+    lists = pc.split_pattern(marked, "\x01")
+    coded = lists.flatten().dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    if whole:
+        words = [whole.get(w, w) for w in words]
     return words, coded.indices.to_numpy(), np.diff(lists.offsets.to_numpy())
 
 
@@ -253,16 +262,40 @@ def best_paths(lattices: DataFrame) -> DataFrame:
 
 
 def _packed_chunks(docs: DataFrame) -> DataFrame:
-    """(chunk, doc_id, payload): the documents with the numbers of their chunks, texts packed."""
+    """(chunk, seq, ids, payload): about PACK_BYTES of documents a row, their lengths and texts packed together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        zip_ = zstandard.ZstdCompressor(level=3)
+        zip_, seq = zstandard.ZstdCompressor(level=3), 0
         for chunk, ids, texts, _ in _chunked(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(texts), chunk)), ids, pa.array(map(zip_.compress, texts.cast(pa.binary()).to_pylist()), pa.binary())], names=["chunk", "doc_id", "payload"])
+            sizes = pc.binary_length(texts).to_numpy().astype(np.int32)
+            ends = np.cumsum(sizes, dtype=np.int64)
+            at, rows = 0, []
+            while at < len(texts):
+                stop = max(at + 1, int(np.searchsorted(ends, PACK_BYTES + (ends[at - 1] if at else 0), side="right")))
+                blob = sizes[at:stop].tobytes() + b"".join(texts.slice(at, stop - at).cast(pa.binary()).to_pylist())
+                rows.append((chunk, seq, ids.slice(at, stop - at).to_pylist(), zip_.compress(blob)))
+                at, seq = stop, seq + 1
+            cols = list(zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.binary())], names=["chunk", "seq", "ids", "payload"])
+
+    return docs.mapInArrow(run, "chunk long, seq int, ids array<long>, payload binary")
+
+
+def _unpacked(packed: pa.Table) -> tuple[list, pa.Array]:
+    """(ids, texts) of a chunk's packed rows."""
+    import zstandard
 
-    return docs.mapInArrow(run, "chunk long, doc_id long, payload binary")
+    unzip = zstandard.ZstdDecompressor()
+    ids, texts = [], []
+    for some, blob in zip(packed["ids"].to_pylist(), packed["payload"].to_pylist(), strict=True):
+        raw = unzip.decompress(blob)
+        sizes = np.frombuffer(raw, np.int32, len(some))
+        offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+        texts.append(pa.StringArray.from_buffers(len(some), pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw[4 * len(some) :])))
+        ids += some
+    return ids, pa.concat_arrays(texts)
 
 
 ENCODED = "doc_id long, ids binary"
@@ -272,18 +305,16 @@ def _bounds(mask: int) -> list[int]:
     return [i for i, c in enumerate(bin(mask)[:1:-1]) if c == "1"]
 
 
-def _encode_chunk(vocab: Vocabulary, ids: list, packed: list[bytes], masks: np.ndarray, longer: dict[int, list[int]]) -> Iterator[pa.RecordBatch]:
+def _encode_chunk(vocab: Vocabulary, ids: list, texts: pa.Array, masks: np.ndarray, longer: dict[int, list[int]]) -> Iterator[pa.RecordBatch]:
     """Ids of a chunk's documents from the boundaries of its units, which come by position."""
-    import zstandard
-
-    unzip = zstandard.ZstdDecompressor()
-    texts = pa.array([unzip.decompress(p) for p in packed], pa.binary()).cast(pa.string())
     words, order, counts = distinct_words(texts)
-    units = sorted(vocab.units(words))
+    cuts = list(map(vocab.cut, words))
+    units = sorted(set().union(*cuts))
     if len(units) != len(masks):
         raise ValueError("the units of a chunk changed between two passes over the input")
     table = {u: vocab.fill(u, longer[i] if i in longer else _bounds(m) if m else range(len(u) + 1)) for i, (u, m) in enumerate(zip(units, masks.tolist(), strict=True))}
-    coded = [b"".join([table[u] for u in vocab.cut(w)]) for w in words]
+    coded = [table[c[0]] if len(c) == 1 else b"".join([table[u] for u in c]) for c in cuts]
+    del cuts, units, table
     sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
     lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.frombuffer(b"".join(coded), np.uint32)))
     stops = np.cumsum(counts)
@@ -305,8 +336,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     found = units_by_chunk(docs, path).repartition(n, "unit")
-    # The condition on the chunk keeps it in the plan, so that both uses read one shuffle.
-    distinct = found.groupBy("unit").agg(F.min("chunk").alias("first")).where("first >= 0").select("unit")
+    # The condition keeps chunk and pos in the plan, so that both uses read one shuffle.
+    distinct = found.groupBy("unit").agg(F.min("chunk").alias("chunk"), F.min("pos").alias("pos")).where("chunk >= 0 AND pos >= 0").select("unit")
     paths = best_paths(lattice(distinct, piece_table(spark, path), vocabulary(path).longest))
     known = found.join(paths.hint("merge"), "unit", "left").select("chunk", "pos", F.coalesce("mask", F.lit(0)).cast("long").alias("mask"), "bounds")
 
@@ -314,7 +345,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         units = units.sort_by("pos").combine_chunks()
         far = units.filter(pc.is_valid(units["bounds"]))
         longer = dict(zip(far["pos"].to_pylist(), far["bounds"].to_pylist(), strict=True))
-        parts = list(_encode_chunk(vocabulary(path), texts["doc_id"].to_pylist(), texts["payload"].to_pylist(), units["mask"].to_numpy(), longer)) if texts.num_rows else []
+        parts = list(_encode_chunk(vocabulary(path), *_unpacked(texts.sort_by("seq")), units["mask"].to_numpy(), longer)) if texts.num_rows else []
         return pa.Table.from_batches(parts, pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())]))
 
     # Each side has a shuffle of its own, so that the number of a split is the same in both passes.

@@ -446,7 +446,7 @@ def test_pieces_equal_the_library(spark, docs, texts, sp):
 
 def test_pieces_of_odd_texts(spark, odd, none, sp):
     rng = np.random.default_rng(7)
-    parts = [*"abehinorst.,\n\t é漢🙂0123(){}_=", "the", "ing", "  ", "    ", "Ａ", "\x00", "<s>", "<0x0A>", "//", "▁"]
+    parts = [*"abehinorst.,\n\t é漢🙂0123(){}_=", "the", "ing", "  ", "    ", "Ａ", "\x00", "\x01", "\x02", "<s>", "<0x0A>", "//", "▁"]
     odd_texts = ["".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(500)] + ["a" * 300, "ab" * 200, "hello" * 60, "x" * 63, "", " "]
     d = spark.createDataFrame(list(enumerate(odd_texts)), "doc_id long, text string")
     got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in pieces.encode(d, PIECES).collect()}
