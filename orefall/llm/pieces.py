@@ -189,7 +189,7 @@ def units_by_chunk(docs: DataFrame, path: str) -> DataFrame:
         if words:
             yield from out(at)
 
-    return docs.mapInArrow(run, "chunk long, pos int, unit string")
+    return docs.mapInArrow(run, "chunk long not null, pos int not null, unit string not null")
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
@@ -204,10 +204,9 @@ START_BITS, LENGTH_BITS = 24, 5
 
 
 def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(unit, edges): the edges of each unit's lattice in the order of rank and place; units without an edge have no row."""
-    size = F.length("unit")
-    starts = units.where(size >= 2).select("unit", F.explode(F.sequence(F.lit(0), size - 2)).alias("s"))
-    spans = starts.select("unit", "s", F.explode(F.sequence(F.lit(2), F.least(F.lit(longest), size - F.col("s")))).alias("n"))
+    """(unit, edges) from (unit, size): the edges of each unit's lattice in the order of rank and place; units without an edge have no row."""
+    starts = units.where("size >= 2").select("unit", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 2)).alias("s"))
+    spans = starts.select("unit", "s", F.explode(F.sequence(F.lit(2), F.least(F.lit(longest), F.col("size") - F.col("s")))).alias("n"))
     subs = spans.select("unit", "s", "n", F.col("unit").substr(F.col("s") + 1, F.col("n")).alias("piece"))
     edge = F.col("rank") * (1 << (START_BITS + LENGTH_BITS)) + F.col("s") * (1 << LENGTH_BITS) + F.col("n")
     edges = subs.join(F.broadcast(pieces), "piece").select("unit", edge.alias("edge"))
@@ -336,8 +335,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     found = units_by_chunk(docs, path).repartition(n, "unit")
-    # The condition keeps chunk and pos in the plan, so that both uses read one shuffle.
-    distinct = found.groupBy("unit").agg(F.min("chunk").alias("chunk"), F.min("pos").alias("pos")).where("chunk >= 0 AND pos >= 0").select("unit")
+    # Conditions on aggregates stay above the shuffle and keep all its columns, so that both uses read one shuffle.
+    distinct = found.groupBy("unit").agg(F.min("chunk").alias("chunk"), F.min("pos").alias("pos"), F.max(F.length("unit")).alias("size")).where("chunk >= 0 AND pos >= 0").select("unit", "size")
     paths = best_paths(lattice(distinct, piece_table(spark, path), vocabulary(path).longest))
     known = found.join(paths.hint("merge"), "unit", "left").select("chunk", "pos", F.coalesce("mask", F.lit(0)).cast("long").alias("mask"), "bounds")
 
