@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from orefall.llm.common import shuffle_partitions
 
 SPACE = "▁"
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 12 << 20
 PACK_BYTES = 1 << 20
 BITS = 62  # units up to this length fold over a bit mask of boundaries, longer ones over an array
 
@@ -307,13 +307,14 @@ def _bounds(mask: int) -> list[int]:
 def _encode_chunk(vocab: Vocabulary, ids: list, texts: pa.Array, masks: np.ndarray, longer: dict[int, list[int]]) -> Iterator[pa.RecordBatch]:
     """Ids of a chunk's documents from the boundaries of its units, which come by position."""
     words, order, counts = distinct_words(texts)
+    del texts
     cuts = list(map(vocab.cut, words))
     units = sorted(set().union(*cuts))
     if len(units) != len(masks):
         raise ValueError("the units of a chunk changed between two passes over the input")
     table = {u: vocab.fill(u, longer[i] if i in longer else _bounds(m) if m else range(len(u) + 1)) for i, (u, m) in enumerate(zip(units, masks.tolist(), strict=True))}
     coded = [table[c[0]] if len(c) == 1 else b"".join([table[u] for u in c]) for c in cuts]
-    del cuts, units, table
+    del cuts, units, table, words
     sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
     lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.frombuffer(b"".join(coded), np.uint32)))
     stops = np.cumsum(counts)
@@ -345,6 +346,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         far = units.filter(pc.is_valid(units["bounds"]))
         longer = dict(zip(far["pos"].to_pylist(), far["bounds"].to_pylist(), strict=True))
         parts = list(_encode_chunk(vocabulary(path), *_unpacked(texts.sort_by("seq")), units["mask"].to_numpy(), longer)) if texts.num_rows else []
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_batches(parts, pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())]))
 
     # Each side has a shuffle of its own, so that the number of a split is the same in both passes.
