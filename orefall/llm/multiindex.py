@@ -119,28 +119,34 @@ def fit(unit: np.ndarray, n_vectors: int, target: float = 0.98, least: float = M
     return index
 
 
+def _width(vectors: DataFrame) -> type:
+    """Packed vectors keep the table's own precision: what is moved for a float column is half of what doubles take."""
+    return np.float32 if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
+
+
 def usable(vectors: DataFrame, dim: int) -> DataFrame:
     """(vec_id, key): the packed vector of each row whose embedding has ``dim`` finite components, not all zero."""
+    width = _width(vectors)
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flat = b.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim) + 0.0
+            flat = b.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(width).reshape(-1, dim) + width(0)
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array([r.tobytes() for r in flat], pa.binary())], names=["vec_id", "key"])
 
-    return vectors.where(_usable_column(dim)).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(pack, "vec_id long, key binary")
+    return vectors.where(_usable_column(dim)).select(F.col("vec_id").cast("long"), "embedding").mapInArrow(pack, "vec_id long, key binary")
 
 
-def _units(column: pa.Array, dim: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(column.to_pylist()), dtype=np.float64).reshape(-1, dim)
+def _units(packed: list[bytes], dim: int, width: type) -> np.ndarray:
+    """Unit vectors in double precision."""
+    x = np.frombuffer(b"".join(packed), dtype=width).reshape(-1, dim).astype(np.float64)
     return x / np.sqrt((x**2).sum(axis=1, keepdims=True))
 
 
-def _tiles(dim: int, least: float):
+def _tiles(dim: int, least: float, width: type):
     """Members and queries of one tile after another: counts of links and spanning stars."""
 
     def solve(cols: dict[str, list]) -> pa.RecordBatch:
         member = np.array(cols["side"]) == 0
-        unit = np.frombuffer(b"".join(cols["key"]), dtype=np.float64).reshape(-1, dim)
-        unit = unit / np.sqrt((unit**2).sum(axis=1, keepdims=True))
+        unit = _units(cols["key"], dim, width)
         rep, count, home = (np.array(cols[c], np.int64) for c in ("rep", "copies", "home"))
         m, q = np.flatnonzero(member), np.flatnonzero(~member)
         out = {k: [] for k in ("a", "b", "n")}
@@ -206,13 +212,13 @@ def near_vectors(vectors: DataFrame, least: float = MIN_COSINE, index: MultiInde
     sizes = vectors.where("embedding is not null").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").head()
     if sizes is None or not sizes["d"]:
         return vectors.select(F.col("vec_id").cast("long"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    dim = sizes["d"]
+    dim, width = sizes["d"], _width(vectors)
     packed = store(usable(vectors, dim), "vectors")
     reps = store(packed.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "distinct-vectors")
     if index is None:
         n = reps.count()
         sample = reps.select("key").orderBy(F.xxhash64("key")).limit(SAMPLE).toArrow().column("key").combine_chunks()
-        unit = _units(sample, dim) if len(sample) else np.eye(max(2, dim))[:2]
+        unit = _units(sample.to_pylist(), dim, width) if len(sample) else np.eye(max(2, dim))[:2]
         index = fit(unit, n, least=least)
     shared = spark.sparkContext.broadcast(index)
 
@@ -220,7 +226,7 @@ def near_vectors(vectors: DataFrame, least: float = MIN_COSINE, index: MultiInde
         for b in batches:
             if not b.num_rows:
                 continue
-            unit = _units(b.column("key"), dim)
+            unit = _units(b.column("key").to_pylist(), dim, width)
             walks = [np.array(sorted(w), np.int64) for w in shared.value.walks(unit)]
             yield pa.RecordBatch.from_arrays(
                 [b.column("key"), b.column("rep"), b.column("copies"), pa.array(shared.value.cells(unit).astype(np.int64)), pa.array([w.tobytes() for w in walks], pa.binary()), pa.array([w.tolist() for w in walks], pa.list_(pa.int64()))],
@@ -238,7 +244,7 @@ def near_vectors(vectors: DataFrame, least: float = MIN_COSINE, index: MultiInde
     inside = placed.withColumn("cell", F.col("home")).join(plan, "cell").select("cell", spread("m", "pm").alias("mine"), all_of("pq").alias("theirs"), F.lit(0).alias("side"), "rep", "copies", "home", "key", "walk")
     asking = placed.select("rep", "copies", "home", "key", F.explode("cells").alias("cell")).join(plan, "cell").select("cell", spread("q", "pq").alias("theirs"), all_of("pm").alias("mine"), F.lit(1).alias("side"), "rep", "copies", "home", "key", F.lit(b"").alias("walk"))
     tiles = inside.unionByName(asking).repartition(shuffle_partitions(spark), "cell", "mine", "theirs").sortWithinPartitions("cell", "mine", "theirs")
-    found = store(tiles.mapInArrow(_tiles(dim, least), "a long, b long, n long"), "links-found")
+    found = store(tiles.mapInArrow(_tiles(dim, least, width), "a long, b long, n long"), "links-found")
     links = found.where("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     comps = connected_components(found.where("n = 0").select("a", "b"))
     classes = reps.join(links, "rep", "left").join(comps, F.col("rep") == comps["node"], "left")
