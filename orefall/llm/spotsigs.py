@@ -9,13 +9,16 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orefall.llm.common import shuffle_partitions, store
+from orefall.llm.components import connected_components
 from orefall.llm.ranges import dealt_texts
 
 # Common words of English, German, French and Spanish that anchor signatures.
@@ -139,3 +142,90 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     dealt = dealt_texts(docs, halo=True).sortWithinPartitions("halo", F.col("doc_id").desc_nulls_last(), "payload")
     return dealt.mapInArrow(run, EDITS)
+
+
+def _length_part(n: Column, at_least: float) -> Column:
+    """Partition of a set length: sets whose lengths have a ratio of ``at_least`` or more lie in the same partition or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / math.log(1 / at_least)).cast("int")
+
+
+def _verified(at_least: float):
+    """Tiles of sets that share a signature in one length partition: pairs are pruned by length and by what is linked already."""
+
+    def solve(rep: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        order = sorted(range(len(rep)), key=lambda i: len(sets[i]))
+        up = list(range(len(rep)))
+
+        def find(i: int) -> int:
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
+        for x, i in enumerate(order):
+            for j in order[x + 1 :]:
+                if len(sets[i]) < at_least * len(sets[j]):
+                    break
+                a, b = find(i), find(j)
+                if a != b and likeness(sets[i], sets[j], at_least) >= at_least:
+                    up[max(a, b, key=lambda r: rep[r])] = min(a, b, key=lambda r: rep[r])
+        links = [(rep[i], rep[find(i)]) for i in range(len(rep)) if find(i) != i]
+        return pa.RecordBatch.from_arrays([pa.array([k[n] for k in links], pa.int64()) for n in (0, 1)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None
+        rep: list[int] = []
+        sets: list[np.ndarray] = []
+        for b in batches:
+            for part, sig, cell, r, packed in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if (part, sig, cell) != held:
+                    if len(rep) > 1:
+                        yield solve(rep, sets)
+                    held, rep, sets = (part, sig, cell), [], []
+                rep.append(r)
+                sets.append(from_string(packed))
+        if len(rep) > 1:
+            yield solve(rep, sets)
+
+    return run
+
+
+def spotsigs_dedup(docs: DataFrame, at_least: float = 0.8, tile: int = 128) -> DataFrame:
+    """(doc_id, fingerprint, component_id): documents whose signature sets have a Jaccard likeness of ``at_least`` link.
+
+    Equal fingerprints are folded first. Two sets that are alike enough share one of their
+    rarest n - ceil(at_least * n) + 1 signatures and lie in the same or neighbouring length
+    partitions, so each set is listed under these only, in its own partition and the next.
+    Lists of one set are dropped before any set is moved; long lists are dealt in tiles of two
+    chunks. No pair is lost and none is put out, only spanning links. Texts without words
+    share the empty fingerprint; rows without doc_id have no component.
+    """
+    spark = docs.sparkSession
+    fps = store(fingerprints(docs), "spotsigs")
+    reps = store(fps.where("doc_id IS NOT NULL").groupBy("fingerprint", "n_signatures").agg(F.min("doc_id").alias("rep")), "spotsigs-sets")
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [from_string(s) for s in b.column("fingerprint").to_pylist()]
+            sizes = np.array([len(s) for s in sets], np.int64)
+            sigs = np.concatenate([np.zeros(0, np.int64), *(s.astype(np.int64) for s in sets)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("rep").to_numpy(), sizes)), pa.array(np.repeat(sizes, sizes).astype(np.int32)), pa.array(sigs)], names=["rep", "n", "sig"])
+
+    listed = reps.select("rep", "fingerprint").mapInArrow(explode, "rep long, n int, sig long")
+    rarity = listed.groupBy("sig").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "sig"))
+    first = listed.join(rarity, "sig").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * at_least) + 1)
+    part = _length_part(F.col("n"), at_least)
+    keyed = first.where("df > 1").select("rep", "sig", F.explode(F.array(part, part + 1)).alias("part"))
+    sizes = keyed.groupBy("part", "sig").agg(F.count("*").alias("m")).where("m > 1")
+    parts = F.ceil(F.col("m") / tile).cast("int")
+    dealt = keyed.join(sizes, ["part", "sig"]).withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("rep"), parts).cast("int"))
+    tiles = dealt.select("part", "sig", "rep", "parts", "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    tiles = tiles.select("part", "sig", (F.least("mine", "other") * F.col("parts") + F.greatest("mine", "other")).alias("cell"), "rep")
+    rows = tiles.join(reps.select("rep", "fingerprint"), "rep").select("part", "sig", "cell", "rep", "fingerprint")
+    spread = rows.repartition(shuffle_partitions(spark), "part", "sig", "cell").sortWithinPartitions("part", "sig", "cell")
+    split_ids = fps.where("doc_id IS NOT NULL").select("doc_id", "fingerprint").distinct().groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1")
+    ties = fps.join(split_ids, "doc_id", "left_semi").join(reps.select("fingerprint", "rep"), "fingerprint").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    comps = connected_components(spread.mapInArrow(_verified(at_least), "a long, b long").unionByName(ties))
+    classes = reps.join(comps, reps["rep"] == comps["node"], "left").select("fingerprint", F.coalesce("component", "rep").alias("component_id"))
+    return fps.join(classes, "fingerprint", "left").select("doc_id", "fingerprint", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

@@ -226,6 +226,27 @@ def test_spotsigs_on_odd_rows(spark, odd, none):
     assert spotsigs.likeness(np.arange(10), np.arange(3), 0.8) == 0.0
 
 
+def test_spotsigs_links_against_brute_force(spark, docs, texts, odd, none):
+    rng = np.random.default_rng(8)
+    rows = list(texts.items())
+    for i, t in rows[:40]:
+        words = t.split(" ")
+        for k in range(3):
+            at = int(rng.integers(0, len(words)))
+            rows.append((10_000 + 10 * i + k, " ".join([*words[:at], "altered", *words[at + 1 :]])))
+    sets, groups = {i: set(spotsigs.signatures(t).tolist()) for i, t in rows}, Sets()
+    ids = sorted(sets)
+    for x, i in enumerate(ids):
+        groups.find(i)
+        for j in ids[x + 1 :]:
+            a, b = sets[i], sets[j]
+            if (not a and not b) or (a and b and len(a & b) >= 0.8 * len(a | b)):
+                groups.link(i, j)
+    got = {r["doc_id"]: r["component_id"] for r in spotsigs.spotsigs_dedup(spark.createDataFrame(rows, "doc_id long, text string"), tile=8).collect()}
+    assert got == {i: groups.find(i) for i in ids}
+    assert len(spotsigs.spotsigs_dedup(odd).collect()) == len(ODD) and spotsigs.spotsigs_dedup(none).count() == 0
+
+
 # --- op5
 
 
