@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -68,6 +69,14 @@ def maybe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if small_enough(df, max_rows) else df
 
 
+def give_back() -> None:
+    """Return freed memory of this process to the system: Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def id_bounds(df: DataFrame, column: str, parts: int) -> list[int]:
     """Ascending upper bounds that split the values of an id column into about equal ranges.
 

@@ -28,11 +28,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orefall.llm.common import shuffle_partitions
+from orefall.llm.common import give_back, shuffle_partitions
 
 SPACE = "▁"
 CHUNK_BYTES = 12 << 20
 PACK_BYTES = 1 << 20
+KEEP_WORDS = 60_000
 BITS = 62  # units up to this length fold over a bit mask of boundaries, longer ones over an array
 
 
@@ -52,6 +53,7 @@ class Vocabulary:
         self.unknown = model.unk_id()
         self.longest = max(map(len, self.ids))
         self.spanned = {a + b for p in self.ids for a, b in zip(p, p[1:], strict=False)}
+        self.uncut: set[str] = set()
         self.pieces = [b""] * n
         for p, i in self.ids.items():
             self.pieces[i] = p.replace(SPACE, " ").encode()
@@ -60,8 +62,14 @@ class Vocabulary:
         self.piece_bytes = pa.array(self.pieces, pa.large_binary())
 
     def cut(self, word: str) -> tuple[str, ...]:
-        """Units of a word: cuts wherever no piece spans the two characters beside."""
+        """Units of a word: cuts wherever no piece spans the two characters beside; words met often are remembered."""
+        if word in self.uncut:
+            return (word,)
         spots = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.spanned]
+        if not spots:
+            if len(self.uncut) < KEEP_WORDS:
+                self.uncut.add(word)
+            return (word,)
         return tuple(word[a:b] for a, b in zip([0, *spots], [*spots, len(word)], strict=True))
 
     def units(self, words: Iterable[str]) -> set[str]:
@@ -149,6 +157,16 @@ def distinct_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return words, coded.indices.to_numpy(), np.diff(lists.offsets.to_numpy())
 
 
+def _slices(texts: pa.Array, most: int = 2 << 20) -> Iterator[pa.Array]:
+    """Consecutive parts of a string column with about ``most`` bytes, one row at least."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy())
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, most + (ends[at - 1] if at else 0), side="right")))
+        yield texts.slice(at, stop - at)
+        at = stop
+
+
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, pa.Array, bool]]:
     """(chunk, ids, texts, whether the chunk ends here); the same cuts on each pass over the same split."""
     from pyspark import TaskContext
@@ -183,9 +201,11 @@ def units_by_chunk(docs: DataFrame, path: str) -> DataFrame:
             words.clear()
 
         for at, _, texts, ends in _chunked(batches):
-            words.update(distinct_words(texts)[0])
+            for part in _slices(texts):
+                words.update(distinct_words(part)[0])
             if ends:
                 yield from out(at)
+                give_back()
         if words:
             yield from out(at)
 
@@ -306,15 +326,22 @@ def _bounds(mask: int) -> list[int]:
 
 def _encode_chunk(vocab: Vocabulary, ids: list, texts: pa.Array, masks: np.ndarray, longer: dict[int, list[int]]) -> Iterator[pa.RecordBatch]:
     """Ids of a chunk's documents from the boundaries of its units, which come by position."""
-    words, order, counts = distinct_words(texts)
-    del texts
-    cuts = list(map(vocab.cut, words))
+    index: dict[str, int] = {}
+    orders, numbers = [], []
+    for part in _slices(texts):
+        words, order, counts = distinct_words(part)
+        spots = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int32, len(words))
+        orders.append(spots[order])
+        numbers.append(counts)
+    del texts, part, words
+    order, counts = np.concatenate(orders), np.concatenate(numbers)
+    cuts = list(map(vocab.cut, index))
     units = sorted(set().union(*cuts))
     if len(units) != len(masks):
         raise ValueError("the units of a chunk changed between two passes over the input")
     table = {u: vocab.fill(u, longer[i] if i in longer else _bounds(m) if m else range(len(u) + 1)) for i, (u, m) in enumerate(zip(units, masks.tolist(), strict=True))}
     coded = [table[c[0]] if len(c) == 1 else b"".join([table[u] for u in c]) for c in cuts]
-    del cuts, units, table, words
+    del cuts, units, table, index, orders, numbers
     sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
     lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.frombuffer(b"".join(coded), np.uint32)))
     stops = np.cumsum(counts)
@@ -346,7 +373,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         far = units.filter(pc.is_valid(units["bounds"]))
         longer = dict(zip(far["pos"].to_pylist(), far["bounds"].to_pylist(), strict=True))
         parts = list(_encode_chunk(vocabulary(path), *_unpacked(texts.sort_by("seq")), units["mask"].to_numpy(), longer)) if texts.num_rows else []
-        pa.default_memory_pool().release_unused()
+        give_back()
         return pa.Table.from_batches(parts, pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())]))
 
     # Each side has a shuffle of its own, so that the number of a split is the same in both passes.
