@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orefall.config import RETRIEVAL, ROUTES
-from orefall.functions.text import tokenize
 from orefall.functions.scores import r6
+from orefall.functions.text import tokenize
+from orefall.sources.files import scratch
 
 DIGITS = 6  # scores are ranked as rounded, so that order does not hang on the last bits of a sum
 
@@ -21,11 +22,25 @@ def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFr
     return terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def corpus_stats(docs: DataFrame, posted: DataFrame, text: str = "text") -> DataFrame:
-    """One row (n_docs, avgdl, mean_idf); documents without terms count, with length 0."""
-    size = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(tokenize(F.col(text)))).alias("avgdl"))
-    df = posted.groupBy("term").agg(F.count("*").alias("df"))
-    return df.crossJoin(F.broadcast(size)).agg(F.first("n_docs").alias("n_docs"), F.first("avgdl").alias("avgdl"), F.avg(raw_idf()).alias("mean_idf"), F.count("*").alias("n_terms"))
+def stored_postings(docs: DataFrame) -> DataFrame:
+    """The postings written once among the shared folders: scoring reads them several times, the texts once."""
+    spark = docs.sparkSession
+    path = scratch(spark, "postings")
+    posted = postings(docs)
+    posted.write.parquet(path)
+    return spark.read.schema(posted.schema).parquet(path)
+
+
+def term_counts(posted: DataFrame) -> DataFrame:
+    """(term, df, cf): documents with the term, and how often it occurs."""
+    return posted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+def corpus_stats(docs: DataFrame, posted: DataFrame) -> DataFrame:
+    """One row (n_docs, avgdl, mean_idf, n_terms); documents without terms count, with length 0."""
+    size = docs.agg(F.count("*").alias("n_docs"))
+    sized = term_counts(posted).crossJoin(F.broadcast(size))
+    return sized.agg(F.max("n_docs").alias("n_docs"), F.try_divide(F.sum("cf").cast("double"), F.max("n_docs")).alias("avgdl"), F.avg(raw_idf()).alias("mean_idf"), F.count("*").alias("n_terms"))
 
 
 def raw_idf() -> Column:
@@ -43,10 +58,9 @@ def bm25_search(queries: DataFrame, docs: DataFrame, k: int, posted: DataFrame |
     query terms reach the scoring join.
     """
     p = RETRIEVAL
-    posted = postings(docs) if posted is None else posted
+    posted = stored_postings(docs) if posted is None else posted
     asked = queries.select("qid", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    df = posted.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(corpus_stats(docs, posted)))
+    idf = term_counts(posted).crossJoin(F.broadcast(corpus_stats(docs, posted)))
     idf = idf.join(asked.select("term").distinct(), "term", "left_semi")
     idf = idf.select("term", "avgdl", F.when(raw_idf() < 0, p.bm25_floor * F.col("mean_idf")).otherwise(raw_idf()).alias("idf"))
     weight = F.col("qtf") * F.col("idf") * F.col("tf") * (p.bm25_k1 + 1) / (F.col("tf") + p.bm25_k1 * (1 - p.bm25_b + p.bm25_b * F.col("dl") / F.col("avgdl")))
