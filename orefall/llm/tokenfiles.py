@@ -23,11 +23,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orefall.llm.common import maybe_broadcast, shared_dir
+from orefall.llm.common import give_back, maybe_broadcast, shared_dir
 from orefall.llm.ranges import dealt_texts
 
 END_ID = 2
-KEEP_PIECES = 240_000
+KEEP_PIECES = 300_000
 FILE_SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids array<int>"
 
 class Encoder:
@@ -187,7 +187,7 @@ def encode_column(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return values, np.diff(before[lists.offsets.to_numpy() - lists.offsets[0].as_py()])
 
 
-def _portions(batch: pa.RecordBatch, most: int = 5 << 20) -> Iterator[pa.RecordBatch]:
+def _portions(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes of text, one row at least."""
     ends = np.cumsum(pc.binary_length(batch.column("payload")).to_numpy())
     at = 0
@@ -222,7 +222,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, end_id: in
                 )
                 start += int(ends[-1])
                 del values, flat, inner, lists
-                pa.default_memory_pool().release_unused()
+                give_back()
 
     dealt = dealt_texts(docs, parts=parts, pack=False).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "payload")
     (
