@@ -19,8 +19,9 @@ from __future__ import annotations
 
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -72,11 +73,9 @@ class Vocabulary:
             return (word,)
         return tuple(word[a:b] for a, b in zip([0, *spots], [*spots, len(word)], strict=True))
 
-    def units(self, words: Iterable[str]) -> set[str]:
-        out: set[str] = set()
-        for w in words:
-            out.update(self.cut(w))
-        return out
+    def units(self, words: Iterable[str]) -> list[str]:
+        """Distinct units in the order they first occur."""
+        return list(dict.fromkeys(chain.from_iterable(map(self.cut, words))))
 
     def single(self, char: str) -> list[int]:
         got = self.ids.get(char)
@@ -188,13 +187,13 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array,
 
 
 def units_by_chunk(docs: DataFrame, path: str) -> DataFrame:
-    """(chunk, pos, unit): the distinct units of each chunk of documents, in ascending order from position 0."""
+    """(chunk, pos, unit): the distinct units of each chunk of documents, numbered from 0 in the order they first occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, words, at = vocabulary(path), set(), 0
+        vocab, words, at = vocabulary(path), {}, 0
 
         def out(chunk: int) -> Iterator[pa.RecordBatch]:
-            units = sorted(vocab.units(words))
+            units = vocab.units(words)
             for lo in range(0, len(units), 50_000):
                 part = units[lo : lo + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk)), pa.array(np.arange(lo, lo + len(part), dtype=np.int32)), pa.array(part, pa.string())], names=["chunk", "pos", "unit"])
@@ -202,7 +201,7 @@ def units_by_chunk(docs: DataFrame, path: str) -> DataFrame:
 
         for at, _, texts, ends in _chunked(batches):
             for part in _slices(texts):
-                words.update(distinct_words(part)[0])
+                words.update(dict.fromkeys(distinct_words(part)[0]))
             if ends:
                 yield from out(at)
                 give_back()
@@ -336,7 +335,7 @@ def _encode_chunk(vocab: Vocabulary, ids: list, texts: pa.Array, masks: np.ndarr
     del texts, part, words
     order, counts = np.concatenate(orders), np.concatenate(numbers)
     cuts = list(map(vocab.cut, index))
-    units = sorted(set().union(*cuts))
+    units = list(dict.fromkeys(chain.from_iterable(cuts)))
     if len(units) != len(masks):
         raise ValueError("the units of a chunk changed between two passes over the input")
     table = {u: vocab.fill(u, longer[i] if i in longer else _bounds(m) if m else range(len(u) + 1)) for i, (u, m) in enumerate(zip(units, masks.tolist(), strict=True))}
@@ -359,6 +358,16 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     Null and empty texts have no ids. Rows that repeat a document each get a row.
     """
+    return _encoded(docs, path, lambda batch: batch, ENCODED)
+
+
+def encode_digest(docs: DataFrame, path: str) -> DataFrame:
+    """``encoding_digest`` of ``encode``, taken where the ids are made so that they are not moved."""
+    return _encoded(docs, path, lambda batch: _digest(batch, path), DIGEST)
+
+
+def _encoded(docs: DataFrame, path: str, finish: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """Rows that ``finish`` makes of the batches of encoded documents."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
@@ -372,12 +381,14 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         units = units.sort_by("pos").combine_chunks()
         far = units.filter(pc.is_valid(units["bounds"]))
         longer = dict(zip(far["pos"].to_pylist(), far["bounds"].to_pylist(), strict=True))
-        parts = list(_encode_chunk(vocabulary(path), *_unpacked(texts.sort_by("seq")), units["mask"].to_numpy(), longer)) if texts.num_rows else []
+        empty = pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.binary())], names=["doc_id", "ids"])
+        encoded = _encode_chunk(vocabulary(path), *_unpacked(texts.sort_by("seq")), units["mask"].to_numpy(), longer) if texts.num_rows else iter([empty])
+        parts = list(map(finish, encoded))
         give_back()
-        return pa.Table.from_batches(parts, pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())]))
+        return pa.Table.from_batches(parts)
 
     # Each side has a shuffle of its own, so that the number of a split is the same in both passes.
-    return _packed_chunks(docs).groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(solve, ENCODED)
+    return _packed_chunks(docs).groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(solve, schema)
 
 
 def _ids_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -399,19 +410,25 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
+DIGEST = "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string"
+
+
+def _digest(batch: pa.RecordBatch, path: str) -> pa.RecordBatch:
+    import hashlib
+
+    raw = [i or b"" for i in batch.column("ids").to_pylist()]
+    texts = vocabulary(path).decode(*_ids_of(batch.column("ids"))) if raw else []
+    return pa.RecordBatch.from_arrays(
+        [batch.column("doc_id"), pa.array([len(i) // 4 for i in raw], pa.int64()), pa.array([zlib.crc32(i) for i in raw], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())],
+        names=["doc_id", "n_tokens", "ids_crc32", "decoded_sha256"],
+    )
+
+
 def encoding_digest(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_crc32, decoded_sha256): the ids, and the text that they decode to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         for b in batches:
-            if b.num_rows:
-                raw = b.column("ids").to_pylist()
-                texts = vocabulary(path).decode(*_ids_of(b.column("ids")))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array([len(i) // 4 for i in raw], pa.int64()), pa.array([zlib.crc32(i) for i in raw], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])],
-                    names=["doc_id", "n_tokens", "ids_crc32", "decoded_sha256"],
-                )
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string")
+            yield _digest(b, path)
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, DIGEST)

@@ -59,7 +59,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("piece_bpe_32k.model")
-    return pieces.encoding_digest(pieces.encode(table(spark, sf_dir, "documents"), path), path)
+    return pieces.encode_digest(table(spark, sf_dir, "documents"), path)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

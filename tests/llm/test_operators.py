@@ -458,7 +458,8 @@ def sp():
 
 
 def test_pieces_equal_the_library(spark, docs, texts, sp):
-    got = {r["doc_id"]: r for r in pieces.encoding_digest(pieces.encode(docs, PIECES), PIECES).collect()}
+    got = {r["doc_id"]: r for r in pieces.encode_digest(docs, PIECES).collect()}
+    assert got == {r["doc_id"]: r for r in pieces.encoding_digest(pieces.encode(docs, PIECES), PIECES).collect()}
     for i, t in texts.items():
         ids = sp.encode(t)
         assert (got[i]["n_tokens"], got[i]["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
@@ -476,7 +477,7 @@ def test_pieces_of_odd_texts(spark, odd, none, sp):
     assert encoded.count() == len(ODD)
     back = {r["doc_id"]: r["text"] for r in pieces.decode(encoded, PIECES).collect()}
     assert back[6] == LONG and back[2] == back[3] == "" and back[9] == "12345 !!"
-    assert pieces.encode(none, PIECES).count() == 0
+    assert pieces.encode(none, PIECES).count() == 0 and pieces.encode_digest(none, PIECES).count() == 0
 
 
 # --- pipeline
