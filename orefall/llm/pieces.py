@@ -17,6 +17,7 @@ split with at most ``CHUNK_BYTES`` of text, and needs only the units that it hol
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections.abc import Callable, Iterable, Iterator
@@ -73,9 +74,8 @@ class Vocabulary:
             return (word,)
         return tuple(word[a:b] for a, b in zip([0, *spots], [*spots, len(word)], strict=True))
 
-    def units(self, words: Iterable[str]) -> list[str]:
-        """Distinct units in the order they first occur."""
-        return list(dict.fromkeys(chain.from_iterable(map(self.cut, words))))
+    def units(self, words: Iterable[str]) -> set[str]:
+        return set(chain.from_iterable(map(self.cut, words)))
 
     def single(self, char: str) -> list[int]:
         got = self.ids.get(char)
@@ -187,13 +187,13 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array,
 
 
 def units_by_chunk(docs: DataFrame, path: str) -> DataFrame:
-    """(chunk, pos, unit): the distinct units of each chunk of documents, numbered from 0 in the order they first occur."""
+    """(chunk, pos, unit): the distinct units of each chunk of documents, numbered from 0 in ascending order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, words, at = vocabulary(path), {}, 0
 
         def out(chunk: int) -> Iterator[pa.RecordBatch]:
-            units = vocab.units(words)
+            units = sorted(vocab.units(words))
             for lo in range(0, len(units), 50_000):
                 part = units[lo : lo + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk)), pa.array(np.arange(lo, lo + len(part), dtype=np.int32)), pa.array(part, pa.string())], names=["chunk", "pos", "unit"])
@@ -335,7 +335,7 @@ def _encode_chunk(vocab: Vocabulary, ids: list, texts: pa.Array, masks: np.ndarr
     del texts, part, words
     order, counts = np.concatenate(orders), np.concatenate(numbers)
     cuts = list(map(vocab.cut, index))
-    units = list(dict.fromkeys(chain.from_iterable(cuts)))
+    units = sorted(set(chain.from_iterable(cuts)))
     if len(units) != len(masks):
         raise ValueError("the units of a chunk changed between two passes over the input")
     table = {u: vocab.fill(u, longer[i] if i in longer else _bounds(m) if m else range(len(u) + 1)) for i, (u, m) in enumerate(zip(units, masks.tolist(), strict=True))}
@@ -353,6 +353,60 @@ def _encode_chunk(vocab: Vocabulary, ids: list, texts: pa.Array, masks: np.ndarr
         yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi], pa.int64()), pa.array([raw[a:b] for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], names=["doc_id", "ids"])
 
 
+PACK_ROWS = 400_000
+
+
+def _packed_units(known: DataFrame) -> DataFrame:
+    """(chunk, n, payload, longer): the units of a chunk that a task holds in one row, positions and masks packed together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        zip_ = zstandard.ZstdCompressor(level=3)
+        held: list[list] = [[], [], []]
+        far: dict[int, dict[int, list[int]]] = {}
+
+        def out() -> pa.RecordBatch:
+            chunk, pos, mask = map(np.concatenate, held)
+            order = np.lexsort((pos, chunk))
+            chunk, pos, mask = chunk[order], pos[order], mask[order]
+            starts = np.r_[0, np.flatnonzero(chunk[1:] != chunk[:-1]) + 1]
+            stops = np.r_[starts[1:], len(chunk)]
+            keys = chunk[starts].tolist()
+            blobs = [zip_.compress(pos[a:b].tobytes() + mask[a:b].tobytes()) for a, b in zip(starts, stops, strict=True)]
+            longer = [json.dumps(far[k]).encode() if k in far else None for k in keys]
+            for x in held:
+                x.clear()
+            far.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array((stops - starts).astype(np.int32)), pa.array(blobs, pa.binary()), pa.array(longer, pa.binary())], names=["chunk", "n", "payload", "longer"])
+
+        for b in batches:
+            for x, name in zip(held, ("chunk", "pos", "mask"), strict=True):
+                x.append(b.column(name).to_numpy(zero_copy_only=False))
+            some = b.filter(pc.is_valid(b.column("bounds")))
+            for k, p, bounds in zip(*(some.column(c).to_pylist() for c in ("chunk", "pos", "bounds")), strict=True):
+                far.setdefault(k, {})[p] = bounds
+            if sum(map(len, held[0])) >= PACK_ROWS:
+                yield out()
+        if sum(map(len, held[0])):
+            yield out()
+
+    return known.mapInArrow(run, "chunk long, n int, payload binary, longer binary")
+
+
+def _unpacked_units(packed: pa.Table) -> tuple[np.ndarray, dict[int, list[int]]]:
+    """(masks by position, bounds of the longer units by position) of a chunk."""
+    import zstandard
+
+    unzip = zstandard.ZstdDecompressor()
+    sizes = packed["n"].to_pylist()
+    masks = np.zeros(sum(sizes), np.int64)
+    for n, blob in zip(sizes, packed["payload"].to_pylist(), strict=True):
+        raw = unzip.decompress(blob)
+        masks[np.frombuffer(raw, np.int32, n)] = np.frombuffer(raw, np.int64, n, 4 * n)
+    return masks, {int(p): b for more in packed["longer"].to_pylist() if more for p, b in json.loads(more).items()}
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids) for each row: ids as packed little-endian unsigned 32-bit integers.
 
@@ -378,17 +432,14 @@ def _encoded(docs: DataFrame, path: str, finish: Callable[[pa.RecordBatch], pa.R
     known = found.join(paths.hint("merge"), "unit", "left").select("chunk", "pos", F.coalesce("mask", F.lit(0)).cast("long").alias("mask"), "bounds")
 
     def solve(texts: pa.Table, units: pa.Table) -> pa.Table:
-        units = units.sort_by("pos").combine_chunks()
-        far = units.filter(pc.is_valid(units["bounds"]))
-        longer = dict(zip(far["pos"].to_pylist(), far["bounds"].to_pylist(), strict=True))
         empty = pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.binary())], names=["doc_id", "ids"])
-        encoded = _encode_chunk(vocabulary(path), *_unpacked(texts.sort_by("seq")), units["mask"].to_numpy(), longer) if texts.num_rows else iter([empty])
+        encoded = _encode_chunk(vocabulary(path), *_unpacked(texts.sort_by("seq")), *_unpacked_units(units)) if texts.num_rows else iter([empty])
         parts = list(map(finish, encoded))
         give_back()
         return pa.Table.from_batches(parts)
 
     # Each side has a shuffle of its own, so that the number of a split is the same in both passes.
-    return _packed_chunks(docs).groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(solve, schema)
+    return _packed_chunks(docs).groupBy("chunk").cogroup(_packed_units(known).groupBy("chunk")).applyInArrow(solve, schema)
 
 
 def _ids_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
