@@ -1,6 +1,7 @@
 """Secret scans with a random forest that removes false positives.
 
-Patterns propose candidates in whole texts. Each candidate is described by its length and
+Patterns propose candidates in whole texts: known formats, long runs of key characters with a
+digit, and what is assigned to a secret word by = or :, however short or punctuated. Each candidate is described by its length and
 characters, the transitions between them, how much of it a dictionary of common word parts
 covers, whether it stands in a path or URL, and the words beside it. A random forest, trained
 here from labelled findings, decides which candidates are secrets.
@@ -13,6 +14,7 @@ numbers as the false ones) with a fixed seed, set beside words that go with them
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +30,7 @@ CANDIDATE = re.compile(
     r"|(?P<forge>\bgh[opsur]_[0-9A-Za-z]{36,}\b)"
     r"|(?P<chat>\bxox[abprs]-[0-9A-Za-z-]{10,})"
     r"|(?P<jwt>\beyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{4,})"
-    r"|(?P<general>(?<![0-9A-Za-z+/_=-])(?=[A-Za-z+/_=-]*[0-9])[0-9A-Za-z+/_-]{16,}={0,2}(?![0-9A-Za-z+/_=-]))"
+    r"|(?P<general>(?<![0-9A-Za-z+/_-])(?=[A-Za-z+/_-]*[0-9])[0-9A-Za-z+/_-]{16,}={0,2}(?![0-9A-Za-z+/_=-]))"
 )
 # Words that stand beside secrets, and beside things that only look like them.
 SECRET_WORDS = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "access_key", "auth", "bearer", "credential", "private", "key")
@@ -37,12 +39,39 @@ DICTIONARY = frozenset(
     "the and ing ion ent tion for her ter hat tha ere ate his con res ver all ons nce men ith ted ers pro thi wit are ess not ive was ect rea com eve per int est sta cti ica ist ear ain one our iti rat ell "
     "sch ein ich die der und den cht ung gen ver ber ten que ent les des ait ous est par eur ado cia men ara con nte aci".split()
 )
-KINDS = ("pem", "aws", "forge", "chat", "jwt", "general")
+KINDS = ("pem", "aws", "forge", "chat", "jwt", "general", "assigned")
+UNKNOWN_FORMATS = ("general", "assigned")
+# What follows = or :, in quotes or up to a blank or bracket; and the secret word that must stand before the sign.
+ASSIGNED = re.compile(r"""(?::=|=>|={1,3}|:)\s{0,3}(?:[!*|]{1,3}\s{1,3})?(?:"(?P<double>[^"\s]{6,})"|'(?P<single>[^'\s]{6,})'|`(?P<back>[^`\s]{6,})`|(?P<bare>[^\s"'`,;&<>()\[\]{}=:][^\s"'`,;&<>()\[\]{}]{5,}))""")
+ASSIGNS = re.compile(rf"(?<![a-z])(?:{'|'.join(map(re.escape, SECRET_WORDS))})s?[0-9]{{0,2}}[\s!*|\"'`\]]{{0,6}}$")
 FEATURES = ("length", "digits", "upper", "lower", "other", "kinds", "class_changes", "repeats", "entropy", "hex", "covered", "path", "secret_word", "other_word", "assigned", "quoted", "known_format")
 AROUND = 40
 TREES, DEPTH = 40, 7
 
 
+def _lowered(before: str) -> str:
+    """Lower case, with a mark between the parts of camelCase names."""
+    return re.sub(r"(?<=[a-z])(?=[A-Z])", "_", before).lower()
+
+
+def candidates_of(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of each candidate, in order. An assigned value may hold or cut general ones, but no known format."""
+    out = [(m.start(), m.end(), m.lastgroup) for m in CANDIDATE.finditer(text)]
+    more, at = [], 0
+    for m in ASSIGNED.finditer(text):
+        if not ASSIGNS.search(_lowered(text[max(0, m.start() - AROUND) : m.start()])):
+            continue
+        lo, hi = m.span(m.lastgroup)
+        while m.lastgroup == "bare" and hi > lo and text[hi - 1] in ".!?:":  # a sentence's end
+            hi -= 1
+        while at < len(out) and out[at][1] <= lo:
+            at += 1
+        met = out[at : bisect_left(out, (hi,), lo=at)]
+        if hi - lo >= 6 and all(kind == "general" and (a, b) != (lo, hi) for a, b, kind in met):
+            more.append((lo, hi, "assigned"))
+    return sorted(out + more) if more else out
+
+
 def features_of(text: str, start: int, end: int, kind: str) -> list[float]:
     """FEATURES of the candidate text[start:end]."""
     s = text[start:end]
@@ -55,7 +84,7 @@ def features_of(text: str, start: int, end: int, kind: str) -> list[float]:
         if low[i : i + 3] in DICTIONARY:
             covered[i : i + 3] = True
     before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
-    near = before.lower()
+    near = _lowered(before)
     line = before.rpartition("\n")[2].split(" ")[-1]
     has = lambda words: float(any(re.search(rf"(?<![a-z]){re.escape(w)}s?(?![a-z])", near) for w in words))
     return [
@@ -63,22 +92,43 @@ def features_of(text: str, start: int, end: int, kind: str) -> list[float]:
         sum(a != b for a, b in zip(classes, classes[1:], strict=False)) / n, sum(a == b for a, b in zip(s, s[1:], strict=False)) / n,
         float(-(counts * np.log2(counts)).sum()), float(all(c in "0123456789abcdefABCDEF" for c in s)), covered.mean(),
         float(s.count("/") >= 2 or "://" in line or "/" in line or after[:1] in ("/", ".")), has(SECRET_WORDS), has(OTHER_WORDS),
-        float(bool(re.search(r"[=:]\W{0,6}$", before))), float(before[-1:] in ("\"", "'", "`")), float(kind != "general"),
+        float(bool(re.search(r"[=:]\W{0,6}$", before))), float(before[-1:] in ("\"", "'", "`")), float(kind not in UNKNOWN_FORMATS),
     ]
 
 
-def labelled_findings(n: int = 2400, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """(features, is a secret) of ``n`` labelled findings."""
+def labelled_texts(n: int = 3600, seed: int = 11) -> list[tuple[str, int, int, int]]:
+    """(text, start, end, is a secret) of ``n`` labelled findings."""
     rng = np.random.default_rng(seed)
     hexes, alnum = "0123456789abcdef", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
     draw = lambda chars, k: "".join(rng.choice(list(chars), k))
     parts = sorted(DICTIONARY)
     word = lambda: "".join(rng.choice(parts, rng.integers(1, 4)))
     prose = lambda: " ".join(word() for _ in range(rng.integers(2, 7)))
-    rows, marks = [], []
+    marks = list("!@#$%^*?.~-_+")
+    out = []
     for i in range(n):
         true = i % 2
-        if true:
+        if i % 6 >= 4:  # short, punctuated or digit-free values behind a secret word and a sign
+            lead = rng.choice(["token", "secret", "password", "PASSWORD", "passwd", "pwd", "DB_PASSWORD", "dbPassword", "api_key", "auth_token", "credential", "client_secret"])
+            join = rng.choice(["=", " = ", ": ", ":", " = \"", "=\"", ": \"", "='", " := \"", "\": \""])
+            title = word().title()
+            if true:
+                value = [
+                    draw(alnum, rng.integers(10, 20)), draw(alnum[10:], rng.integers(16, 40)), title + draw("0123456789", rng.integers(2, 5)) + rng.choice(marks), draw(alnum + "!@#$%^*?~+", rng.integers(8, 24)),
+                    title[0] + "4" + title[1:] + rng.choice(marks) + draw("0123456789", 2) + word(), word().title() + rng.choice(marks) + title + draw("0123456789", rng.integers(1, 4)), draw(alnum, rng.integers(8, 14)) + rng.choice(marks) + draw(alnum, rng.integers(4, 10)),
+                    word() + word() + draw("0123456789", rng.integers(1, 5)),
+                ][rng.integers(8)]
+                value += draw("0123456789", 2) if len(value) < 8 else ""
+                value = "x" + value if value[-1] in ".!?:" and not join.endswith(("\"", "'")) else value
+                value = value.rstrip(".!?:") if not join.endswith(("\"", "'")) else value
+                value += draw(alnum, max(0, 8 - len(value)))
+            else:
+                value = [
+                    word() + word(), word() + word() + rng.choice(["()", ".", ","]), "_".join(word() for _ in range(3)), ".".join(word() for _ in range(3)), "-".join(word() for _ in range(2)) + "-" + word(), title + word(), "$" + word().upper() + "_" + word().upper(), "*" * int(rng.integers(6, 12)),
+                    "xxxxxxxx"[: int(rng.integers(6, 9))], "changeme", "required", "optional", "https://" + word() + ".org/" + word(), "/" + word() + "/" + word() + "/" + word(), "undefined", draw("0123456789", 6), word() + "_" + word() + ".get_" + word(), "process.env." + word().upper(), "String", "string", "self." + word() + word(),
+                ][rng.integers(21)]
+                value = value if len(value) >= 6 else value + word() + "es"
+        elif true:
             value = [draw(hexes, rng.choice([32, 40, 64])), draw(alnum, rng.integers(20, 44)), draw(alnum + "+/", 40), draw(alnum + "_-", rng.integers(24, 64)), "AKIA" + draw(alnum[:36], 16), "ghp_" + draw(alnum, 36)][rng.integers(6)]
             lead = rng.choice(["token", "secret", "password", "api_key", "apikey", "access_key", "auth_token", "client_secret", "private key", "bearer"])
             join = rng.choice([" = \"", "=", ": ", " = '", ": \"", " ", ' := "', "=\"", "!! =!! \"", "*** =*** \"", " | = | \""])
@@ -93,14 +143,21 @@ def labelled_findings(n: int = 2400, seed: int = 11) -> tuple[np.ndarray, np.nda
             ][kind]
             lead = rng.choice(["token", "password", "key"]) if kind >= 6 or (kind in (4, 5) and rng.random() < 0.2) else rng.choice(["sha1", "md5", "commit", "checksum", "uuid", "file", "id", "card", "build", word(), word()])
             join = rng.choice([" ", ": ", " = ", "=", " \"", "!! "])
-        if rng.random() < 0.3:
+        if i % 6 < 4 and rng.random() < 0.3:
             value, lead = (value.upper(), lead.upper()) if rng.random() < 0.3 and not value.startswith(("ghp_", "AKIA")) else (value, lead)
         text = f"{prose()} {lead}{join}"
         start = len(text)
-        text += f"{value}{'\"' if join.endswith('\"') else ''} {prose()}"
-        rows.append(features_of(text, start, start + len(value), "aws" if value.startswith("AKIA") else "forge" if value.startswith("ghp_") else "general"))
-        marks.append(true)
-    return np.array(rows), np.array(marks)
+        closing = join[-1] if join[-1] in "\"'" else ""
+        text += f"{value}{closing} {prose()}"
+        out.append((text, start, start + len(value), true))
+    return out
+
+
+def labelled_findings(n: int = 3600, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """(features, is a secret) of ``n`` labelled findings."""
+    drawn = labelled_texts(n, seed)
+    kinds = ["aws" if t.startswith("AKIA", lo) else "forge" if t.startswith("ghp_", lo) else "general" for t, lo, _, _ in drawn]
+    return np.array([features_of(t, lo, hi, k) for (t, lo, hi, _), k in zip(drawn, kinds, strict=True)]), np.array([true for *_, true in drawn])
 
 
 class Forest:
@@ -164,18 +221,31 @@ def trained_forest() -> Forest:
     return Forest.fit(*labelled_findings())
 
 
-def scan(texts: list[str | None], forest: Forest) -> list[list[tuple[int, int, str, float]]]:
-    """(start, end, kind, score) of each candidate of each whole text, in order."""
+def scan(texts: list[str | None], forest: Forest, cut: float = 0.5) -> list[list[tuple[int, int, str, float]]]:
+    """(start, end, kind, score) of each candidate of each whole text, in order.
+
+    Of findings that overlap, secrets come before others, then assigned values before general ones.
+    """
     spots, rows = [], []
     for i, t in enumerate(texts):
-        for m in CANDIDATE.finditer(t or ""):
-            spots.append((i, m.start(), m.end(), m.lastgroup))
-            rows.append([1.0] * len(FEATURES) if m.lastgroup == "pem" else features_of(t, m.start(), m.end(), m.lastgroup))
+        for lo, hi, kind in candidates_of(t or ""):
+            spots.append((i, lo, hi, kind))
+            rows.append([1.0] * len(FEATURES) if kind == "pem" else features_of(t, lo, hi, kind))
     scores = forest.predict(np.array(rows)) if rows else []
     out: list[list] = [[] for _ in texts]
     for (i, lo, hi, kind), p in zip(spots, scores, strict=True):
         out[i].append((lo, hi, kind, 1.0 if kind == "pem" else float(p)))
-    return out
+    return [_parted(found, cut) if any(f[2] == "assigned" for f in found) else found for found in out]
+
+
+def _parted(found: list[tuple[int, int, str, float]], cut: float) -> list[tuple[int, int, str, float]]:
+    """Findings in order without overlaps of assigned values with general candidates or each other."""
+    kept: list[tuple[int, int, str, float]] = []
+    for f in sorted(found, key=lambda f: (f[3] >= cut, f[2] == "assigned", f[3]), reverse=True):
+        at = bisect_left(kept, f)
+        if (at == 0 or kept[at - 1][1] <= f[0]) and (at == len(kept) or kept[at][0] >= f[1]):
+            kept.insert(at, f)
+    return kept
 
 
 FINDINGS = "doc_id long, start int, end int, kind string, score double, is_secret boolean"

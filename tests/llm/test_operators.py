@@ -184,6 +184,27 @@ def test_secrets_found_and_masked(spark, odd, none):
     assert secrets.find_secrets(none).count() == 0
 
 
+def test_secrets_of_every_lead_and_join(spark):
+    drawn = secrets.labelled_texts(2400, seed=91)
+    d = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(drawn)], "doc_id long, text string")
+    spans = {}
+    for r in secrets.find_secrets(d).where("is_secret").collect():
+        spans.setdefault(r["doc_id"], []).append((r["start"], r["end"]))
+    whole = [any(a <= lo and b >= hi for a, b in spans.get(i, ())) for i, (_, lo, hi, true) in enumerate(drawn) if true]
+    false = [any(a < hi and b > lo for a, b in spans.get(i, ())) for i, (_, lo, hi, true) in enumerate(drawn) if not true]
+    assert np.mean(whole) > 0.95 and np.mean(false) < 0.03
+
+
+def test_secrets_in_settings_and_urls(spark):
+    key = "wJalrXUtnFEMIK7MDENGbPxRfiCYzz9KqTr4mNpQ"
+    values = ["8f3a9c0d1e2b4a5f6c7d8e9f0a1b2c3d", key, key, "Sup3rS3cretPassw0rd99", "8f3a9c0d1e2b4a5f6c7d8e9f0a1b2c3d", key, "Tr0ub4dor&3x!", "qWeRtYuIoPaSdFgHjKlZxCvB", "k9#Lm2$vQ8z"]
+    forms = ["token={}", "api_key={}", "aws_secret_access_key={}", "export DB_PASSWORD={}", "see http://a.org/x?access_token={}&page=2 there", "key={} in", 'password: "{}"', "secret = {} there", "'passwd': '{}',"]
+    plain = ["def f(token: string) -> None", "password: required", "key = self.name", "id=12345678901234567890", "sha1=8f3a9c0d1e2b4a5f6c7d8e9f0a1b2c3d8f3a9c0d", "monkey: banana-split"]
+    rows = [(i, f.format(v)) for i, (f, v) in enumerate(zip(forms, values, strict=True))] + [(100 + i, t) for i, t in enumerate(plain)]
+    out = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {i: forms[i].format(secrets.MASK) if i < 100 else t for i, t in rows}
+
+
 def test_secret_query_against_a_plain_scan(docs, texts):
     got = sorted((r["doc_id"], r["start"], r["end"], r["is_secret"]) for r in secrets.find_secrets(docs).collect())
     forest = secrets.trained_forest()
