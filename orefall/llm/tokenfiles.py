@@ -33,12 +33,15 @@ FILE_SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids array
 class Encoder:
     """A tokenizer and the pieces it has encoded, in two generations: what is not used while the new one fills up goes."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, plain: bool) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = plain
+        self.special = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(c.isspace() for t in self.special for c in t):
+            raise ValueError("an added token holds white space, where texts are cut")
         self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.kept: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -50,13 +53,13 @@ class Encoder:
         return self.kept
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def _encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def _encoder(path: str, plain: bool) -> Encoder:
+    if (path, plain) not in _encoders:
+        _encoders[path, plain] = Encoder(path, plain)
+    return _encoders[path, plain]
 
 
 MARK = "\x01"
@@ -100,14 +103,16 @@ _LETTERS = _byte_letters()
 _BLANK = _LETTERS[32]
 
 
-def _packed(pieces: list[str], path: str) -> list[bytes]:
+def _packed(pieces: list[str], path: str, plain_specials: bool) -> list[bytes]:
     """Packed uint32 ids of each distinct piece, through the worker's store.
 
     A word of letters only, with or without a blank before it, is one pre-token and goes
     straight to the tokenizer's model. Others without white space inside are encoded many at
-    a time, parted by line feeds, which are tokens of their own.
+    a time, parted by line feeds, which are tokens of their own. A piece with the string of an
+    added token goes alone, since white space beside that token is cut in another way.
     """
-    encoder = _encoder(path)
+    encoder = _encoder(path, plain_specials)
+    special = encoder.special
     tokenizer, feed, kept, old = encoder.tokenizer, encoder.feed, encoder.fresh(), encoder.old
     found = list(map(kept.get, pieces))
     spots = [i for i, ids in enumerate(found) if ids is None]
@@ -123,6 +128,8 @@ def _packed(pieces: list[str], path: str) -> list[bytes]:
         if (p[1:] if p[0] == " " else p).isalpha():
             word = (_BLANK + p[1:] if p[0] == " " else p) if p.isascii() else p.encode("utf-8").decode("latin-1").translate(_LETTERS)
             kept[p] = array("I", [t.id for t in whole(word)]).tobytes()
+        elif any(t in p for t in special):
+            rest.append(p)
         elif len(p.split()) == 1 and not p[-1].isspace() and not p[1:2].isspace() and (p[0] == " " or not p[0].isspace()):
             plain.append(p)
         else:
@@ -142,11 +149,15 @@ def _packed(pieces: list[str], path: str) -> list[bytes]:
     return found
 
 
-def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
-    """Token ids of each text as uint32 arrays, equal to the library's for the whole text."""
+def encode_texts(texts: list[str], path: str, plain_specials: bool = True) -> list[np.ndarray]:
+    """Token ids of each text as uint32 arrays, equal to the library's for the whole text.
+
+    Strings of special tokens in a text are ordinary text, or, without ``plain_specials``,
+    those tokens, as in the library by default.
+    """
     split = [safe_pieces(t) if t else [] for t in texts]
     distinct = list(set().union(*split))
-    table = dict(zip(distinct, _packed(distinct, path), strict=True))
+    table = dict(zip(distinct, _packed(distinct, path, plain_specials), strict=True))
     return [np.frombuffer(b"".join([table[p] for p in s]), dtype=np.uint32) for s in split]
 
 
@@ -156,7 +167,7 @@ _TAIL = r"([\p{L}\p{N}])([.,;:!?]+)([ \n]|$)"
 _CAREFUL = r"[\x01\x02\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|^[ \n]|[ \n]$"
 
 
-def encode_column(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+def encode_column(texts: pa.Array, path: str, plain_specials: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts in a row, ids in each text) for a string column without nulls.
 
     The column is cut to pieces and these are made distinct by Arrow; Python sees each
@@ -167,7 +178,7 @@ def encode_column(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     whole: dict[str, bytes] = {}
     if len(slow):
         texts = texts.to_pylist()
-        for i, ids in zip(slow, encode_texts([texts[i] for i in slow], path), strict=True):
+        for i, ids in zip(slow, encode_texts([texts[i] for i in slow], path, plain_specials), strict=True):
             whole[f"\x02{i}"] = ids.tobytes()
             texts[i] = f"\x02{i}"
         texts = pa.array(texts, pa.string())
@@ -176,7 +187,7 @@ def encode_column(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     lists = pc.split_pattern(marked, MARK)
     coded = lists.flatten().dictionary_encode()
     pieces = coded.dictionary.to_pylist()
-    packed = _packed([p for p in pieces if p not in whole] if whole else pieces, path)
+    packed = _packed([p for p in pieces if p not in whole] if whole else pieces, path, plain_specials)
     if whole:
         rest = iter(packed)
         packed = [whole[p] if p in whole else next(rest) for p in pieces]
@@ -201,14 +212,15 @@ def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, end_id: in
     """Write the token ids of ``docs`` (doc_id, text) as ORC under ``out``, in ascending doc_id order over the files.
 
     Null texts count as empty and get the end id alone; null ids come first; rows that
-    repeat an id stay beside each other. An empty table gives files without rows.
+    repeat an id stay beside each other. An empty table gives files without rows. The
+    string of a special token in a text gives that token, as in the library by default.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = 0
         for b in batches:
             for part in _portions(b):
-                values, counts = encode_column(part.column("payload").cast(pa.string()), tokenizer_path)
+                values, counts = encode_column(part.column("payload").cast(pa.string()), tokenizer_path, plain_specials=False)
                 counts += 1
                 ends = np.cumsum(counts)
                 flat = np.full(len(values) + len(counts), end_id, dtype=np.int32)

@@ -289,6 +289,32 @@ def test_cut_encoding_equals_the_library(bpe, text):
     assert values.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
 
 
+@pytest.fixture(scope="module")
+def untouched():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(BPE)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*"ab1.'s,\n\t  　\x1c\x01\x02é漢", "<|endoftext|>", "<|endoftext|>", "x\n", " y"]), max_size=24).map("".join))
+def test_cut_encoding_equals_the_untouched_library(untouched, text):
+    want = [untouched.encode(t, add_special_tokens=False).ids for t in (text, "x y", text)]
+    values, counts = tokenfiles.encode_column(pa.array([text, "x y", text]), BPE, plain_specials=False)
+    assert values.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
+
+
+def test_token_files_hold_special_tokens_of_texts(spark, untouched):
+    rows = [(1, "end of one<|endoftext|>start of two"), (2, "a <|endoftext|>\n b"), (3, "plain")]
+    path = tokenfiles.encode_to_files(spark, spark.createDataFrame(rows, "doc_id long, text string"), BPE)
+    got = {r["doc_id"]: (r["start"], list(r["ids"])) for r in tokenfiles.read_token_files(spark, path).collect()}
+    want, start = {}, 0
+    for i, t in rows:
+        want[i] = (start, [*untouched.encode(t, add_special_tokens=False).ids, 2])
+        start += len(want[i][1])
+    assert got == want and 50256 in got[1][1] and got[2][0] == 8
+
+
 def test_token_files_round_trip(spark, docs, texts, bpe):
     path = tokenfiles.encode_to_files(spark, docs, BPE)
     got = {r["doc_id"]: r for r in tokenfiles.ids_digest(tokenfiles.read_token_files(spark, path)).collect()}
