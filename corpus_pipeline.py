@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orefall.llm import langid, packing, secrets, simhash, toxicity
+from orefall.llm import langid, packing, secrets, shingles, toxicity
 from orefall.llm.common import shared_dir, table
 from orefall.session import ship
 
@@ -28,9 +28,9 @@ def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
+    """Of each group of near-duplicates (five-word shingles, Jaccard likeness 0.8 or more) the document with the smallest doc_id stays."""
     ship(spark)
-    return simhash.keep_first(docs)
+    return shingles.keep_first(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

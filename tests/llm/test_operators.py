@@ -13,7 +13,7 @@ from compare import connection, differences
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from orefall.llm import components, langid, multiindex, packing, pieces, queries, secrets, simhash, spotsigs, tokenfiles, toxicity, urlfilter
+from orefall.llm import components, langid, multiindex, packing, pieces, queries, secrets, shingles, simhash, spotsigs, tokenfiles, toxicity, urlfilter
 from orefall.llm.common import table
 
 BPE, PIECES = queries.tokenizer_path("byte_bpe_50k.json"), queries.tokenizer_path("piece_bpe_32k.model")
@@ -530,6 +530,45 @@ def test_pieces_of_odd_texts(spark, odd, none, sp):
 # --- pipeline
 
 
+def shingles_of(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)}
+
+
+def test_shingle_components_against_brute_force(spark, sf, odd, none):
+    rng = np.random.default_rng(5)
+    rows = [(r["doc_id"], r["text"]) for r in table(spark, sf.replace("sf0.001", "sf0.01"), "documents").select("doc_id", "text").collect()]
+    words = [f"w{i}" for i in range(400)]
+    for i in range(60):  # edited copies of one text, some of them close to others only by a chain
+        copy = list(words[:200])
+        for at in rng.choice(200, int(rng.integers(0, 7)), replace=False):
+            copy[at] = f"x{i}"
+        rows.append((10_000 + i, " ".join(copy)))
+    sets, known = Sets(), [(i, shingles_of(t)) for i, t in rows]
+    for k, (i, a) in enumerate(known):
+        sets.find(i)
+        for j, b in known[k + 1 :]:
+            if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b):
+                sets.link(i, j)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for tile in (128, 16):
+        got = {r["doc_id"]: r["component_id"] for r in shingles.shingle_components(d, tile=tile).collect()}
+        assert got == {i: sets.find(i) for i, _ in rows}
+    kept = shingles.keep_first(odd)
+    assert kept.columns == odd.columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "1", "2", "6", "8", "9", "None"]
+    assert shingles.keep_first(none).count() == 0
+
+
+def test_pipeline_drops_edited_copies(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(300)]
+    edited = [("x" if i in (40, 140, 240) else w) for i, w in enumerate(words)]
+    d = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join(words[:200]))], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, d, "").collect()) == [1, 3]
+
+
 def test_pipeline_against_brute_force(spark, sf, docs):
     import corpus_pipeline
 
