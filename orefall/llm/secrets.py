@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 # Formats of well-known credentials, and the general candidate.
 CANDIDATE = re.compile(
-    r"(?P<pem>-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----)"
+    r"(?P<pem>-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"  # to its END line, or over the base64 lines that follow
+    r"(?:(?:[^-]++|-(?!----))*+-----END [A-Z ]{0,24}PRIVATE KEY-----|(?:(?:\s|\\[nr]){1,8}[0-9A-Za-z+/]{40,}={0,2})*(?:(?<=[0-9A-Za-z+/]{40})(?:\s|\\[nr]){1,8}(?=[A-Za-z+/]*[0-9+/=])[0-9A-Za-z+/]{4,39}={0,2}(?![^\s\\]))?))"
     r"|(?P<aws>\b(?:AKIA|ASIA)[0-9A-Z]{16}\b)"
     r"|(?P<forge>\bgh[opsur]_[0-9A-Za-z]{36,}\b)"
     r"|(?P<chat>\bxox[abprs]-[0-9A-Za-z-]{10,})"
