@@ -182,7 +182,10 @@ def identify(docs: DataFrame, net: ByteNet) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, net: ByteNet, least: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` in a learned language with at least that share; the others (no letter, no clear language) go."""
+    """The rows of ``docs`` in a learned language with at least that share; the others (no letter, no clear language) go.
+
+    Where ``net`` has learned no language, the rows with a letter stay.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(net)
     columns, spot = docs.columns, docs.columns.index("text")
 
@@ -190,7 +193,11 @@ def keep_identified(docs: DataFrame, net: ByteNet, least: float = 0.3) -> DataFr
         for b in batches:
             for at in range(0, b.num_rows, 128):
                 part = b.slice(at, 128)
-                langs, scores = shared.value.predict(part.column(spot).to_pylist())
+                texts = part.column(spot).to_pylist()
+                if not shared.value.langs:
+                    yield part.filter(pa.array([bool(t) and _letter.search(t) is not None for t in texts], pa.bool_()))
+                    continue
+                langs, scores = shared.value.predict(texts)
                 yield part.filter(pa.array([a != UNDETERMINED and s >= least for a, s in zip(langs, scores, strict=True)], pa.bool_()))
 
     return docs.select(columns).mapInArrow(run, docs.schema)

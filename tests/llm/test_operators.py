@@ -464,6 +464,11 @@ def test_language_on_odd_rows(odd, none, docs):
     assert {r["lang_pred"] for r in langid.identify(odd, empty).collect()} == {"und"}
 
 
+def test_texts_stay_where_no_language_is_learned(spark):
+    d = spark.createDataFrame([(1, "plain words", None), (2, "12 !!", None), (3, None, None), (4, "é", None)], "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in langid.keep_identified(d, langid.train(d)).collect()) == [1, 4]
+
+
 def test_windows_cover_the_whole_text():
     for n in (0, 1, 255, 256, 257, 1000):
         w, sizes = langid.windows("é" * n)
