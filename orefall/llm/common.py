@@ -50,6 +50,16 @@ def drop_stored(df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def replayable(df: DataFrame, label: str) -> DataFrame:
+    """``df`` itself if it only reads files (columns, filters), so that each pass over it has the same rows in the same splits; else a written copy."""
+
+    def plain(node) -> bool:
+        kids = node.children()
+        return node.getClass().getSimpleName() in ("Project", "Filter", "LogicalRelation") and all(plain(kids.apply(i)) for i in range(kids.size()))
+
+    return df if plain(df._jdf.queryExecution().optimizedPlan()) else store(df, label)
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of an id written as text, modulo n; null ids count as remainder null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

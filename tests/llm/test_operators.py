@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -14,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from orefall.llm import components, langid, multiindex, packing, pieces, queries, secrets, shingles, simhash, spotsigs, tokenfiles, toxicity, urlfilter
-from orefall.llm.common import table
+from orefall.llm.common import replayable, table
 
 BPE, PIECES = queries.tokenizer_path("byte_bpe_50k.json"), queries.tokenizer_path("piece_bpe_32k.model")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, part int, component_id long, score double"
@@ -541,6 +542,28 @@ def test_pieces_of_odd_texts(spark, odd, none, sp):
     assert pieces.encode(none, PIECES).count() == 0 and pieces.encode_digest(none, PIECES).count() == 0
 
 
+def test_long_units_take_linear_time(spark, sp):
+    """A megabyte of one letter, of blanks, of a sign is one unit."""
+    texts = [c * (1 << 20) for c in "a =-"] + ["ab" * 40_000, "x" * 63, "x" * 62, "a b " + " " * 5000 + "c"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    begun = time.monotonic()
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in pieces.encode(d, PIECES).collect()}
+    assert time.monotonic() - begun < 120
+    assert all(got[i] == sp.encode(t) for i, t in enumerate(texts))
+
+
+def test_one_walk_over_the_edges_is_enough():
+    assert pieces.vocabulary(PIECES).consistent()
+
+
+def test_texts_from_a_shuffle_are_written_first(spark, docs, sp):
+    again = replayable(docs.repartition(7).select("doc_id", "text"), "again")
+    assert again.inputFiles() and replayable(docs.select("doc_id"), "again").inputFiles() == docs.inputFiles()
+    few = docs.where("doc_id < 40")
+    got = {r["doc_id"]: r["ids_crc32"] for r in pieces.encode_digest(few.repartition(7), PIECES).collect()}
+    assert got == {r["doc_id"]: zlib.crc32(np.array(sp.encode(r["text"]), "<u4").tobytes()) for r in few.collect()}
+
+
 # --- pipeline
 
 
