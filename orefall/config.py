@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 
+# Weights, limits and bounds of retrieval, routes, cleaning and training samples.
 @dataclass(frozen=True)
 class Retrieval:
     rrf_k: int = 60
@@ -128,3 +129,23 @@ ARXIV_ABS = r"(?i)https?://arxiv\.org/abs/[\w.]+"
 OPENREVIEW = r"(?i)https?://openreview\.net/(?:forum|pdf)\?id=[\w-]+"
 GENERIC_PDF = r"""(?i)https?://[^\s)>\]"']+\.pdf(?:\?[^\s)>\]"']*)?"""
 CODE_PATH = r"([A-Za-z0-9_./-]+\.(?:py|js|ts|tsx|jsx|java|go|rs|cpp|c|h|cs|php|rb|kt|scala|swift))"
+# Symbol patterns (types, functions) by family of languages; Java's classes nest, so the bracket within one is escaped.
+SYMBOL_PATTERNS = {
+    "java": (
+        r"(?:public|protected|private)?\s*(?:static|abstract)?\s*(?:class|interface|enum)\s+([a-zA-Z0-9_]+)",
+        r"(?:public|protected|private)\s+(?:static\s+)?[\w<>\[\]]+\s+([a-zA-Z0-9_]+)\s*\(",
+    ),
+    "ts": (
+        r"class\s+([a-zA-Z0-9_]+)",
+        r"(?:function\s+([a-zA-Z0-9_]+)|const\s+([a-zA-Z0-9_]+)\s*=\s*(?:async\s*)?\(|([a-zA-Z0-9_]+)\s*\([^)]*\)\s*[:\{])",
+    ),
+    "go": (
+        r"type\s+([a-zA-Z0-9_]+)\s+(?:struct|interface)",
+        r"func\s+(?:(?:\(.*\)\s+)?([a-zA-Z0-9_]+)|([a-zA-Z0-9_]+)\()",
+    ),
+}
+# The family of an extension (others: ts), starts of lines without symbols, names that are no functions, symbols of a file.
+SYMBOL_FAMILIES = {"java": "java", "cs": "java", "cpp": "java", "rs": "java", "go": "go"}
+SYMBOL_NOISE = ("//", "/*", "*", "#", "print", "console.")
+SYMBOL_NO_NAMES = ("if", "for", "switch", "while", "catch", "return")
+MAX_SYMBOLS = 41

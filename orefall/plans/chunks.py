@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orefall.functions import text as X
 from orefall.operators import chunking as C
 from orefall.plans.registry import register
-from orefall.plans.views import DOCS, docs, literals, sql_values
+from orefall.plans.views import DOCS, docs, literals, read, sql_values
 
 LINES = f"""{DOCS}, lines AS (SELECT file, string_split(text, chr(10)) AS l FROM docs WHERE text <> ''),
 win AS (SELECT file, l, unnest(range(CAST(floor((len(l) - 1) / 100) AS BIGINT) + 1)) AS i FROM lines),
@@ -89,12 +89,64 @@ _code = [("X.java", "public class X {\n  // no\n  public int size() {\n  private
 _codesyms = [("X.java", "  [C] X|    - size"), ("y.go", "  [C] T|    - Run|    - Main"), ("z.ts", "  [C] Q|    - abc|    - fff")]
 
 
-@register("symbols_regex", f"WITH {sql_values('t', 'file string, symbols string', [('X.java', '  [C] X|    - size|    - go'), *[s for s in _codesyms[1:]]])} SELECT file, replace(symbols, '|    - go', '') AS symbols FROM t")
+@register("symbols_regex", f"WITH {sql_values('t', 'file string, symbols string', _codesyms)} SELECT file, symbols FROM t")
 def symbols_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = C.symbols(literals(spark, _S, _code)).where("symbol <> '    - go'")
+    s = C.symbols(literals(spark, _S, _code))
     return s.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "symbol"))), lambda x: x["symbol"]), "|").alias("symbols"))
 
 
+# Sources made of the words of each document; the SQL says what chunks and symbols they have without parsing them.
+_WORDS = """w AS (SELECT file, regexp_extract_all(text, '[a-zA-Z]+') AS words FROM docs)"""
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).select("file", F.regexp_extract_all("text", F.lit("([a-zA-Z]+)")).alias("words"))
+
+
+def _lines_of(words: str, make) -> Column:
+    return F.array_join(F.transform(words, make), "")
+
+
+@register(
+    "symbols_of_documents",
+    f"""WITH {DOCS}, {_WORDS}, s AS (SELECT file, ['  [C] ' || words[1]] || list_transform(list_filter(words, lambda x: length(x) > 2 AND x NOT IN ('if', 'for', 'switch', 'while', 'catch', 'return')), lambda x: '    - ' || x) AS s
+    FROM w WHERE len(words) > 0) SELECT file, CAST(len(s[1:41]) AS INTEGER) AS n, array_to_string(s[1:41], '|') AS symbols FROM s""",
+)
+def symbols_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A type and a function for each word, as a script source."""
+    w = _words(spark, sf_dir).where("size(words) > 0")
+    body = _lines_of("words", lambda x: F.concat(F.lit("  function "), x, F.lit("(a) {\n    console.log(a)\n  }\n")))
+    files = w.select(F.concat("file", F.lit(".ts")).alias("file"), F.concat(F.lit("class "), F.col("words")[0], F.lit(" {\n"), body, F.lit("}\n")).alias("content"))
+    found = C.symbols(files).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("ord", "symbol"))).alias("s"))
+    return found.select(F.regexp_replace("file", "\\.ts$", "").alias("file"), F.size("s").alias("n"), F.array_join(F.transform("s", lambda x: x["symbol"]), "|").alias("symbols"))
+
+
+@register(
+    "blocks_of_documents",
+    f"""WITH {DOCS}, {_WORDS} SELECT file, CAST(i - 1 AS INTEGER) AS ord, CASE WHEN words[i] IN ('if', 'for', 'while', 'switch', 'catch', 'return', 'sizeof') THEN 'code_block' ELSE 'function' END AS type,
+    CASE WHEN words[i] IN ('if', 'for', 'while', 'switch', 'catch', 'return', 'sizeof') THEN 'anonymous' ELSE words[i] END AS name, CAST(greatest(1, 4 * i - 4) AS INTEGER) AS start_line
+    FROM (SELECT file, words, unnest(range(1, len(words) + 1)) AS i FROM w)""",
+)
+def blocks_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A block for each word, with braces in a string and a comment."""
+    body = _lines_of("words", lambda x: F.concat(F.lit("int "), x, F.lit('(int a) {\n  f("{"); // {\n  return a;\n}\n')))
+    files = _words(spark, sf_dir).select(F.concat("file", F.lit(".c")).alias("file"), body.alias("content"))
+    return C.chunk_files(files).select(F.regexp_replace("file", "\\.c$", "").alias("file"), "ord", "type", "name", "start_line")
+
+
+@register(
+    "functions_of_documents",
+    f"""WITH {DOCS}, {_WORDS} SELECT file, CAST(i - 1 AS INTEGER) AS ord, 'function' AS type, 'f_' || words[i] AS name, CAST(3 * i AS INTEGER) AS start_line,
+    '# --- Context ---' || chr(10) || 'import os' || chr(10) || '# ---------------' || chr(10) || 'def f_' || words[i] || '(value):' || chr(10) || '    return os.path.join(str(value), "a constant text")' AS content
+    FROM (SELECT file, words, unnest(range(1, len(words) + 1)) AS i FROM w)""",
+)
+def functions_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python function for each word, under one import."""
+    body = _lines_of("words", lambda x: F.concat(F.lit("\ndef f_"), x, F.lit('(value):\n    return os.path.join(str(value), "a constant text")\n')))
+    files = _words(spark, sf_dir).where("size(words) > 0").select(F.concat("file", F.lit(".py")).alias("file"), F.concat(F.lit("import os\n"), body).alias("content"))
+    return C.chunk_files(files).select(F.regexp_replace("file", "\\.py$", "").alias("file"), "ord", "type", "name", "start_line", "content")
+
+
 T = "```"
 _blocks = [("b1", f"{T}python\nx = 1\n{T}", 1.0), ("b2", f"{T}\nx =\n{T}\n{T}py\ny = 2\n{T}", 0.5), ("b3", "no code", 1.0)]
 
@@ -105,13 +157,12 @@ def code_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.code_correct(b.select("id", X.code_blocks(F.col("text")).alias("blocks")))
 
 
-# Files asked for: those already indexed (even ids) are skipped, empty ones fail, the others give chunks.
-@register("jit_index", f"WITH {LINES} SELECT c.file, count(*) AS n_chunks FROM chunks c JOIN docs d ON d.file = c.file WHERE d.doc_id % 2 = 1 GROUP BY c.file")
+# Files asked for: those already indexed (documents with a label) are skipped, empty ones fail, the others give chunks.
+@register("jit_index", f"WITH {LINES} SELECT c.file, count(*) AS n_chunks FROM chunks c JOIN docs d ON d.file = c.file WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) GROUP BY c.file")
 def jit_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fetch, chunk and index what is not indexed yet."""
-    d = docs(spark, sf_dir)
-    indexed = d.where("doc_id % 2 = 0").select("file").distinct()
-    wanted = d.select("file", F.col("text").alias("content")).join(indexed, "file", "left_anti")
+    indexed = read(spark, sf_dir, "labels").select("doc_id").distinct()
+    wanted = docs(spark, sf_dir).select("doc_id", "file", F.col("text").alias("content")).join(indexed, "doc_id", "left_anti")
     return C.chunk_files(wanted).groupBy("file").agg(F.count("*").alias("n_chunks"))
 
 

@@ -146,25 +146,25 @@ def cache_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-# Two sources: the mirror knows pages of even ids by host, the other knows all.
+# Two sources: the mirror knows the pages of encrypted hosts, the other knows all.
 _HOST = "regexp_extract(url, '://([^/?#]*)', 1)"
 
 
 def mirrored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    p = read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("repo"))
-    return p.where("page_id % 2 = 0"), p
+    p = read(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("url", "://([^/?#]*)", 1).alias("repo"))
+    return p.where("url LIKE 'https:%'").drop("url"), p.drop("url")
 
 
-@register("source_fallback", f"WITH p AS (SELECT page_id, {_HOST} AS repo FROM pages), m AS (SELECT * FROM p WHERE page_id % 2 = 0) SELECT page_id, repo FROM m UNION ALL SELECT page_id, repo FROM p WHERE repo NOT IN (SELECT repo FROM m)")
+@register("source_fallback", f"WITH p AS (SELECT page_id, url, {_HOST} AS repo FROM pages), m AS (SELECT * FROM p WHERE url LIKE 'https:%') SELECT page_id, repo FROM m UNION ALL SELECT page_id, repo FROM p WHERE repo NOT IN (SELECT repo FROM m)")
 def source_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.whole_source(*mirrored(spark, sf_dir), "repo").select("page_id", "repo")
 
 
-@register("content_fallback", "SELECT page_id, CASE WHEN page_id % 2 = 0 AND page_id % 6 <> 0 THEN 'mirror ' ELSE 'api ' END || length(html) AS content FROM pages")
+@register("content_fallback", "SELECT page_id, CASE WHEN url LIKE 'https:%' AND url NOT LIKE '%?%' THEN 'mirror ' ELSE 'api ' END || length(html) AS content FROM pages")
 def content_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mirror has even pages, of which some are null and fall through too."""
-    p = read(spark, sf_dir, "pages").select("page_id", F.length("html").cast("string").alias("n"))
-    mirror = p.where("page_id % 2 = 0").select("page_id", F.when(F.col("page_id") % 6 != 0, F.concat(F.lit("mirror "), "n")).alias("content"))
+    """The mirror has the pages of encrypted hosts, of which those with a query are null and fall through too."""
+    p = read(spark, sf_dir, "pages").select("page_id", "url", F.length("html").cast("string").alias("n"))
+    mirror = p.where("url LIKE 'https:%'").select("page_id", F.when(~F.contains("url", F.lit("?")), F.concat(F.lit("mirror "), "n")).alias("content"))
     return S.content_of(mirror, p.select("page_id", F.concat(F.lit("api "), "n").alias("content")), "page_id")
 
 
@@ -196,10 +196,10 @@ def trace_log_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("event_id long, session long, log_type string, day string").json(path).groupBy("log_type", "day").agg(F.count("*").alias("n"))
 
 
-@register("semi_anti_paths", "SELECT page_id FROM pages p WHERE page_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = p.page_id)")
+@register("semi_anti_paths", "SELECT page_id FROM pages p WHERE EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = p.page_id) AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = p.page_id)")
 def semi_anti_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Asked files that exist and were not visited."""
     p = read(spark, sf_dir, "pages").select("page_id")
-    asked = p.where("page_id % 3 = 0")
+    asked = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"))
     visited = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id")).distinct()
-    return asked.join(p, "page_id", "left_semi").join(visited, "page_id", "left_anti")
+    return p.join(asked, "page_id", "left_semi").join(visited, "page_id", "left_anti")

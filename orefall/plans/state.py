@@ -23,11 +23,11 @@ def artifact_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).groupBy(F.col("source").alias("session")).agg(F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("languages"))
 
 
-@register("score_join", f"WITH {DOCS}, core AS (SELECT source, max(doc_id) AS core FROM docs WHERE doc_id % 3 <> 0 GROUP BY source), loc AS (SELECT source, lang, max(doc_id) AS localized FROM docs WHERE lang <> 'en' GROUP BY source, lang) SELECT source AS session, lang AS language, core, localized FROM core JOIN loc USING (source)")
+@register("score_join", f"WITH {DOCS}, core AS (SELECT source, max(doc_id) AS core FROM docs WHERE lang = 'en' GROUP BY source), loc AS (SELECT source, lang, max(doc_id) AS localized FROM docs WHERE lang <> 'en' GROUP BY source, lang) SELECT source AS session, lang AS language, core, localized FROM core JOIN loc USING (source)")
 def score_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A score exists only where core and localized part do."""
     d = docs(spark, sf_dir)
-    core = d.where("doc_id % 3 <> 0").groupBy("source").agg(F.max("doc_id").alias("core"))
+    core = d.where("lang = 'en'").groupBy("source").agg(F.max("doc_id").alias("core"))
     localized = d.where("lang <> 'en'").groupBy("source", "lang").agg(F.max("doc_id").alias("localized"))
     return core.join(localized, "source").select(F.col("source").alias("session"), F.col("lang").alias("language"), "core", "localized")
 

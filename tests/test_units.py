@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ast
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -132,3 +134,37 @@ def test_any_text_is_chunked_under_any_extension(source):
     for path in ("a.py", "a.c", "a.md"):
         chunks = C.chunk_source(source, path)
         assert bool(chunks) == bool(source) or (path == "a.py" and not source.strip())
+
+
+def test_braces_outside_of_text_only():
+    source = 'a "{" \'\\\'{\' `{`\n/* { */ // {\n  #define X { \\\n {\nint f() {} x # {\n}"open {'
+    assert [source[: at + 1].rsplit("\n", 1)[-1] for at in C.braces(source)] == ["int f() {", "int f() {}", "int f() {} x # {", "}", '}"open {']
+
+
+_PARTS = ["def f(a):\n    return 'é'\n", "x = 1\r\n", "class A:\r\n    y = '''a\n\x0cb'''\n", "\x0cz = 2\r", "s = 'é'; t = s\n", "\n"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(_PARTS), max_size=8).map("".join))
+def test_segments_equal_the_parsers_own(source):
+    try:
+        tree = ast.parse(source)
+    except SyntaxError:
+        return
+    segment = C.segments(source)
+    for node in ast.walk(tree):
+        if hasattr(node, "end_lineno"):
+            assert segment(node) == ast.get_source_segment(source, node)
+
+
+def test_symbols_of_odd_sources(spark):
+    rows = [
+        ("a.java", "public static class A {\n * b\n  public List<String> items() {\n  if (x) {\n"), ("b.ts", "subclass Odd\nconst run = async (a) =>\ngo(a) {\nmake(a): {\n"),
+        ("c.go", "func (t *T) Run() {\nfunc Main() {\ntype I interface {\n"), ("d.rs", None), ("e.js", ""), ("f", "class F"),
+    ]
+    got = {}
+    for r in C.symbols(spark.createDataFrame(rows, "file string, content string")).orderBy("file", "ord").collect():
+        got.setdefault(r["file"], []).append(r["symbol"].strip())
+    assert got == {"a.java": ["[C] A", "- items"], "b.ts": ["[C] Odd", "- run", "- make"], "c.go": ["- Run", "- Main", "[C] I"], "f": ["[C] F"]}
+    many = spark.createDataFrame([("x.ts", "class A\n" * 60)], "file string, content string")
+    assert C.symbols(many).count() == config.MAX_SYMBOLS
