@@ -7,6 +7,7 @@ with zstd, and arrive in partitions that hold ascending ranges.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,19 +19,42 @@ from orefall.llm.common import deal_by_range, id_bounds, shuffle_partitions
 DEALT = "part int, halo int, doc_id long, payload binary"
 
 
+@dataclass(frozen=True)
+class Ranges:
+    """Ranges of ids: the greatest id of each but the last, and the greatest of all where it is needed."""
+
+    bounds: list[int]
+    top: int | None
+
+    @classmethod
+    def of(cls, docs: DataFrame, halo: bool = False, parts: int | None = None) -> Ranges:
+        ids = docs.select(F.col("doc_id").cast("long"))
+        bounds = id_bounds(ids, "doc_id", parts or shuffle_partitions(docs.sparkSession))
+        top = ids.agg(F.max("doc_id")).head()[0] if halo else None
+        if bounds and top is not None and bounds[-1] >= top:
+            bounds.pop()
+        return cls(bounds, top)
+
+    def deal(self, rows: DataFrame) -> DataFrame:
+        """Rows with a column part, one partition a range."""
+        return rows.repartitionById(len(self.bounds) + 1, F.col("part"))
+
+
 def dealt_texts(docs: DataFrame, halo: bool = False, parts: int | None = None, pack: bool = True) -> DataFrame:
-    """(part, halo, doc_id, payload): texts packed with zstd or as plain UTF-8, partition number = range number.
+    """``spread_texts`` by ranges of ``docs`` itself, partition number = range number."""
+    ranges = Ranges.of(docs, halo, parts)
+    return ranges.deal(spread_texts(docs, ranges, halo, pack))
+
+
+def spread_texts(docs: DataFrame, ranges: Ranges, halo: bool = False, pack: bool = True) -> DataFrame:
+    """(part, halo, doc_id, payload): texts packed with zstd or as plain UTF-8, with the number of their range.
 
     Null ids come before all others and null texts count as empty. With ``halo``, each
     range also gets, marked 1, the rows of the id just below it (the lowest range: the rows
     of the greatest id).
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    bounds = id_bounds(docs, "doc_id", parts or shuffle_partitions(spark))
-    top = docs.agg(F.max("doc_id")).head()[0] if halo else None
-    if bounds and top is not None and bounds[-1] >= top:
-        bounds.pop()
+    bounds, top = ranges.bounds, ranges.top
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -56,4 +80,4 @@ def dealt_texts(docs: DataFrame, halo: bool = False, parts: int | None = None, p
                 more = batch.take(pa.array(wrap))
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(wrap), np.int32)), pa.array(np.ones(len(wrap), np.int32)), more.column(2), more.column(3)], names=batch.schema.names)
 
-    return docs.mapInArrow(spread, DEALT).repartitionById(len(bounds) + 1, F.col("part"))
+    return docs.mapInArrow(spread, DEALT)

@@ -1,29 +1,26 @@
-"""Near-duplicates by Jaccard likeness of word shingles: MinHash bands propose, exact sets decide.
-
-SimHash cannot reach a likeness of 0.8: such pairs differ in about 10 of 64 bits, often in 15,
-and no pigeonhole of that many bits has keys wide enough. Here two texts are candidates if
-all ``rows`` minima of one of ``bands`` bands agree (likeness 0.8 with 24 bands of 5: all but
-1 pair in 14,000), and link if their sets of shingles, 64-bit hashes each, are alike enough.
-
-Equal sets are folded to one representative first. In each bucket all are compared with its
-smallest id; only those that this leaves in other components are compared with the rest of
-the bucket. Cells of bounded size hold these comparisons, so a large group of near copies
-costs time in proportion to its size, and no pair of a bucket is left out.
+"""Near-duplicates by Jaccard likeness of word shingles: SimHash and MinHash propose, exact sets decide.
+
+The pigeonhole blocks of the SimHash operator propose pairs whose fingerprints differ in a few
+bits. SimHash alone cannot reach a likeness of 0.8: such pairs differ in about 10 of 64 bits,
+often in 15, and no pigeonhole of that many bits has keys wide enough. So two texts are also
+candidates if all ``rows`` minima of one of ``bands`` bands agree (likeness 0.8 with 24 bands
+of 5: all but 1 pair in 14,000). Candidates link if their sets of shingles, 64-bit hashes
+each, are alike enough.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orefall.llm.common import maybe_broadcast, shuffle_partitions, store
-from orefall.llm.components import connected_components
-from orefall.llm.spotsigs import likeness
+from orefall.llm.alike import alike_components
+from orefall.llm.common import store
+from orefall.llm.simhash import hamming_links, simhash_of
 
 _RNG = np.random.default_rng(29)
 _PLACE = _RNG.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -69,119 +66,42 @@ def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, digest, keys): digest of the whole set, keys of its bands."""
+    """(doc_id, digest, fp, keys): digest of the whole set, its SimHash fingerprint, keys of its bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in batches:
-            digests, keys = [], []
+            digests, fps, keys = [], [], []
             for t in b.column("text").to_pylist():
                 s = shingle_set(t, shingle)
                 digests.append(xxhash.xxh128_digest(s.tobytes()))
+                fps.append(simhash_of(s))
                 keys.append(band_keys(s, bands, rows))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "keys"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, digest binary, keys array<long>")
-
-
-def _verified(at_least: float, shingle: int):
-    """Streams rows sorted by cell; in each, probes are compared with all rows that are not in their component yet."""
-
-    def solve(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        up: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while up.setdefault(x, x) != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-
-        sets = [shingle_set(r[3], shingle) for r in rows]
-        for i, (rep, label, probe, _) in enumerate(rows):
-            for j, (other, its, *_) in enumerate(rows) if probe else ():
-                if find(label) != find(its) and likeness(sets[i], sets[j], at_least) >= at_least:
-                    up[find(label)] = find(its)
-                    yield rep, other
-
-    def links(rows: list[tuple]) -> pa.RecordBatch:
-        found = list(solve(rows)) if len(rows) > 1 else []
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = None, []
-        for b in batches:
-            for band, key, cell, *row in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
-                if (band, key, cell) != held:
-                    yield links(rows)
-                    held, rows = (band, key, cell), []
-                rows.append(tuple(row))
-        yield links(rows)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digests, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "fp", "keys"])
 
-    return run
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, digest binary, fp long, keys array<long>")
 
 
-def _links(cells: DataFrame, texts: DataFrame, at_least: float, shingle: int) -> DataFrame:
-    """Links (a, b) of cells (band, key, cell, rep, label, probe)."""
-    held = cells.groupBy("band", "key", "cell", "rep").agg(F.min("label").alias("label"), F.max("probe").alias("probe"))
-    rows = held.join(texts, "rep").select("band", "key", "cell", "rep", "label", "probe", "text")
-    spread = rows.repartition(shuffle_partitions(cells.sparkSession), "band", "key", "cell").sortWithinPartitions("band", "key", "cell")
-    return store(spread.mapInArrow(_verified(at_least, shingle), "a long, b long"), "shingle-links")
+def simhash_pairs(reps: DataFrame, max_bits: int, blocks: int) -> DataFrame:
+    """(centre, rep): spanning pairs of ``reps`` (rep, fp) whose fingerprints differ in at most ``max_bits`` bits."""
+    classes = store(reps.groupBy("fp").agg(F.min("rep").alias("centre")), "simhash-classes")
+    same = reps.select("rep", "fp").join(classes, "fp").where("rep <> centre").select("centre", "rep")
+    close = hamming_links(classes.select(F.col("centre").alias("rep"), "fp"), max_bits, blocks)
+    return store(same.unionByName(close.select(F.col("b").alias("centre"), F.col("a").alias("rep"))), "simhash-pairs")
 
 
-def shingle_components(docs: DataFrame, shingle: int = 5, at_least: float = 0.8, bands: int = 24, rows: int = 5, tile: int = 128) -> DataFrame:
+def shingle_components(docs: DataFrame, shingle: int = 5, at_least: float = 0.8, max_bits: int = 3, blocks: int = 5, bands: int = 24, rows: int = 5, tile: int = 128) -> DataFrame:
     """(doc_id, component_id) for each doc_id of ``docs``: likeness of ``at_least`` links, links chain.
 
     Null and empty texts have the empty set and link with each other. A doc_id with several
-    texts ties them together.
+    texts ties them together. Rows without doc_id and columns other than doc_id and text are
+    ignored; an empty table gives an empty result.
     """
     seen = store(sketches(docs.where("doc_id IS NOT NULL"), shingle, bands, rows), "sketches")
-    reps = store(seen.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys")), "shingle-sets")
-    ties = seen.select("doc_id", "digest").join(reps.select("digest", "rep"), "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    reps = store(seen.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys")), "shingle-sets")
     banded = reps.select("rep", F.posexplode("keys").alias("band", "key"))
-    sizes = banded.groupBy("band", "key").agg(
-        F.count("*").alias("m"), F.min("rep").alias("centre"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")
-    )
-    # Buckets of the same members count once.
-    once = sizes.where("m > 1").groupBy("m", "x", "y").agg(F.min(F.struct("band", "key", "centre")).alias("s"))
-    buckets = store(once.select("s.band", "s.key", "s.centre"), "shingle-buckets")
-    members = store(banded.join(buckets, ["band", "key"]).select("band", "key", "centre", "rep"), "shingle-members")
-    wanted = members.select("rep").distinct()
-    texts = store(
-        docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(wanted, "rep", "left_semi").dropDuplicates(["rep", "text"]), "shingle-texts"
-    )
-
-    # Each member against the smallest of its bucket.
-    pairs = store(members.where("rep <> centre").select("centre", "rep").distinct(), "shingle-pairs")
-    hot = store(pairs.groupBy("centre").agg(F.count("*").alias("m")).where(F.col("m") > tile), "hot-centres")
-    dealt = pairs.join(maybe_broadcast(hot, 50_000), "centre", "left").withColumn("parts", F.ceil(F.coalesce("m", F.lit(1)) / tile).cast("int"))
-    dealt = dealt.select(F.lit(0).alias("band"), F.col("centre").alias("key"), F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("cell"), "rep", "centre")
-    cells = dealt.select("band", "key", "cell", "rep", F.col("rep").alias("label"), F.lit(False).alias("probe")).unionByName(
-        dealt.select("band", "key", "cell", "centre").distinct().select("band", "key", "cell", F.col("centre").alias("rep"), F.col("centre").alias("label"), F.lit(True).alias("probe"))
-    )
-    links = _links(cells, texts, at_least, shingle).unionByName(ties)
-
-    # Those in other components than it, against all of the bucket.
-    comps = store(connected_components(links), "shingle-components")
-    main = buckets.join(comps, buckets["centre"] == comps["node"], "left").select("band", "key", F.coalesce("component", "centre").alias("main"))
-    labelled = members.join(comps, members["rep"] == comps["node"], "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("label"))
-    labelled = store(labelled.join(main, ["band", "key"]).withColumn("probe", F.col("label") != F.col("main")), "shingle-members")
-    open_ = labelled.groupBy("band", "key").agg(F.count("*").alias("m"), F.count_if("probe").alias("f")).where("f > 0")
-    part = F.pmod(F.xxhash64("rep"), "parts").cast("int")
-    probe_part = F.pmod(F.xxhash64("rep"), "probe_parts").cast("int")
-    left = store(
-        labelled.join(open_, ["band", "key"])
-        .withColumn("parts", F.ceil(F.col("m") / tile).cast("int")).withColumn("probe_parts", F.ceil(F.col("f") / tile).cast("int"))
-        .select("band", "key", "rep", "label", "probe", "parts", "probe_parts", part.alias("part"), probe_part.alias("probe_part")), "shingle-open"
-    )
-    shared = left.select("band", "key", "rep", "label", F.lit(False).alias("probe"), "parts", "part", F.explode(F.sequence(F.lit(0), F.col("probe_parts") - 1)).alias("i"))
-    shared = shared.select("band", "key", (F.col("i") * F.col("parts") + F.col("part")).alias("cell"), "rep", "label", "probe")
-    asked = left.where("probe").select("band", "key", "rep", "label", "probe", "parts", "probe_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
-    asked = asked.select("band", "key", (F.col("probe_part") * F.col("parts") + F.col("j")).alias("cell"), "rep", "label", "probe")
-    more = _links(shared.unionByName(asked), texts, at_least, shingle)
-    final = connected_components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    ids = seen.select("doc_id").distinct()
-    return ids.join(final, ids["doc_id"] == final["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+    return alike_components(docs, seen, reps, banded, partial(shingle_set, shingle=shingle), at_least, tile, simhash_pairs(reps, max_bits, blocks))
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:

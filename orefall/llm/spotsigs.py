@@ -1,8 +1,10 @@
 """SpotSigs document fingerprints.
 
 A signature is a common word (the anchor) and the chain of the content words that follow it.
-A document's fingerprint is its set of signatures, kept as sorted 32-bit hashes. Sets are
-compared by Jaccard likeness; the ratio of two set lengths bounds it from above, which prunes.
+A document's fingerprint is its set of signatures, kept as sorted 64-bit hashes. Sets are
+compared by Jaccard likeness; the ratio of two set lengths bounds it from above, so sets are
+partitioned by length, and a set is listed under a few of its signatures only, the rare ones
+first: two sets that are alike enough share one of these.
 """
 
 from __future__ import annotations
@@ -14,12 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orefall.llm.common import shuffle_partitions, store
-from orefall.llm.components import connected_components
-from orefall.llm.ranges import dealt_texts
+from orefall.llm.alike import alike_components, likeness
+from orefall.llm.common import deal_by_range, shuffle_partitions, store
+from orefall.llm.ranges import Ranges, spread_texts
 
 # Common words of English, German, French and Spanish that anchor signatures.
 ANCHORS = frozenset(
@@ -36,7 +38,7 @@ _BLANKED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
 def signatures(text: str, chain: int = CHAIN) -> np.ndarray:
-    """Sorted distinct 32-bit hashes of the signatures of a whole text.
+    """Sorted distinct 64-bit hashes of the signatures of a whole text.
 
     The start of a text counts as an anchor too, so that each text with a content word has
     a signature; near the end a chain may be shorter than ``chain``. A text without content
@@ -57,30 +59,19 @@ def signatures(text: str, chain: int = CHAIN) -> np.ndarray:
             add(w)
     if not content:
         left = b" ".join(words) or raw
-        return np.array([xxhash.xxh32_intdigest(left)] if left else [], dtype=np.uint32)
-    digest, n = xxhash.xxh32_intdigest, len(content)
+        return np.array([xxhash.xxh64_intdigest(left)] if left else [], dtype=np.uint64)
+    digest, n = xxhash.xxh64_intdigest, len(content)
     spots = {a + b" " + b" ".join(content[k : k + chain]) for a, k in anchors if k < n}
-    return np.unique(np.array([digest(s) for s in spots], dtype=np.uint32))
-
-
-def likeness(a: np.ndarray, b: np.ndarray, at_least: float = 0.0) -> float:
-    """Jaccard likeness of two sorted sets; 0 if the ratio of their lengths already rules out ``at_least``. Two empty sets: 1."""
-    short, long_ = sorted((len(a), len(b)))
-    if not long_:
-        return 1.0
-    if short < at_least * long_ or not short:
-        return 0.0
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (short + long_ - both)
+    return np.unique(np.array([digest(s) for s in spots], dtype=np.uint64))
 
 
 def to_string(sigs: np.ndarray) -> str:
-    """The set as text: base64 of little-endian 32-bit hashes in ascending order."""
-    return base64.b64encode(sigs.astype("<u4").tobytes()).decode()
+    """The set as text: base64 of little-endian 64-bit hashes in ascending order."""
+    return base64.b64encode(sigs.astype("<u8").tobytes()).decode()
 
 
 def from_string(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(fingerprint), dtype="<u4")
+    return np.frombuffer(base64.b64decode(fingerprint), dtype="<u8")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -94,15 +85,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fingerprint string, n_signatures int")
 
 
-EDITS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+EDITS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, component_id long"
 
 
-def edited_fingerprints(docs: DataFrame) -> DataFrame:
-    """Each document's fingerprint beside those of its edited text and of the next document.
+def edited_fingerprints(docs: DataFrame, at_least: float = 0.8) -> DataFrame:
+    """Each document's fingerprint beside those of its edited text and of the next document, and its component among all.
 
     Documents stand in descending doc_id (nulls last; equal ids by their packed text), after
     the last comes the first. The edited text has its last third replaced by as many code
-    points from the start of the next document, or all it has.
+    points from the start of the next document, or all it has. Null and empty texts have the
+    empty fingerprint; a row without doc_id has no component_id, which else is that of
+    ``spotsigs_dedup``. Columns other than doc_id and text are ignored; an empty table gives
+    an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,122 +104,119 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
         unzip = zstandard.ZstdDecompressor()
         last: tuple | None = None
+        known: tuple | None = None
         rows: list[tuple] = []
 
-        def pair(doc_id, text: str, sigs: np.ndarray, next_text: str, next_sigs: np.ndarray) -> None:
+        def pair(doc_id, text: str, sigs: np.ndarray, component, next_text: str, next_sigs: np.ndarray) -> None:
             cut = len(text) // 3
             edited = text[: len(text) - cut] + next_text[:cut]
             new = sigs if edited == text else signatures(edited)
             digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-            rows.append((doc_id, len(text), digest, to_string(sigs), to_string(new), likeness(sigs, new), likeness(sigs, next_sigs)))
+            rows.append((doc_id, len(text), digest, to_string(sigs), to_string(new), likeness(sigs, new), likeness(sigs, next_sigs), component))
 
         def flush() -> pa.RecordBatch:
             cols = list(zip(*rows, strict=True))
             rows.clear()
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in EDITS.split(", ")])
 
         ended = False
         for b in batches:
-            for halo, doc_id, packed in zip(b.column("halo").to_pylist(), b.column("doc_id").to_pylist(), b.column("payload").to_pylist(), strict=True):
+            for halo, doc_id, kind, packed in zip(*(b.column(c).to_pylist() for c in ("halo", "doc_id", "kind", "payload")), strict=True):
                 if ended:
                     continue
+                if not kind:
+                    known = (doc_id, int.from_bytes(packed, "little", signed=True))
+                    continue
                 text = unzip.decompress(packed).decode("utf-8", "surrogatepass")
                 sigs = signatures(text)
                 if last is not None:
                     pair(*last, text, sigs)
-                last, ended = (None, True) if halo else ((doc_id, text, sigs), False)
+                component = known[1] if known is not None and known[0] == doc_id else doc_id
+                last, ended = (None, True) if halo else ((doc_id, text, sigs, component), False)
                 if len(rows) >= 512:
                     yield flush()
         if rows:
             yield flush()
 
-    dealt = dealt_texts(docs, halo=True).sortWithinPartitions("halo", F.col("doc_id").desc_nulls_last(), "payload")
-    return dealt.mapInArrow(run, EDITS)
+    ranges = Ranges.of(docs, halo=True)
+    classes = spotsigs_dedup(docs, at_least).where("component_id <> doc_id")
 
+    def noted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            marks = [x.to_bytes(8, "little", signed=True) for x in b.column("component_id").to_pylist()]
+            part = deal_by_range(ranges.bounds, b.column("doc_id"))
+            zero = pa.array(np.zeros(len(part), np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(part), zero, b.column("doc_id"), zero, pa.array(marks, pa.binary())], names=["part", "halo", "doc_id", "kind", "payload"])
 
-def _length_part(n: Column, at_least: float) -> Column:
-    """Partition of a set length: sets whose lengths have a ratio of ``at_least`` or more lie in the same partition or in neighbouring ones."""
-    return F.floor(F.log(n.cast("double")) / math.log(1 / at_least)).cast("int")
+    texts = spread_texts(docs, ranges, halo=True).select("part", "halo", "doc_id", F.lit(1).alias("kind"), "payload")
+    both = texts.unionByName(classes.mapInArrow(noted, "part int, halo int, doc_id long, kind int, payload binary"))
+    return ranges.deal(both).sortWithinPartitions("halo", F.col("doc_id").desc_nulls_last(), "kind", "payload").mapInArrow(run, EDITS)
 
 
-def _verified(at_least: float):
-    """Tiles of sets that share a signature in one length partition: pairs are pruned by length and by what is linked already."""
+COMMON_OF, COMMON_SHARE, COMMON_MOST = 1024, 100, 100_000
 
-    def solve(rep: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-        order = sorted(range(len(rep)), key=lambda i: len(sets[i]))
-        up = list(range(len(rep)))
 
-        def find(i: int) -> int:
-            while up[i] != i:
-                up[i] = up[up[i]]
-                i = up[i]
-            return i
+def common_signatures(docs: DataFrame, most: int = COMMON_MOST) -> np.ndarray:
+    """Sorted hashes of signatures that are common in many runs of documents, ``most`` at most.
 
-        for x, i in enumerate(order):
-            for j in order[x + 1 :]:
-                if len(sets[i]) < at_least * len(sets[j]):
-                    break
-                a, b = find(i), find(j)
-                if a != b and likeness(sets[i], sets[j], at_least) >= at_least:
-                    up[max(a, b, key=lambda r: rep[r])] = min(a, b, key=lambda r: rep[r])
-        links = [(rep[i], rep[find(i)]) for i in range(len(rep)) if find(i) != i]
-        return pa.RecordBatch.from_arrays([pa.array([k[n] for k in links], pa.int64()) for n in (0, 1)], names=["a", "b"])
+    Each run of COMMON_OF documents reports those that one in COMMON_SHARE of it has (8 at
+    least). All documents are looked at. Only the order in which sets are listed hangs on
+    this, no link does.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None
-        rep: list[int] = []
-        sets: list[np.ndarray] = []
         for b in batches:
-            for part, sig, cell, r, packed in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                if (part, sig, cell) != held:
-                    if len(rep) > 1:
-                        yield solve(rep, sets)
-                    held, rep, sets = (part, sig, cell), [], []
-                rep.append(r)
-                sets.append(from_string(packed))
-        if len(rep) > 1:
-            yield solve(rep, sets)
+            for at in range(0, b.num_rows, COMMON_OF):
+                sets = [signatures(t) for t in b.column("text").slice(at, COMMON_OF).to_pylist() if t]
+                found, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+                often = counts >= max(8, len(sets) // COMMON_SHARE)
+                yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(counts[often])], names=["sig", "n"])
+
+    counted = docs.select(F.col("text").cast("string")).mapInArrow(run, "sig long, n long").groupBy("sig").agg(F.sum("n").alias("n"))
+    top = counted.orderBy(F.desc("n"), "sig").limit(most).select("sig").toArrow().column("sig").to_numpy()
+    return np.sort(top.astype(np.int64).view(np.uint64))
 
-    return run
+
+def listed_under(sigs: np.ndarray, common: np.ndarray, at_least: float) -> np.ndarray:
+    """The signatures that a set is listed under: its first n - ceil(at_least * n) + 1 in the order (common or not, hash)."""
+    if not len(sigs):
+        return sigs
+    often = np.isin(sigs, common, assume_unique=True)
+    return np.r_[sigs[~often], sigs[often]][: len(sigs) - math.ceil(at_least * len(sigs) - 1e-9) + 1]
 
 
 def spotsigs_dedup(docs: DataFrame, at_least: float = 0.8, tile: int = 128) -> DataFrame:
-    """(doc_id, fingerprint, component_id): documents whose signature sets have a Jaccard likeness of ``at_least`` link.
-
-    Equal fingerprints are folded first. Two sets that are alike enough share one of their
-    rarest n - ceil(at_least * n) + 1 signatures and lie in the same or neighbouring length
-    partitions, so each set is listed under these only, in its own partition and the next.
-    Lists of one set are dropped before any set is moved; long lists are dealt in tiles of two
-    chunks. No pair is lost and none is put out, only spanning links. Texts without words
-    share the empty fingerprint; rows without doc_id have no component.
+    """(doc_id, component_id) for each doc_id: documents whose signature sets have a Jaccard likeness of ``at_least`` link, links chain.
+
+    Equal sets are folded first. Two sets that are alike enough share one of the signatures
+    that they are listed under, and their lengths lie in the same or neighbouring partitions,
+    so each is listed in its own partition and the next. Signatures that list one set alone
+    are dropped before any set is moved. No pair is lost and none is put out, only spanning
+    links. Texts without words of any kind share the empty set; rows without doc_id are left out.
     """
     spark = docs.sparkSession
-    fps = store(fingerprints(docs), "spotsigs")
-    reps = store(fps.where("doc_id IS NOT NULL").groupBy("fingerprint", "n_signatures").agg(F.min("doc_id").alias("rep")), "spotsigs-sets")
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL")
+    shared = spark.sparkContext.broadcast(common_signatures(docs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [from_string(s) for s in b.column("fingerprint").to_pylist()]
-            sizes = np.array([len(s) for s in sets], np.int64)
-            sigs = np.concatenate([np.zeros(0, np.int64), *(s.astype(np.int64) for s in sets)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("rep").to_numpy(), sizes)), pa.array(np.repeat(sizes, sizes).astype(np.int32)), pa.array(sigs)], names=["rep", "n", "sig"])
-
-    listed = reps.select("rep", "fingerprint").mapInArrow(explode, "rep long, n int, sig long")
-    rarity = listed.groupBy("sig").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "sig"))
-    first = listed.join(rarity, "sig").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * at_least) + 1)
-    part = _length_part(F.col("n"), at_least)
-    keyed = first.where("df > 1").select("rep", "sig", F.explode(F.array(part, part + 1)).alias("part"))
-    sizes = keyed.groupBy("part", "sig").agg(F.count("*").alias("m")).where("m > 1")
-    parts = F.ceil(F.col("m") / tile).cast("int")
-    dealt = keyed.join(sizes, ["part", "sig"]).withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("rep"), parts).cast("int"))
-    tiles = dealt.select("part", "sig", "rep", "parts", "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    tiles = tiles.select("part", "sig", (F.least("mine", "other") * F.col("parts") + F.greatest("mine", "other")).alias("cell"), "rep")
-    rows = tiles.join(reps.select("rep", "fingerprint"), "rep").select("part", "sig", "cell", "rep", "fingerprint")
-    spread = rows.repartition(shuffle_partitions(spark), "part", "sig", "cell").sortWithinPartitions("part", "sig", "cell")
-    split_ids = fps.where("doc_id IS NOT NULL").select("doc_id", "fingerprint").distinct().groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1")
-    ties = fps.join(split_ids, "doc_id", "left_semi").join(reps.select("fingerprint", "rep"), "fingerprint").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    comps = connected_components(spread.mapInArrow(_verified(at_least), "a long, b long").unionByName(ties))
-    classes = reps.join(comps, reps["rep"] == comps["node"], "left").select("fingerprint", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(classes, "fingerprint", "left").select("doc_id", "fingerprint", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+            sets = [signatures(t or "") for t in b.column("text").to_pylist()]
+            keys = [listed_under(s, shared.value, at_least).view(np.int64) for s in sets]
+            cols = [b.column("doc_id"), pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(map(len, sets), pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "digest", "n", "sigs"])
+
+    seen = store(docs.mapInArrow(run, "doc_id long, digest binary, n int, sigs array<long>"), "spotsigs")
+    reps = store(seen.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("sigs").alias("sigs")), "spotsigs-sets")
+    listed = reps.select("rep", "n", F.explode("sigs").alias("key")).repartition(shuffle_partitions(spark), "key")
+    # The condition on n keeps all columns in the shuffle, so that both uses read one.
+    shared_keys = listed.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("r"), F.min("n").alias("n")).where("m > 1 AND r IS NOT NULL AND n > 0").select("key")
+    part = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / at_least)).cast("int")
+    banded = store(listed.join(shared_keys.hint("merge"), "key").select("rep", "key", F.explode(F.array(part, part + 1)).alias("band")), "spotsigs-listed")
+    return alike_components(docs, seen, reps, banded, signatures_or_none, at_least, tile)
+
+
+def signatures_or_none(text: str | None) -> np.ndarray:
+    return signatures(text or "")

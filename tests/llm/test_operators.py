@@ -14,7 +14,7 @@ from compare import connection, differences
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from orefall.llm import components, langid, multiindex, packing, pieces, queries, secrets, shingles, simhash, spotsigs, tokenfiles, toxicity, urlfilter
+from orefall.llm import alike, components, langid, multiindex, packing, pieces, queries, secrets, shingles, simhash, spotsigs, tokenfiles, toxicity, urlfilter
 from orefall.llm.common import replayable, table
 
 BPE, PIECES = queries.tokenizer_path("byte_bpe_50k.json"), queries.tokenizer_path("piece_bpe_32k.model")
@@ -254,7 +254,7 @@ def test_spotsigs_on_odd_rows(spark, odd, none):
     assert spotsigs.edited_fingerprints(none).count() == 0
     alone = spotsigs.edited_fingerprints(spark.createDataFrame([(5, "abcdef")], "doc_id long, text string")).head()
     assert alone["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest()
-    assert spotsigs.likeness(np.arange(10), np.arange(3), 0.8) == 0.0
+    assert alike.likeness(np.arange(10), np.arange(3), 0.8) == 0.0
 
 
 def test_spotsigs_links_against_brute_force(spark, docs, texts, odd, none):
@@ -275,7 +275,31 @@ def test_spotsigs_links_against_brute_force(spark, docs, texts, odd, none):
                 groups.link(i, j)
     got = {r["doc_id"]: r["component_id"] for r in spotsigs.spotsigs_dedup(spark.createDataFrame(rows, "doc_id long, text string"), tile=8).collect()}
     assert got == {i: groups.find(i) for i in ids}
-    assert len(spotsigs.spotsigs_dedup(odd).collect()) == len(ODD) and spotsigs.spotsigs_dedup(none).count() == 0
+    by_id = {r["doc_id"]: r["component_id"] for r in spotsigs.spotsigs_dedup(odd).collect()}
+    assert by_id == {1: 1, 2: 2, 3: 2, 4: 1, 5: 5, 6: 6, 7: 6, 8: 8, 9: 9} and spotsigs.spotsigs_dedup(none).count() == 0
+    edited = {r["doc_id"]: r["component_id"] for r in spotsigs.edited_fingerprints(odd).collect()}
+    assert edited == by_id | {None: None}
+
+
+def test_spotsigs_query_has_components(spark, sf, texts):
+    sets, groups = {i: set(spotsigs.signatures(t).tolist()) for i, t in texts.items()}, Sets()
+    for x, i in enumerate(sets):
+        for j in list(sets)[x:]:
+            if alike.likeness(*(np.array(sorted(sets[k]), np.uint64) for k in (i, j))) >= 0.8:
+                groups.link(i, j)
+    got = {r["doc_id"]: r["component_id"] for r in queries.op4_spotsigs(spark, sf).collect()}
+    assert got == {i: groups.find(i) for i in texts} and len(set(got.values())) < len(got)
+
+
+def test_listing_keeps_a_shared_signature():
+    rng = np.random.default_rng(2)
+    common = np.sort(rng.choice(400, 60, replace=False)).astype(np.uint64)
+    for _ in range(3000):
+        a = rng.choice(400, int(rng.integers(1, 40)), replace=False).astype(np.uint64)
+        b = np.r_[a[int(rng.integers(0, 4)) :], rng.choice(400, int(rng.integers(0, 4)), replace=False).astype(np.uint64)]
+        a, b = np.unique(a), np.unique(b)
+        if len(b) and alike.likeness(a, b) >= 0.8:
+            assert np.intersect1d(spotsigs.listed_under(a, common, 0.8), spotsigs.listed_under(b, common, 0.8)).size
 
 
 # --- op5
