@@ -9,7 +9,7 @@ weighted by their bytes. The network is trained in numpy.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -153,12 +153,17 @@ def _gradients(net: ByteNet, x: np.ndarray, y: np.ndarray, weight: np.ndarray, m
 
 
 def labelled_sample(docs: DataFrame, limit: int = MAX_LABELLED) -> tuple[list[str], list[str]]:
-    """Text and lang of at most ``limit`` documents with a lang that are not held out, the first by a hash of the id."""
+    """Text and lang of at most ``limit`` documents with a lang that are not held out, the first by a hash of the id.
+
+    A doc_id counts once, with its first lang and the first of its texts in that lang, so that
+    the same table always gives the same sample.
+    """
     ids = (
         docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", 3) != 1))
-        .select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(limit).dropDuplicates(["doc_id"])
+        .groupBy("doc_id").agg(F.min("lang").alias("lang")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     )
-    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.col("text").isNotNull()).orderBy("doc_id").select("text", "lang").toArrow()
+    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).where(F.col("text").isNotNull())
+    got = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).orderBy("doc_id").select("text", "lang").toArrow()
     return got.column("text").to_pylist(), got.column("lang").to_pylist()
 
 
@@ -181,10 +186,15 @@ def identify(docs: DataFrame, net: ByteNet) -> DataFrame:
     return found.select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, net: ByteNet, least: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` in a learned language with at least that share; the others (no letter, no clear language) go.
+LEAST = 0.6  # share of its bytes' windows that a document's language needs in the pipeline
+
+
+def keep_identified(docs: DataFrame, net: ByteNet, least: float = LEAST, wanted: Sequence[str] | None = None) -> DataFrame:
+    """The rows of ``docs`` in a learned language (one of ``wanted``, if given) with at least that share.
 
-    Where ``net`` has learned no language, the rows with a letter stay.
+    The others go: texts without a letter, in two languages, of one odd word over and over, or
+    too short to tell. Where ``net`` has learned no language, the rows with a letter stay. Null
+    texts go, repeated rows are judged alike, and columns and their order stay as they are.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
     columns, spot = docs.columns, docs.columns.index("text")
@@ -198,6 +208,6 @@ def keep_identified(docs: DataFrame, net: ByteNet, least: float = 0.3) -> DataFr
                     yield part.filter(pa.array([bool(t) and _letter.search(t) is not None for t in texts], pa.bool_()))
                     continue
                 langs, scores = shared.value.predict(texts)
-                yield part.filter(pa.array([a != UNDETERMINED and s >= least for a, s in zip(langs, scores, strict=True)], pa.bool_()))
+                yield part.filter(pa.array([a != UNDETERMINED and s >= least and (wanted is None or a in wanted) for a, s in zip(langs, scores, strict=True)], pa.bool_()))
 
     return docs.select(columns).mapInArrow(run, docs.schema)
