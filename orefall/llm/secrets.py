@@ -1,7 +1,7 @@
 """Secret scans with a random forest that removes false positives.
 
 Patterns propose candidates in whole texts: known formats, long runs of key characters with a
-digit, and what is assigned to a secret word by = or :, however short or punctuated. Each candidate is described by its length and
+digit, passwords in URLs, and what is assigned to a secret word by = or :, however short or punctuated. Each candidate is described by its length and
 characters, the transitions between them, how much of it a dictionary of common word parts
 covers, whether it stands in a path or URL, and the words beside it. A random forest, trained
 here from labelled findings, decides which candidates are secrets.
@@ -40,8 +40,11 @@ DICTIONARY = frozenset(
     "the and ing ion ent tion for her ter hat tha ere ate his con res ver all ons nce men ith ted ers pro thi wit are ess not ive was ect rea com eve per int est sta cti ica ist ear ain one our iti rat ell "
     "sch ein ich die der und den cht ung gen ver ber ten que ent les des ait ous est par eur ado cia men ara con nte aci".split()
 )
-KINDS = ("pem", "aws", "forge", "chat", "jwt", "general", "assigned")
+KINDS = ("pem", "aws", "forge", "chat", "jwt", "general", "assigned", "login")
+# A password between a user name and a host.
+LOGIN = re.compile(r"""://[^\s/?#@:"'<>]{0,64}:(?P<login>[^\s/?#@"'<>]{3,128})@(?=[0-9A-Za-z\[])""")
 UNKNOWN_FORMATS = ("general", "assigned")
+BEHIND_SIGNS = ("assigned", "login")
 # What follows = or :, in quotes or up to a blank or bracket; and the secret word that must stand before the sign.
 ASSIGNED = re.compile(r"""(?::=|=>|={1,3}|:)\s{0,3}(?:[!*|]{1,3}\s{1,3})?(?:"(?P<double>[^"\s]{6,})"|'(?P<single>[^'\s]{6,})'|`(?P<back>[^`\s]{6,})`|(?P<bare>[^\s"'`,;&<>()\[\]{}=:][^\s"'`,;&<>()\[\]{}]{5,}))""")
 ASSIGNS = re.compile(rf"(?<![a-z])(?:{'|'.join(map(re.escape, SECRET_WORDS))})s?[0-9]{{0,2}}[\s!*|\"'`\]]{{0,6}}$")
@@ -70,6 +73,8 @@ def candidates_of(text: str) -> list[tuple[int, int, str]]:
         met = out[at : bisect_left(out, (hi,), lo=at)]
         if hi - lo >= 6 and all(kind == "general" and (a, b) != (lo, hi) for a, b, kind in met):
             more.append((lo, hi, "assigned"))
+    if "://" in text:
+        more += [(*m.span("login"), "login") for m in LOGIN.finditer(text)]
     return sorted(out + more) if more else out
 
 
@@ -98,7 +103,7 @@ def features_of(text: str, start: int, end: int, kind: str) -> list[float]:
 
 
 def labelled_texts(n: int = 3600, seed: int = 11) -> list[tuple[str, int, int, int]]:
-    """(text, start, end, is a secret) of ``n`` labelled findings."""
+    """(text, start, end, is a secret) of ``n`` labelled findings and a sixth as many of short passwords."""
     rng = np.random.default_rng(seed)
     hexes, alnum = "0123456789abcdef", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
     draw = lambda chars, k: "".join(rng.choice(list(chars), k))
@@ -151,13 +156,30 @@ def labelled_texts(n: int = 3600, seed: int = 11) -> list[tuple[str, int, int, i
         closing = join[-1] if join[-1] in "\"'" else ""
         text += f"{value}{closing} {prose()}"
         out.append((text, start, start + len(value), true))
+    for i in range(n // 6):  # passwords in URLs, and short plain ones behind a secret word
+        true, base = i % 2, word()[:7] + "er"
+        short = [base + draw("0123456789", rng.integers(1, 4)) + rng.choice(marks), base + rng.choice(marks) + draw("0123456789", 3), base[0] + "3" + base[1:] + draw("0123456789", 2), rng.choice(marks) + base.title() + draw("0123456789", 2)][rng.integers(4)]
+        if i % 6 >= 4:
+            lead = f"https://{word()}.org/{word()}?" + rng.choice(["access_token=", "token=", "api_key=", "key=", "auth="] if true else ["id=", "v=", "build=", "sha=", "file="])
+            value, ends = [draw(hexes, rng.choice([32, 40])), draw(alnum, rng.integers(20, 44))][rng.integers(2)], rng.choice(["&page=2", "", "&ref=" + word()])
+        elif i % 6 < 2:
+            value = [base + draw("0123456789", rng.integers(1, 4)), short, draw(alnum, rng.integers(8, 21)), draw(alnum + "!$%^*~-_", rng.integers(8, 21))][rng.integers(4)]
+            names = ["password", "pass", "passwd", "pwd", "secret", "pw", "user", "token", "x" * int(rng.integers(3, 9)), "*" * int(rng.integers(3, 9)), "%s", "...", "changeme"]
+            false = [rng.choice(names), "$" + word().upper() + "_PASS", "${" + word().upper() + "_PASSWORD}", "{" + rng.choice(names[:6]) + "}", "[" + rng.choice(names[:6]) + "]", rng.choice(names[:6]).upper(), "your-" + rng.choice(names[:4]), draw("0123456789", 4)][rng.integers(8)]
+            lead = f"{rng.choice(['postgres', 'mysql', 'mongodb', 'redis', 'amqp', 'ftp', 'https', 'http'])}://{word()[:rng.integers(1, 9)]}:"
+            value, ends = (value if true else str(false)), f"@{word()}.{rng.choice(['org', 'local', 'internal:5432'])}/{word()}"
+        else:
+            lead = rng.choice(["password", "pwd", "passwd", "secret", "DB_PASSWORD"]) + rng.choice([' = "', '="', ': "', "='"])
+            value, ends = (short if true else str(rng.choice([base + "es", base + " " + base, "<" + base + ">", base.upper() + "_KEY", "get_" + base + "()", "placeholder", base + "." + base]))), lead[-1]
+        text = f"{prose()} {lead}"
+        out.append((f"{text}{value}{ends} {prose()}", len(text), len(text) + len(value), true))
     return out
 
 
 def labelled_findings(n: int = 3600, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """(features, is a secret) of ``n`` labelled findings."""
     drawn = labelled_texts(n, seed)
-    kinds = ["aws" if t.startswith("AKIA", lo) else "forge" if t.startswith("ghp_", lo) else "general" for t, lo, _, _ in drawn]
+    kinds = ["aws" if t.startswith("AKIA", lo) else "forge" if t.startswith("ghp_", lo) else "login" if re.search(r"://[^\s/]*:$", t[:lo]) else "general" for t, lo, _, _ in drawn]
     return np.array([features_of(t, lo, hi, k) for (t, lo, hi, _), k in zip(drawn, kinds, strict=True)]), np.array([true for *_, true in drawn])
 
 
@@ -236,13 +258,13 @@ def scan(texts: list[str | None], forest: Forest, cut: float = 0.5) -> list[list
     out: list[list] = [[] for _ in texts]
     for (i, lo, hi, kind), p in zip(spots, scores, strict=True):
         out[i].append((lo, hi, kind, 1.0 if kind == "pem" else float(p)))
-    return [_parted(found, cut) if any(f[2] == "assigned" for f in found) else found for found in out]
+    return [_parted(found, cut) if any(f[2] in BEHIND_SIGNS for f in found) else found for found in out]
 
 
 def _parted(found: list[tuple[int, int, str, float]], cut: float) -> list[tuple[int, int, str, float]]:
     """Findings in order without overlaps of assigned values with general candidates or each other."""
     kept: list[tuple[int, int, str, float]] = []
-    for f in sorted(found, key=lambda f: (f[3] >= cut, f[2] == "assigned", f[3]), reverse=True):
+    for f in sorted(found, key=lambda f: (f[3] >= cut, f[2] in BEHIND_SIGNS, f[3]), reverse=True):
         at = bisect_left(kept, f)
         if (at == 0 or kept[at - 1][1] <= f[0]) and (at == len(kept) or kept[at][0] >= f[1]):
             kept.insert(at, f)
@@ -255,7 +277,9 @@ FINDINGS = "doc_id long, start int, end int, kind string, score double, is_secre
 def find_secrets(docs: DataFrame, forest: Forest | None = None, cut: float = 0.5) -> DataFrame:
     """One row for each candidate of each whole text: (doc_id, start, end, kind, score, is_secret); offsets count code points.
 
-    Null and empty texts have no candidates; rows that repeat a document repeat its findings.
+    Null and empty texts have no candidates; rows that repeat a document repeat its findings; a
+    null doc_id stays null. Columns other than doc_id and text are ignored, and an empty table
+    gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(forest or trained_forest())
 
