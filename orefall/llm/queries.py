@@ -53,8 +53,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    return urlfilter.filter_urls(pages, urlfilter.listed_pages(pages))
+    return urlfilter.filter_urls(table(spark, sf_dir, "pages"), urlfilter.listed_urls(spark))
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

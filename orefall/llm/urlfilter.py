@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orefall.llm.common import maybe_broadcast
+from orefall.llm.common import store
 
 # The rules of the registered query.
 RULES: tuple[tuple[str, str], ...] = (
@@ -24,8 +24,14 @@ RULES: tuple[tuple[str, str], ...] = (
     ("block", "net/es/"),
     ("block", "net/fr/"),
 )
-# The hosts whose pages the registered query lists.
-LISTED_HOSTS: tuple[str, ...] = ("casino-win.example.com", "cheap-pills.example.com", "spam-farm.example.com", "casino-win.example.net", "cheap-pills.example.net", "spam-farm.example.net", "casino-win.example.org", "cheap-pills.example.org", "spam-farm.example.org")
+# The registered query's listing is made by this rule: each of these names under each subdomain and
+# domain, with the pages numbered up to LISTED_PAGES in each language. Pages of higher numbers, other
+# endings or other hosts are near-matches that must pass.
+LISTED_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+LISTED_SUBDOMAINS = ("", "blog.", "m.")
+LISTED_DOMAINS = ("com", "net", "org")
+LISTED_LANGUAGES = ("de", "en", "es", "fr")
+LISTED_PAGES = 2500
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LANES = 8
@@ -71,41 +77,63 @@ def bloom_blocks(listed: DataFrame, blocks: int) -> DataFrame:
     return listed.select(*_slot(F.col("canon"), blocks)).groupBy("block").agg(*[F.bit_or(f"bit{i}").alias(f"lane{i}") for i in range(LANES)])
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str]] = RULES, bits_per_url: int = 12) -> DataFrame:
+def _possible(seen: DataFrame, filter_blocks: DataFrame, blocks: int, broadcast: bool, salts: int) -> DataFrame:
+    """``seen`` with a column possible: no rule decides and the Bloom filter has the canonical URL."""
+    full = F.lit(True)
+    for i in range(LANES):
+        full = full & (F.col(f"lane{i}").bitwiseAND(F.col(f"bit{i}")) != 0)
+    slots = seen.select("*", *_slot(F.col("canon"), blocks))
+    probed = slots.join(F.broadcast(filter_blocks), "block", "left") if broadcast else _salted(slots, filter_blocks, "block", salts)
+    return probed.select(*seen.columns, (F.col("ruled").isNull() & F.coalesce(full, F.lit(False))).alias("possible"))
+
+
+def _salted(rows: DataFrame, table: DataFrame, key: str, salts: int) -> DataFrame:
+    """Left join on ``key`` in which the rows of one key are spread over ``salts`` tasks."""
+    left = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(salts)).cast("int"))
+    right = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [key, "salt"], "left").drop("salt")
+
+
+def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str]] = RULES, bits_per_url: int = 12, broadcast_bytes: int = 32 << 20, salts: int = 16) -> DataFrame:
     """(page_id, host, path, rule, verdict) for each row of ``pages`` (page_id, url).
 
     ``listed`` has a column url. A rule decides where one fits; else a listed canonical URL
     is blocked and any other allowed. Null urls and urls without ``://`` have empty host and
-    path and are allowed, also if such urls are listed. Repeated rows each get a row.
+    path and are allowed, also if such urls are listed. Repeated rows each get a row, other
+    columns are ignored, and either table may be empty.
+
+    ``pages`` is read twice: the distinct URLs that pass the Bloom filter are joined with the
+    listing, and then each page with those that this confirms. The blocks of the filter and
+    the confirmed URLs are broadcast up to ``broadcast_bytes``; beyond, the joins are salted,
+    so that a URL with a third of all pages is no task's own.
     """
-    listed = (
-        listed.select(canonical(url_host(F.col("url")), url_path(F.col("url"))).alias("canon")).where("canon <> ''").distinct()
-    )
+    listed = listed.select(canonical(url_host(F.col("url")), url_path(F.col("url"))).alias("canon")).where("canon <> ''").distinct()
+    listed = store(listed, "listed-urls")
     blocks = max(1, -(-listed.count() * bits_per_url // (32 * LANES)))
+    filter_blocks = store(bloom_blocks(listed, blocks), "bloom-blocks")
+    small_filter = blocks * 8 * (LANES + 1) <= broadcast_bytes
     seen = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     seen = seen.withColumn("ruled", rule_of(F.col("host"), F.col("path"), rules)).withColumn("canon", canonical(F.col("host"), F.col("path")))
-    by_rule = seen.where("ruled is not null").select("page_id", "host", "path", "ruled.rule", "ruled.verdict")
-    rest = seen.where("ruled is null").select("page_id", "host", "path", "canon", *_slot(F.col("canon"), blocks))
-    full = F.lit(True)
-    for i in range(LANES):
-        full = full & (F.col(f"lane{i}").bitwiseAND(F.col(f"bit{i}")) != 0)
-    probed = rest.join(maybe_broadcast(bloom_blocks(listed, blocks), 200_000), "block", "left").withColumn("possible", F.coalesce(full, F.lit(False)))
-    plain = probed.where("not possible").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
-    hits = probed.where("possible").join(listed.withColumn("listed", F.lit(True)), "canon", "left")
-    hits = hits.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.when(F.col("listed"), "block").otherwise("allow").alias("verdict"))
-    return by_rule.unionByName(plain).unionByName(hits)
+
+    asked = _possible(seen, filter_blocks, blocks, small_filter, salts).where("possible").select("canon").distinct()
+    confirmed = store(asked.join(listed, "canon", "left_semi").withColumn("listed", F.lit(True)), "confirmed-urls")
+    size = confirmed.agg(F.coalesce(F.sum(F.octet_length("canon") + 16), F.lit(0))).head()[0]
+    out = ["page_id", "host", "path", F.col("ruled.rule").alias("rule"), F.coalesce("ruled.verdict", F.when(F.col("listed"), "block"), F.lit("allow")).alias("verdict")]
+    if size <= broadcast_bytes:
+        return seen.join(F.broadcast(confirmed), "canon", "left").select(*out)
+    probed = _possible(seen, filter_blocks, blocks, small_filter, salts)
+    passed = probed.where("not possible").withColumn("listed", F.lit(None).cast("boolean")).select(*out)
+    return passed.unionByName(_salted(probed.where("possible"), confirmed, "canon", salts).select(*out))
 
 
-def listed_pages(pages: DataFrame, hosts: Sequence[str] = LISTED_HOSTS) -> DataFrame:
-    """The urls of ``pages`` on the given hosts and their subdomains: the listing of the registered query."""
-    host = url_host(F.col("url"))
-    wanted = F.lit(False)
-    for name in hosts:
-        wanted = wanted | under_host(host, name)
-    return pages.where(wanted).select("url")
+def listed_urls(spark: SparkSession, pages: int = LISTED_PAGES) -> DataFrame:
+    """The listing of the registered query, by its rule."""
+    stems = [f"http://{sub}{name}.example.{domain}/{lang}/" for name in LISTED_NAMES for sub in LISTED_SUBDOMAINS for domain in LISTED_DOMAINS for lang in LISTED_LANGUAGES]
+    numbers = spark.range(1, pages + 1).select("id", F.explode(F.array(*map(F.lit, stems))).alias("stem"))
+    return numbers.select(F.concat("stem", F.col("id").cast("string")).alias("url"))
 
 
-def oracle(rules: Sequence[tuple[str, str]] = RULES, hosts: Sequence[str] = LISTED_HOSTS) -> str:
+def oracle(rules: Sequence[tuple[str, str]] = RULES) -> str:
     """DuckDB SQL for the registered query."""
     cases = []
     for verdict, rule in sorted(rules, key=lambda r: -len(r[1])):
@@ -113,14 +141,15 @@ def oracle(rules: Sequence[tuple[str, str]] = RULES, hosts: Sequence[str] = LIST
         cases.append((f"(host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '{slash + rest}')", rule, verdict))
     rule_sql = " ".join(f"WHEN {c} THEN '{r}'" for c, r, _ in cases)
     verdict_sql = " ".join(f"WHEN {c} THEN '{v}'" for c, _, v in cases)
-    listed = " OR ".join(f"host = '{h}' OR ends_with(host, '.{h}')" for h in hosts)
+    parts = {"name": LISTED_NAMES, "sub": LISTED_SUBDOMAINS, "domain": LISTED_DOMAINS, "lang": LISTED_LANGUAGES}
+    sources = ", ".join(f"(SELECT unnest({list(values)}) AS {name})" for name, values in parts.items())
     return f"""
 WITH seen AS (
   SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host,
          coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 canon AS (
   SELECT *, regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^www\\.', '') || regexp_replace(path, '/+$', '') AS canon FROM seen),
-listed AS (SELECT DISTINCT canon FROM canon WHERE ({listed}) AND canon <> '')
+listed AS (SELECT sub || name || '.example.' || domain || '/' || lang || '/' || n AS canon FROM {sources}, (SELECT unnest(range(1, {LISTED_PAGES + 1})) AS n))
 SELECT page_id, host, path, CASE {rule_sql} END AS rule,
        CASE {verdict_sql} WHEN canon IN (SELECT canon FROM listed) THEN 'block' ELSE 'allow' END AS verdict
 FROM canon
