@@ -27,11 +27,11 @@ RULES: tuple[tuple[str, str], ...] = (
 # The registered query's listing is made by this rule: each of these names under each subdomain and
 # domain, with the pages numbered up to LISTED_PAGES in each language. Pages of higher numbers, other
 # endings or other hosts are near-matches that must pass.
-LISTED_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+LISTED_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm", *(a + b for a in ("thth", "ther") for b in ("an", "en", "es", "ha", "nt", "ti")))
 LISTED_SUBDOMAINS = ("", "blog.", "m.")
 LISTED_DOMAINS = ("com", "net", "org")
 LISTED_LANGUAGES = ("de", "en", "es", "fr")
-LISTED_PAGES = 2500
+LISTED_PAGES = 1000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LANES = 8
