@@ -69,8 +69,7 @@ def tokenize_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("bm25_stats", f"WITH {CORPUS} SELECT n_docs, round(avgdl, 6) AS avgdl, round(mean_idf, 6) AS mean_idf, n_terms FROM size CROSS JOIN mean")
 def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir)
-    s = R.corpus_stats(d, R.postings(d))
+    s = R.corpus_stats(R.stored(R.corpus_terms(docs(spark, sf_dir)), "terms"))
     return s.select("n_docs", r6("avgdl").alias("avgdl"), r6("mean_idf").alias("mean_idf"), "n_terms")
 
 

@@ -114,6 +114,20 @@ def test_bm25_empty_corpus_and_query(spark):
     assert retrieval.bm25_search(queries, docs, 3).count() == 0
 
 
+def test_bm25_in_place_equals_the_join(spark):
+    words = ["alpha", "beta", "gamma", "delta", "the", "of", "x"]
+    docs = spark.createDataFrame([(i, " ".join(words[(i * j) % 7] for j in range(i % 9))) for i in range(1, 700)] + [(0, None)], "doc_id long, text string").repartition(5)
+    queries = spark.createDataFrame([(1, "alpha the the"), (2, "GAMMA beta of"), (3, "unknown"), (4, None), (5, "x")], "qid long, text string")
+    got = [sorted(tuple(r) for r in retrieval.bm25_search(queries, docs, 4, cells=c).collect()) for c in (retrieval.CELLS, 0)]
+    assert got[0] == got[1] and {g[0] for g in got[0]} == {1, 2, 5}
+
+
+def test_vector_search_of_odd_vectors(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [])], "qid long, embedding array<double>")
+    d = spark.createDataFrame([(1, [1.0, None]), (2, [1.0, 1.0]), (3, None), (4, [2.0]), (5, [float("nan"), 1.0])], "doc_id long, embedding array<double>")
+    assert sorted((r["qid"], r["doc_id"]) for r in retrieval.vector_search(q, d, 3).collect()) == [(1, 2), (3, 4)]
+
+
 def test_vector_search_skips_zero_vectors(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0])], "qid long, embedding array<double>")
     d = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 1.0]), (3, [-1.0, 0.0])], "doc_id long, embedding array<double>")
