@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from orefall.config import RETRIEVAL, ROUTES
 from orefall.functions.scores import r6
 from orefall.functions.text import tokenize
+from orefall.session import spread
 from orefall.sources.files import scratch
 
 DIGITS = 6  # scores are ranked as rounded, so that order does not hang on the last bits of a sum
@@ -39,7 +40,7 @@ def corpus_terms(docs: DataFrame, text: str = "text") -> DataFrame:
 
     One pass over the texts; only a count for each term and input split is shuffled.
     """
-    tokens = docs.select(F.coalesce(tokenize(F.col(text)), F.array().cast("array<string>")).alias("t"))
+    tokens = spread(docs.select("doc_id", text), "doc_id").select(F.coalesce(tokenize(F.col(text)), F.array().cast("array<string>")).alias("t"))
     whole = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("t").cast("long").alias("n")))
     each = F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.lit(0).cast("long").alias("n")))
     return tokens.select(F.explode(F.concat(whole, each)).alias("x")).groupBy("x.term").agg(F.count("*").alias("df"), F.sum("x.n").alias("length"))
@@ -129,7 +130,7 @@ def _scored_in_place(asked: DataFrame, docs: DataFrame, k: int, block: int = 256
         q, j = np.nonzero(scores > 0)
         yield pa.RecordBatch.from_arrays([pa.array(qids[q]), pa.array(ids[q, j]), pa.array(scores[q, j])], names=["qid", "doc_id", "score"])
 
-    tokens = docs.select(F.col("doc_id").cast("long"), F.coalesce(tokenize(F.col("text")), F.array().cast("array<string>")).alias("t"))
+    tokens = spread(docs.select("doc_id", "text"), "doc_id").select(F.col("doc_id").cast("long"), F.coalesce(tokenize(F.col("text")), F.array().cast("array<string>")).alias("t"))
     return tokens.mapInArrow(run, f"qid {kind}, doc_id long, score double")
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,3 +108,47 @@ def breaker_islands(rows: DataFrame, key: str, order: str, failed: Column, thres
     marked = rows.withColumn("_f", failed.cast("int")).withColumn("_g", F.sum(F.lit(1) - F.col("_f")).over(w))
     runs = marked.where("_f = 1").groupBy(key, "_g").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))
     return runs.where(F.col("n") >= threshold).drop("_g")
+
+
+def breaker_walk(failed: Sequence[bool], at: Sequence[float], state: tuple[int, float | None], threshold: int, open_seconds: float) -> tuple[list[tuple[bool, int]], tuple[int, float | None]]:
+    """((allowed, failures in a row after it) of each event in order, state after them); state is (failures in a row, open until).
+
+    An event within the open window is turned away and changes nothing. The window's end
+    forgets all failures, a success does too, and the ``threshold``-th failure opens it.
+    """
+    run, until = state
+    out = []
+    for bad, now in zip(failed, at, strict=True):
+        if until is not None and now < until:
+            out.append((False, run))
+            continue
+        run, until = (0 if until is not None else run), None
+        run = run + 1 if bad else 0
+        until = now + open_seconds if run >= threshold else None
+        out.append((True, run))
+    return out, (run, until)
+
+
+def breaker(rows: DataFrame, key: str, ts: str, order: str, failed: str, threshold: int = 5, open_seconds: float = 120.0) -> DataFrame:
+    """(key, order, allowed, failures): a circuit breaker for each key; events pass sorted through tasks that hold a key's state alone."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, state = None, (0, None)
+        for b in batches:
+            out: list[tuple[bool, int]] = []
+            starts = [0, *np.flatnonzero((b["k"].to_numpy()[1:] != b["k"].to_numpy()[:-1])) + 1, len(b)]
+            for lo, hi in zip(starts, starts[1:], strict=False):
+                if lo == hi:
+                    continue
+                part = b.iloc[lo:hi]
+                held, state = (held, state) if held == (part["k"].iloc[0],) else ((part["k"].iloc[0],), (0, None))
+                found, state = breaker_walk(part["bad"].tolist(), part["at"].tolist(), state, threshold, open_seconds)
+                out += found
+            yield pd.DataFrame({"k": b["k"], "o": b["o"], "allowed": [a for a, _ in out], "failures": [f for _, f in out]})
+
+    kinds = dict(rows.dtypes)
+    at = F.unix_micros(F.col(ts).cast("timestamp")) / 1_000_000
+    asked = rows.select(F.col(key).alias("k"), F.col(order).alias("o"), F.coalesce(F.col(failed), F.lit(False)).alias("bad"), at.alias("at")).where("k IS NOT NULL AND at IS NOT NULL")
+    sorted_rows = asked.repartition("k").sortWithinPartitions("k", "at", "o")
+    out = sorted_rows.mapInPandas(run, f"k {kinds[key]}, o {kinds[order]}, allowed boolean, failures int")
+    return out.select(F.col("k").alias(key), F.col("o").alias(order), "allowed", "failures")

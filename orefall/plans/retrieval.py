@@ -10,6 +10,7 @@ from orefall.functions.text import tokenize
 from orefall.operators import retrieval as R
 from orefall.plans.registry import register
 from orefall.plans.views import DOCS, docs, read
+from orefall.session import spread
 from orefall.functions.scores import r6
 
 _P = RETRIEVAL
@@ -63,7 +64,7 @@ def doc_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("tokenize_docs", f"WITH {DOCS} SELECT doc_id, len(tokens) AS n_tokens, array_to_string(tokens, ' ') AS tokens FROM (SELECT doc_id, {TOKENS.format('text')} AS tokens FROM docs)")
 def tokenize_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = docs(spark, sf_dir).select("doc_id", tokenize(F.col("text")).alias("t"))
+    t = spread(docs(spark, sf_dir).select("doc_id", "text"), "doc_id").select("doc_id", tokenize(F.col("text")).alias("t"))
     return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
 
 

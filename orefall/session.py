@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ARCHIVE = "orefall_code.zip"
 
@@ -48,11 +48,21 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "orefal
     return ship(spark)
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows of files over all cores: files with fewer splits than cores are dealt anew, by a hash of ``keys``.
+
+    Work that is heavy for each row would otherwise keep a core a split busy and leave the
+    others idle. Tables with splits enough, as all large ones, stay as they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows._jdf.queryExecution().toRdd().getNumPartitions() >= cores else rows.repartition(cores, *keys)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests on one machine, a temporary folder is set and used.
+    tests on one machine, a temporary folder is set and used; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -60,6 +70,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="orefall-"))
         current = sc._jsc.sc().getCheckpointDir()
     return current.get().rstrip("/")

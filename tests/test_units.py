@@ -182,3 +182,33 @@ def test_symbols_of_odd_sources(spark):
     assert got == {"a.java": ["[C] A", "- items"], "b.ts": ["[C] Odd", "- run", "- make"], "c.go": ["- Run", "- Main", "[C] I"], "f": ["[C] F"]}
     many = spark.createDataFrame([("x.ts", "class A\n" * 60)], "file string, content string")
     assert C.symbols(many).count() == config.MAX_SYMBOLS
+
+
+def test_breaker_opens_expires_and_closes():
+    failed = [True] * 5 + [True, False, True, True, False, True]
+    at = [0.0, 1, 2, 3, 4, 50, 100, 124, 125, 126, 127]
+    found, state = T.breaker_walk(failed, at, (0, None), 5, 120.0)
+    # the fifth failure opens until 124; what comes before is turned away, then failures count anew
+    assert found == [(True, 1), (True, 2), (True, 3), (True, 4), (True, 5), (False, 5), (False, 5), (True, 1), (True, 2), (True, 0), (True, 1)]
+    assert state == (1, None)
+
+
+def test_breaker_over_a_table(spark):
+    rows = [(k, i, i * 10, i % 7 < 5) for k in "ab" for i in range(60)] + [(None, 1, 1, True), ("c", 1, 5, None)]
+    d = spark.createDataFrame(rows, "k string, id long, sec long, bad boolean").selectExpr("k", "id", "timestamp_seconds(sec) AS ts", "bad")
+    got = {(r["k"], r["id"]): (r["allowed"], r["failures"]) for r in T.breaker(d, "k", "ts", "id", "bad").collect()}
+    for k in "ab":
+        want, _ = T.breaker_walk([i % 7 < 5 for i in range(60)], [i * 10.0 for i in range(60)], (0, None), 5, 120.0)
+        assert [got[k, i] for i in range(60)] == want
+    assert got["c", 1] == (True, 0) and len(got) == 121 and T.breaker(d.limit(0), "k", "ts", "id", "bad").count() == 0
+
+
+def test_queue_keeps_its_count_between_batches(spark, tmp_path):
+    from orefall.streaming import flows
+
+    for i in range(3):
+        part = spark.range(i * 6, i * 6 + 6).selectExpr("id AS event_id", "TIMESTAMP_NTZ '2024-01-01 05:00:00' AS ts", "1L AS user_id", "'view' AS event_type", "1.0D AS value", "'{}' AS props")
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
+    stream = spark.readStream.schema(flows.EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/events").selectExpr("event_id", "CAST(ts AS TIMESTAMP) AS ts")
+    got = [r["accepted"] for r in flows.bounded_queue(stream, 10).collect()]
+    assert len(got) == 18 and sum(got) == 10
