@@ -68,21 +68,87 @@ def _verified(at_least: float, set_of: SetOf):
     return run
 
 
-def _links(cells: DataFrame, texts: DataFrame, at_least: float, set_of: SetOf) -> DataFrame:
-    """Links (a, b) of cells (band, key, cell, rep, label, probe)."""
+def could_be_alike(n_a: int, a: np.ndarray, n_b: int, b: np.ndarray, at_least: float) -> bool:
+    """Whether two sets of ``n_a`` and ``n_b`` may have a likeness of ``at_least``, from the first of each in a common order.
+
+    Up to the last that is known of both, what only one of them has counts against them; sets
+    that are alike enough differ in few.
+    """
+    if min(n_a, n_b) < at_least * max(n_a, n_b) - 1e-9:
+        return False
+    known = min([x[-1] for x, n in ((a, n_a), (b, n_b)) if len(x) < n], default=None)
+    if known is not None:
+        a, b = a[: np.searchsorted(a, known, side="right")], b[: np.searchsorted(b, known, side="right")]
+    differ = len(a) + len(b) - 2 * len(np.intersect1d(a, b, assume_unique=True))
+    return differ <= (n_a + n_b) * (1 - at_least) / (1 + at_least) + 1e-9
+
+
+def _hopeful(at_least: float):
+    """Streams rows sorted by cell; puts out those that may be alike with a probe of another component, or are such a probe.
+
+    Where rows know all buckets that they are in, a pair counts in the first common one only.
+    """
+
+    def solve(rows: list[tuple]) -> list[tuple]:
+        keep = [False] * len(rows)
+        firsts = [np.array(r[7], np.int64).view(np.uint64) for r in rows]
+        buckets = [None if r[9] is None else np.array(r[9], np.int64) for r in rows]
+
+        def counts(i: int, j: int) -> bool:
+            return buckets[i] is None or buckets[j] is None or np.intersect1d(buckets[i], buckets[j], assume_unique=True)[0] == rows[i][8]
+
+        for i, row in enumerate(rows):
+            for j, other in enumerate(rows) if row[5] else ():
+                if row[4] != other[4] and not (keep[i] and keep[j]) and could_be_alike(row[6], firsts[i], other[6], firsts[j], at_least) and counts(i, j):
+                    keep[i] = keep[j] = True
+        return [r[:6] for r, k in zip(rows, keep, strict=True) if k]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["band", "key", "cell", "rep", "label", "probe"]
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            kept = solve(rows) if len(rows) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in kept], kind) for k, kind in enumerate(kinds)], names=names)
+
+        held: list[tuple] = []
+        for b in batches:
+            for row in zip(*(b.column(i).to_pylist() for i in range(10)), strict=True):
+                if held and row[:3] != held[0][:3]:
+                    yield out(held)
+                    held = []
+                held.append(row)
+        yield out(held)
+
+    return run
+
+
+ROWS = "band int, key long, cell int, rep long, label long, probe boolean"
+
+
+def _by_cell(rows: DataFrame) -> DataFrame:
+    return rows.repartition(shuffle_partitions(rows.sparkSession), "band", "key", "cell").sortWithinPartitions("band", "key", "cell")
+
+
+def _links(cells: DataFrame, texts_of: Callable[[DataFrame], DataFrame], at_least: float, set_of: SetOf, firsts: DataFrame | None) -> DataFrame:
+    """Links (a, b) of cells (band, key, cell, rep, label, probe); with ``firsts``, rows that cannot be alike with any go before texts are moved."""
     held = cells.groupBy("band", "key", "cell", "rep").agg(F.min("label").alias("label"), F.max("probe").alias("probe"))
-    rows = held.join(texts, "rep").select("band", "key", "cell", "rep", "label", "probe", "text")
-    spread = rows.repartition(shuffle_partitions(cells.sparkSession), "band", "key", "cell").sortWithinPartitions("band", "key", "cell")
-    return store(spread.mapInArrow(_verified(at_least, set_of), "a long, b long"), "alike-links")
+    if firsts is not None:
+        rows = held.join(firsts, "rep").select("band", "key", F.col("cell").cast("int").alias("cell"), "rep", "label", "probe", "n", "firsts", F.xxhash64("band", "key").alias("here"), "buckets")
+        held = store(_by_cell(rows).mapInArrow(_hopeful(at_least), ROWS), "alike-hopeful")
+    rows = held.join(texts_of(held), "rep").select("band", "key", "cell", "rep", "label", "probe", "text")
+    return store(_by_cell(rows).mapInArrow(_verified(at_least, set_of), "a long, b long"), "alike-links")
 
 
-def alike_components(docs: DataFrame, seen: DataFrame, reps: DataFrame, banded: DataFrame, set_of: SetOf, at_least: float, tile: int = 128, near: DataFrame | None = None) -> DataFrame:
+def alike_components(docs: DataFrame, seen: DataFrame, reps: DataFrame, banded: DataFrame, set_of: SetOf, at_least: float, tile: int = 128, near: DataFrame | None = None, firsts: DataFrame | None = None) -> DataFrame:
     """(doc_id, component_id) for each doc_id of ``docs``: sets with a likeness of ``at_least`` link, links chain.
 
     ``seen`` has (doc_id, digest of the set), ``reps`` (digest, rep) the smallest id of each
     digest, ``banded`` (band, key, rep) the buckets in which candidates meet, ``near`` more
-    candidates (centre, rep). ``set_of`` gives the sorted set of a text. Null and empty texts
-    link with each other. A doc_id with several texts ties them together.
+    candidates (centre, rep). ``set_of`` gives the sorted set of a text. ``firsts`` (rep, n,
+    firsts) may hold the size of each set and its first members in any common order, as longs
+    that ascend without sign. Null and empty texts link with each other. A doc_id with several
+    texts ties them together.
     """
     spark = docs.sparkSession
     ties = seen.select("doc_id", "digest").join(reps.select("digest", "rep"), "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -94,10 +160,14 @@ def alike_components(docs: DataFrame, seen: DataFrame, reps: DataFrame, banded:
     buckets = store(once.select("s.band", "s.key", "s.centre"), "alike-buckets")
     members = store(banded.join(buckets, ["band", "key"]).select("band", "key", "centre", "rep"), "alike-members")
     near = spark.createDataFrame([], "centre long, rep long") if near is None else near
-    wanted = members.select("rep").unionByName(near.select("rep")).unionByName(near.select(F.col("centre").alias("rep"))).distinct()
-    texts = store(
-        docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(wanted, "rep", "left_semi").dropDuplicates(["rep", "text"]), "alike-texts"
-    )
+    every = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+
+    def texts_of(rows: DataFrame) -> DataFrame:
+        return store(every.join(rows.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep", "text"]), "alike-texts")
+
+    if firsts is None:
+        texts = texts_of(members.select("rep").unionByName(near.select("rep")).unionByName(near.select(F.col("centre").alias("rep"))))
+        texts_of = lambda _: texts
 
     # Each member against the smallest of its bucket.
     pairs = store(members.select("centre", "rep").unionByName(near.select("centre", "rep")).where("rep <> centre").distinct(), "alike-pairs")
@@ -107,7 +177,7 @@ def alike_components(docs: DataFrame, seen: DataFrame, reps: DataFrame, banded:
     cells = dealt.select("band", "key", "cell", "rep", F.col("rep").alias("label"), F.lit(False).alias("probe")).unionByName(
         dealt.select("band", "key", "cell", "centre").distinct().select("band", "key", "cell", F.col("centre").alias("rep"), F.col("centre").alias("label"), F.lit(True).alias("probe"))
     )
-    links = _links(cells, texts, at_least, set_of).unionByName(ties)
+    links = _links(cells, texts_of, at_least, set_of, None if firsts is None else firsts.withColumn("buckets", F.lit(None).cast("array<long>"))).unionByName(ties)
 
     # Those in other components than it, against all of the bucket.
     comps = store(connected_components(links), "alike-components")
@@ -126,7 +196,9 @@ def alike_components(docs: DataFrame, seen: DataFrame, reps: DataFrame, banded:
     shared = shared.select("band", "key", (F.col("i") * F.col("parts") + F.col("part")).alias("cell"), "rep", "label", "probe")
     asked = left.where("probe").select("band", "key", "rep", "label", "probe", "parts", "probe_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
     asked = asked.select("band", "key", (F.col("probe_part") * F.col("parts") + F.col("j")).alias("cell"), "rep", "label", "probe")
-    more = _links(shared.unionByName(asked), texts, at_least, set_of)
+    if firsts is not None:
+        firsts = firsts.join(left.groupBy("rep").agg(F.sort_array(F.collect_set(F.xxhash64("band", "key"))).alias("buckets")), "rep")
+    more = _links(shared.unionByName(asked), texts_of, at_least, set_of, firsts)
     final = connected_components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     ids = seen.select("doc_id").distinct()
     return ids.join(final, ids["doc_id"] == final["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))

@@ -136,9 +136,15 @@ def usable(vectors: DataFrame, dim: int) -> DataFrame:
 
 
 def _units(packed: list[bytes], dim: int, width: type) -> np.ndarray:
-    """Unit vectors in double precision."""
+    """Unit vectors in double precision; very small and very large ones are scaled before they are squared."""
     x = np.frombuffer(b"".join(packed), dtype=width).reshape(-1, dim).astype(np.float64)
-    return x / np.sqrt((x**2).sum(axis=1, keepdims=True))
+    with np.errstate(over="ignore", under="ignore"):
+        squares = (x**2).sum(axis=1)
+    odd = ~((squares > 1e-200) & (squares < 1e200))
+    if odd.any():
+        x[odd] /= np.abs(x[odd]).max(axis=1, keepdims=True)
+        squares[odd] = (x[odd] ** 2).sum(axis=1)
+    return x / np.sqrt(squares)[:, None]
 
 
 def _tiles(dim: int, least: float, width: type):

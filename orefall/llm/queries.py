@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from orefall.llm import langid, multiindex, packing, pieces, secrets, simhash, spotsigs, tokenfiles, toxicity, urlfilter
-from orefall.llm.common import table
+from orefall.llm.common import documents, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -19,19 +19,19 @@ def tokenizer_path(name: str) -> str:
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return toxicity.score_documents(documents(spark, sf_dir), toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.simhash_dedup(table(spark, sf_dir, "documents"))
+    return simhash.simhash_dedup(documents(spark, sf_dir))
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return secrets.find_secrets(documents(spark, sf_dir))
 
 
 def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spotsigs.edited_fingerprints(table(spark, sf_dir, "documents"))
+    return spotsigs.edited_fingerprints(documents(spark, sf_dir))
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,12 +44,12 @@ def op6_multiindex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"))
+    return packing.pack_documents(documents(spark, sf_dir))
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return langid.identify(docs, langid.train(docs))
+    return langid.identify(documents(spark, sf_dir), langid.train(docs))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("piece_bpe_32k.model")
-    return pieces.encode_digest(table(spark, sf_dir, "documents"), path)
+    return pieces.encode_digest(documents(spark, sf_dir), path)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

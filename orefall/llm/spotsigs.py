@@ -33,7 +33,7 @@ ANCHORS = frozenset(
         "con del el en es las los no para por se su una y"
     ).split()
 )
-CHAIN = 2
+CHAIN = 3
 _BLANKED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -154,15 +154,14 @@ def edited_fingerprints(docs: DataFrame, at_least: float = 0.8) -> DataFrame:
     return ranges.deal(both).sortWithinPartitions("halo", F.col("doc_id").desc_nulls_last(), "kind", "payload").mapInArrow(run, EDITS)
 
 
-COMMON_OF, COMMON_SHARE, COMMON_MOST = 1024, 100, 100_000
+COMMON_OF, COMMON_LEAST, COMMON_MOST = 1024, 3, 200_000
 
 
 def common_signatures(docs: DataFrame, most: int = COMMON_MOST) -> np.ndarray:
     """Sorted hashes of signatures that are common in many runs of documents, ``most`` at most.
 
-    Each run of COMMON_OF documents reports those that one in COMMON_SHARE of it has (8 at
-    least). All documents are looked at. Only the order in which sets are listed hangs on
-    this, no link does.
+    Each run of COMMON_OF documents reports those that COMMON_LEAST of them have. All
+    documents are looked at. Only the order in which sets are listed hangs on this, no link does.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +169,7 @@ def common_signatures(docs: DataFrame, most: int = COMMON_MOST) -> np.ndarray:
             for at in range(0, b.num_rows, COMMON_OF):
                 sets = [signatures(t) for t in b.column("text").slice(at, COMMON_OF).to_pylist() if t]
                 found, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
-                often = counts >= max(8, len(sets) // COMMON_SHARE)
+                often = counts >= COMMON_LEAST
                 yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(counts[often])], names=["sig", "n"])
 
     counted = docs.select(F.col("text").cast("string")).mapInArrow(run, "sig long, n long").groupBy("sig").agg(F.sum("n").alias("n"))
@@ -179,11 +178,12 @@ def common_signatures(docs: DataFrame, most: int = COMMON_MOST) -> np.ndarray:
 
 
 def listed_under(sigs: np.ndarray, common: np.ndarray, at_least: float) -> np.ndarray:
-    """The signatures that a set is listed under: its first n - ceil(at_least * n) + 1 in the order (common or not, hash)."""
-    if not len(sigs):
-        return sigs
-    often = np.isin(sigs, common, assume_unique=True)
-    return np.r_[sigs[~often], sigs[often]][: len(sigs) - math.ceil(at_least * len(sigs) - 1e-9) + 1]
+    """The signatures that a set is listed under, ascending: its first n - ceil(at_least * n) + 1, common ones last.
+
+    For that order a signature loses its lowest bit, and common ones get the highest.
+    """
+    order = np.unique((sigs >> np.uint64(1)) | (np.isin(sigs, common, assume_unique=True).astype(np.uint64) << np.uint64(63)))
+    return order[: len(sigs) - math.ceil(at_least * len(sigs) - 1e-9) + 1 if len(sigs) else 0]
 
 
 def spotsigs_dedup(docs: DataFrame, at_least: float = 0.8, tile: int = 128) -> DataFrame:
@@ -215,7 +215,8 @@ def spotsigs_dedup(docs: DataFrame, at_least: float = 0.8, tile: int = 128) -> D
     shared_keys = listed.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("r"), F.min("n").alias("n")).where("m > 1 AND r IS NOT NULL AND n > 0").select("key")
     part = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / at_least)).cast("int")
     banded = store(listed.join(shared_keys.hint("merge"), "key").select("rep", "key", F.explode(F.array(part, part + 1)).alias("band")), "spotsigs-listed")
-    return alike_components(docs, seen, reps, banded, signatures_or_none, at_least, tile)
+    firsts = reps.select("rep", "n", F.col("sigs").alias("firsts"))
+    return alike_components(docs, seen, reps, banded, signatures_or_none, at_least, tile, firsts=firsts)
 
 
 def signatures_or_none(text: str | None) -> np.ndarray:

@@ -212,13 +212,17 @@ def fit(texts: list[str], toxic: list[int]) -> ToxicityModel:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> tuple[list[str], list[int]]:
-    """Texts and toxic marks of at most ``limit`` labelled rows that are not held out, the first by a hash of the id."""
+    """Texts and toxic marks of at most ``limit`` labelled rows that are not held out, the first by a hash of the id.
+
+    A doc_id counts once, with the first of its texts, so that repeated rows weigh no more than one.
+    """
     chosen = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", 5) != 0))
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     )
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id").select("text", "toxic").toArrow()
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    got = texts.orderBy("doc_id").select("text", "toxic").toArrow()
     return [t or "" for t in got.column("text").to_pylist()], got.column("toxic").to_pylist()
 
 
