@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from orefall.llm.common import maybe_broadcast, shuffle_partitions, store
 from orefall.llm.components import connected_components
 
+WANTED = 4_000_000  # ids of 8 bytes that go to the texts at once; beyond, the texts are shuffled to the ids
 SetOf = Callable[[str | None], np.ndarray]
 
 
@@ -163,7 +164,8 @@ def alike_components(docs: DataFrame, seen: DataFrame, reps: DataFrame, banded:
     every = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
 
     def texts_of(rows: DataFrame) -> DataFrame:
-        return store(every.join(rows.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep", "text"]), "alike-texts")
+        wanted = store(rows.select("rep").distinct(), "alike-wanted")
+        return store(every.join(maybe_broadcast(wanted, WANTED), "rep", "left_semi").dropDuplicates(["rep", "text"]), "alike-texts")
 
     if firsts is None:
         texts = texts_of(members.select("rep").unionByName(near.select("rep")).unionByName(near.select(F.col("centre").alias("rep"))))
