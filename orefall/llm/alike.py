@@ -19,6 +19,7 @@ from orefall.llm.common import maybe_broadcast, shuffle_partitions, store
 from orefall.llm.components import connected_components
 
 WANTED = 4_000_000  # ids of 8 bytes that go to the texts at once; beyond, the texts are shuffled to the ids
+BUCKETS = 1_000_000  # buckets of 20 bytes, likewise
 SetOf = Callable[[str | None], np.ndarray]
 
 
@@ -70,16 +71,16 @@ def _verified(at_least: float, set_of: SetOf):
 
 
 def could_be_alike(n_a: int, a: np.ndarray, n_b: int, b: np.ndarray, at_least: float) -> bool:
-    """Whether two sets of ``n_a`` and ``n_b`` may have a likeness of ``at_least``, from the first of each in a common order.
+    """Whether two sets of ``n_a`` and ``n_b`` may have a likeness of ``at_least``, from marks of the first of each in a common order.
 
-    Up to the last that is known of both, what only one of them has counts against them; sets
-    that are alike enough differ in few.
+    Below the last that is known of both, a mark that only one of them has counts against
+    them; sets that are alike enough differ in few. Members may share a mark, which rules out less.
     """
     if min(n_a, n_b) < at_least * max(n_a, n_b) - 1e-9:
         return False
     known = min([x[-1] for x, n in ((a, n_a), (b, n_b)) if len(x) < n], default=None)
     if known is not None:
-        a, b = a[: np.searchsorted(a, known, side="right")], b[: np.searchsorted(b, known, side="right")]
+        a, b = a[: np.searchsorted(a, known)], b[: np.searchsorted(b, known)]
     differ = len(a) + len(b) - 2 * len(np.intersect1d(a, b, assume_unique=True))
     return differ <= (n_a + n_b) * (1 - at_least) / (1 + at_least) + 1e-9
 
@@ -92,7 +93,7 @@ def _hopeful(at_least: float):
 
     def solve(rows: list[tuple]) -> list[tuple]:
         keep = [False] * len(rows)
-        firsts = [np.array(r[7], np.int64).view(np.uint64) for r in rows]
+        firsts = [np.unique(np.array(r[7], np.int32).view(np.uint32)) for r in rows]
         buckets = [None if r[9] is None else np.array(r[9], np.int64) for r in rows]
 
         def counts(i: int, j: int) -> bool:
@@ -147,8 +148,8 @@ def alike_components(docs: DataFrame, seen: DataFrame, reps: DataFrame, banded:
     ``seen`` has (doc_id, digest of the set), ``reps`` (digest, rep) the smallest id of each
     digest, ``banded`` (band, key, rep) the buckets in which candidates meet, ``near`` more
     candidates (centre, rep). ``set_of`` gives the sorted set of a text. ``firsts`` (rep, n,
-    firsts) may hold the size of each set and its first members in any common order, as longs
-    that ascend without sign. Null and empty texts link with each other. A doc_id with several
+    firsts) may hold the size of each set and marks of its first members in any common order:
+    ints that do not descend, taken without sign. Null and empty texts link with each other. A doc_id with several
     texts ties them together.
     """
     spark = docs.sparkSession
@@ -159,7 +160,10 @@ def alike_components(docs: DataFrame, seen: DataFrame, reps: DataFrame, banded:
     # Buckets of the same members count once.
     once = sizes.where("m > 1").groupBy("m", "x", "y").agg(F.min(F.struct("band", "key", "centre")).alias("s"))
     buckets = store(once.select("s.band", "s.key", "s.centre"), "alike-buckets")
-    members = store(banded.join(buckets, ["band", "key"]).select("band", "key", "centre", "rep"), "alike-members")
+    members = store(banded.join(maybe_broadcast(buckets, BUCKETS), ["band", "key"]).select("band", "key", "centre", "rep"), "alike-members")
+    if firsts is not None:
+        met = store(members.select("rep").distinct(), "alike-wanted")
+        firsts = store(firsts.join(maybe_broadcast(met, WANTED), "rep", "left_semi"), "alike-firsts")
     near = spark.createDataFrame([], "centre long, rep long") if near is None else near
     every = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
 

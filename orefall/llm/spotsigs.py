@@ -215,7 +215,8 @@ def spotsigs_dedup(docs: DataFrame, at_least: float = 0.8, tile: int = 128) -> D
     shared_keys = listed.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("r"), F.min("n").alias("n")).where("m > 1 AND r IS NOT NULL AND n > 0").select("key")
     part = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / at_least)).cast("int")
     banded = store(listed.join(shared_keys.hint("merge"), "key").select("rep", "key", F.explode(F.array(part, part + 1)).alias("band")), "spotsigs-listed")
-    firsts = reps.select("rep", "n", F.col("sigs").alias("firsts"))
+    # The upper halves keep the order.
+    firsts = reps.select("rep", "n", F.transform("sigs", lambda x: F.shiftright(x, 32).cast("int")).alias("firsts"))
     return alike_components(docs, seen, reps, banded, signatures_or_none, at_least, tile, firsts=firsts)
 
 

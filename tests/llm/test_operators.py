@@ -397,6 +397,35 @@ def test_token_files_round_trip(spark, docs, texts, bpe):
     assert [r["doc_id"] for r in one] == [17]
 
 
+def test_token_files_have_indexes_and_skip_rows(spark, sf):
+    big = table(spark, sf.replace("sf0.001", "sf0.1"), "documents")
+    path = tokenfiles.encode_to_files(spark, big, BPE)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = [f.getPath() for f in folder.getFileSystem(conf).listStatus(folder) if f.getPath().getName().endswith(".orc")]
+    assert len(files) > 1
+    for file in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(file, jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == 2000
+        rows = reader.rows()
+        for stripe in reader.getStripes():
+            streams = [s.getKind().toString() for s in rows.readStripeFooter(stripe).getStreamsList()]
+            assert "ROW_INDEX" in streams and "BLOOM_FILTER_UTF8" in streams
+            encodings = [c.getKind().toString() for c in rows.readStripeFooter(stripe).getColumnsList()]
+            assert "DIRECT_V2" in encodings
+        rows.close()
+    found = tokenfiles.lookup(spark, path, [17, 4242])
+    assert sorted(r["doc_id"] for r in found.collect()) == [17, 4242]
+
+    def scanned(plan):
+        if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            return scanned(plan.executedPlan())
+        kids = [plan.children().apply(i) for i in range(plan.children().size())]
+        return sum(map(scanned, kids)) if kids else plan.metrics().apply("numOutputRows").value()
+
+    assert 2 <= scanned(found._jdf.queryExecution().executedPlan()) <= 4000 < big.count()
+
+
 def test_token_files_of_odd_rows(spark, odd, none):
     path = tokenfiles.encode_to_files(spark, odd, BPE)
     rows = tokenfiles.ids_digest(tokenfiles.read_token_files(spark, path)).orderBy("start").collect()
@@ -737,3 +766,37 @@ def test_pipeline_against_brute_force(spark, sf, docs):
     packed = corpus_pipeline.run(spark, sf).toPandas()
     assert packed.groupby("doc_id")["length"].sum().to_dict() == {i: len(t.split()) for i, t in want.items()}
     assert packed.groupby("bin")["length"].sum().max() <= packing.CAPACITY
+
+
+def test_stages_on_odd_and_empty_tables(spark, sf, odd, none, tmp_path):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        kept = stage(spark, odd, sf)
+        assert kept.columns == odd.columns and 0 < kept.count() <= len(ODD), name
+        assert stage(spark, none, sf).count() == 0, name
+    assert corpus_pipeline.STAGES[4][1](spark, none, sf).count() == 0
+    labels = spark.createDataFrame([(1, 0, 1), (None, 1, 0), (8, None, None)], "doc_id long, quality int, toxic int")
+    for label, docs in (("odd", odd), ("none", none)):
+        base = f"{tmp_path}/{label}"
+        docs.write.parquet(f"{base}/documents.parquet")
+        labels.write.parquet(f"{base}/labels.parquet")
+        packed = corpus_pipeline.run(spark, base)
+        assert packed.columns == ["doc_id", "piece", "length", "bin", "offset"]
+        assert (packed.count() == 0) == (label == "none")
+
+
+def test_firsts_never_rule_out_sets_that_are_alike():
+    rng = np.random.default_rng(12)
+    common, out = np.zeros(0, np.uint64), 0
+    for _ in range(4000):
+        a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 60)), dtype=np.uint64) * np.uint64(2))
+        keep = rng.random(len(a)) > rng.choice([0.02, 0.1, 0.3])
+        b = np.unique(np.r_[a[keep], rng.integers(0, 2**63, int(rng.integers(0, 8)), dtype=np.uint64) * np.uint64(2)])
+        if not len(b):
+            continue
+        marks = [np.unique((spotsigs.listed_under(x, common, 0.8) >> np.uint64(32)).astype(np.uint32)) for x in (a, b)]
+        may = alike.could_be_alike(len(a), marks[0], len(b), marks[1], 0.8)
+        assert may or alike.likeness(a, b) < 0.8
+        out += not may
+    assert out > 1000
