@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orefall.functions import replies as P
@@ -10,15 +10,16 @@ from orefall.functions import text as X
 from orefall.functions.scores import r6
 from orefall.operators import chunking as C
 from orefall.operators import evaluation as E
+from orefall.operators import flows as Flow
 from orefall.operators import repo as Repo
 from orefall.operators import retrieval as R
-from orefall.operators.state import first_of
+from orefall.operators.state import latest
 from orefall.plans.chunks import LINES, texts
 from orefall.plans.evaluation import ONLINE, SECOND, final, tier_sql
 from orefall.plans.registry import register
-from orefall.plans.repo import CLAIMS, claims
+from orefall.plans.repo import BONUS, CLAIMS, TOKENS_CLAIM, claims
 from orefall.plans.retrieval import CORPUS, Q, TOKENS, asked, bm25_sql
-from orefall.plans.views import ISS, docs, issues, read
+from orefall.plans.views import DOCS, ISS, TRACE, docs, events, issues, read
 
 
 @register("pipe_analyze", f"WITH {LINES} SELECT split_part(file, '/', 1) AS source, count(*) AS n_chunks, CAST(sum(len({TOKENS.format('content')})) AS BIGINT) AS n_tokens FROM chunks GROUP BY 1")
@@ -28,6 +29,21 @@ def pipe_analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.groupBy(F.split("file", "/")[0].alias("source")).agg(F.count("*").alias("n_chunks"), F.sum(F.size(X.tokenize(F.col("content")))).alias("n_tokens"))
 
 
+# Rounds of an analysis: round r of a source selects its files of the r-th size class; what is labelled is known before.
+ROUNDS = f"""{DOCS}, sized AS (SELECT source, doc_id, CASE WHEN length(text) >= 9000 THEN 5 WHEN length(text) >= 3000 THEN 4 WHEN length(text) >= 1200 THEN 3 WHEN length(text) >= 400 THEN 2 ELSE 1 END AS round FROM docs),
+r AS (SELECT source AS key, round, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM labels)) AS n_new FROM sized GROUP BY source, round)"""
+
+
+@register("pipe_rounds", f"WITH {ROUNDS}, s AS (SELECT *, min(CASE WHEN n_new = 0 THEN round END) OVER (PARTITION BY key) AS stop FROM r WHERE round <= 4) SELECT key, round, CASE WHEN round = stop THEN 'stopped' WHEN round = 4 THEN 'limit' ELSE 'continued' END AS status FROM s WHERE stop IS NULL OR round <= stop")
+def pipe_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to four rounds of a source; one that selects nothing new ends them."""
+    n = F.length("text")
+    at = F.lit(1) + sum(((n >= size).cast("int") for size in (400, 1200, 3000, 9000)), F.lit(0))
+    known = read(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("known")).distinct()
+    sized = docs(spark, sf_dir).select("source", "doc_id", at.alias("round")).join(known, "doc_id", "left")
+    return Flow.rounds(sized.groupBy(F.col("source").alias("key"), "round").agg(F.count_if(F.col("known").isNull()).alias("n_new")))
+
+
 @register("pipe_chat", f"WITH {CORPUS}, {Q}, {bm25_sql('b', 'q', 6)} SELECT qid, md5(string_agg('--- File: ' || file || ' ---' || chr(10) || left(text, 2000), chr(10) || chr(10) ORDER BY rank)) AS block, count(*) AS n FROM b JOIN docs USING (doc_id) GROUP BY qid")
 def pipe_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieve six and build the context block of each question."""
@@ -38,38 +54,112 @@ def pipe_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("qid").agg(F.md5(F.array_join(lines, "\n\n")).alias("block"), F.count("*").alias("n"))
 
 
-ALIGN = f"""WITH {CORPUS}, {CLAIMS},
-numbered AS (SELECT paper * 1000 + row_number() OVER (PARTITION BY paper ORDER BY claim) AS qid, paper, claim AS text FROM claims), {bm25_sql('b', 'numbered', 5)},
-judged AS (SELECT n.paper, n.qid, coalesce(max(b.score), 0) AS best FROM numbered n LEFT JOIN b ON b.qid = n.qid GROUP BY n.paper, n.qid)
-SELECT paper, count(*) AS n_claims, round(sum(CASE WHEN best >= 60 THEN 1.0 WHEN best >= 25 THEN 0.5 ELSE 0.0 END) / count(*) + 1e-9, 4) AS confidence FROM judged GROUP BY paper"""
+# Claims of a paper are judged twice by recorded replies; its repository is the source of its number, whose labelled files are indexed at first.
+SESSIONS = f"""{CLAIMS}, lettered AS (SELECT paper || ':' || row_number() OVER (PARTITION BY paper ORDER BY claim) AS qid, paper, 'src' || (paper % 20) AS session, claim AS text, status FROM claims),
+files AS (SELECT source AS session, source || '/' || array_to_string(list_transform(string_split(left(text, 60), ' ')[1:3], lambda x: lower(x)), '_') || '_' || doc_id || '.py' AS path, doc_id AS pos, doc_id, text FROM documents),
+known AS (SELECT * FROM files WHERE doc_id IN (SELECT doc_id FROM labels))"""
+JIT = f"""cand AS (SELECT l.qid, f.path, f.doc_id, f.pos, len(list_filter({TOKENS_CLAIM.format('l.text')}, lambda t: contains(lower(f.path), t))) + {BONUS.replace('lower(text)', 'lower(l.text)').replace('lower(path)', 'lower(f.path)')} AS score
+  FROM lettered l JOIN files f USING (session) WHERE l.status IN ('missing', 'insufficient_evidence') AND f.doc_id NOT IN (SELECT doc_id FROM known)),
+jit AS (SELECT qid, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, length(path), pos) AS rank FROM cand WHERE score > 0) WHERE rank <= 3)"""
+JIT_CORPUS = CORPUS.replace("FROM documents)", "FROM documents WHERE doc_id IN (SELECT doc_id FROM {0}))")
 
 
-@register("pipe_align", ALIGN)
-def pipe_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims, their evidence, a recorded judgement (by the best score here), and the confidence of each paper."""
+def claim_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.row_number().over(Window.partitionBy("paper").orderBy("claim"))
-    c = claims(spark, sf_dir).select("paper", (F.col("paper") * 1000 + number).alias("qid"), F.col("claim").alias("text"))
-    best = R.bm25_search(c.select("qid", "text"), docs(spark, sf_dir), 5).groupBy("qid").agg(F.max("score").alias("best"))
-    score = F.coalesce("best", F.lit(0.0))
-    judged = c.join(best, "qid", "left").select("paper", F.when(score >= 60, "aligned").when(score >= 25, "partial").otherwise("missing").alias("status"))
-    return Repo.align_confidence(judged)
+    c = claims(spark, sf_dir).withColumn("n", number)
+    return c.select(F.concat_ws(":", "paper", "n").alias("qid"), "paper", F.concat(F.lit("src"), F.col("paper") % 20).alias("session"), F.col("claim").alias("text"), "status")
+
+
+def session_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.array_join(F.transform(F.slice(F.split(F.substring("text", 1, 60), " "), 1, 3), F.lower), "_")
+    return read(spark, sf_dir, "documents").select(F.col("source").alias("session"), F.concat("source", F.lit("/"), name, F.lit("_"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.col("doc_id").alias("pos"), "doc_id", "text")
+
+
+def judgements(rows: DataFrame) -> DataFrame:
+    """Recorded replies of both rounds: the first as recorded, the second by the claim's length."""
+    n = F.length("text") % 3
+    again = rows.select("qid", F.lit(1).alias("round"), F.when(n == 0, "aligned").when(n == 1, "partial").otherwise("missing").alias("status"))
+    return rows.select("qid", F.lit(0).alias("round"), "status").unionByName(again)
+
+
+def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, files = claim_sessions(spark, sf_dir), session_files(spark, sf_dir)
+    known = files.join(read(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select("session", "path")
+    return Flow.align(rows.drop("status"), files, known, judgements(rows))
+
+
+ALIGN = f"""{SESSIONS}, {JIT}, {JIT_CORPUS.format('known')}, {bm25_sql('b', 'lettered', 5)},
+al AS (SELECT l.qid, l.paper, CAST(coalesce(h.n, 0) AS INTEGER) AS hits, CAST(coalesce(j.n, 0) AS INTEGER) AS jit_files,
+  CASE WHEN j.n > 0 THEN CASE length(l.text) % 3 WHEN 0 THEN 'aligned' WHEN 1 THEN 'partial' ELSE 'missing' END ELSE l.status END AS status
+  FROM lettered l LEFT JOIN (SELECT qid, count(*) AS n FROM b GROUP BY qid) h USING (qid) LEFT JOIN (SELECT qid, count(*) AS n FROM jit JOIN documents USING (doc_id) WHERE trim(text) <> '' GROUP BY qid) j USING (qid))"""
+
+
+@register("pipe_align_claims", f"WITH {ALIGN} SELECT qid, hits, jit_files, status FROM al")
+def pipe_align_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each claim: evidence found, files fetched just in time, and how it is judged at last."""
+    return aligned(spark, sf_dir).select("qid", "hits", "jit_files", "status")
+
+
+@register(
+    "pipe_align_post",
+    f"""WITH {SESSIONS}, {JIT}, later AS (SELECT doc_id FROM known UNION SELECT doc_id FROM jit JOIN documents USING (doc_id) WHERE trim(text) <> ''), {JIT_CORPUS.format('later')}, again AS (SELECT qid, text FROM lettered WHERE qid IN (SELECT qid FROM jit JOIN documents USING (doc_id) WHERE trim(text) <> '')),
+    {bm25_sql('b', 'again', 5)} SELECT qid, CAST(count(*) AS INTEGER) AS post_hits FROM b GROUP BY qid""",
+)
+def pipe_align_post(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What claims that fetched files find in the index with these."""
+    return aligned(spark, sf_dir).where("post_hits IS NOT NULL").select("qid", "post_hits")
+
+
+@register("pipe_align", f"WITH {ALIGN} SELECT paper, count(*) AS n_claims, round(sum(CASE status WHEN 'aligned' THEN 1.0 WHEN 'partial' THEN 0.5 ELSE 0.0 END) / count(*) + 1e-9, 4) AS confidence FROM al GROUP BY paper")
+def pipe_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims, evidence, judgement, files just in time, second judgement, and the confidence of each paper."""
+    return Repo.align_confidence(aligned(spark, sf_dir))
+
+
+@register(
+    "pipe_event_lines",
+    f"""WITH {TRACE}, e AS (SELECT session, event_id, step, k, min(CASE WHEN k IS NULL OR latency > 99 THEN event_id END) OVER (PARTITION BY session) AS ends FROM trace)
+SELECT session, event_id, CASE WHEN event_id = ends THEN '{{"type":"error","message":"serialization failed"}}' ELSE '{{"type":"' || step || '","k":' || k || '}}' END AS line FROM e WHERE ends IS NULL OR event_id <= ends""",
+)
+def pipe_event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session's events as lines; the first that cannot be written becomes an error line and ends them."""
+    e = events(spark, sf_dir)
+    line = F.when(F.col("k").isNotNull() & ~(F.col("latency") > 99), F.to_json(F.struct(F.col("step").alias("type"), "k")))
+    return Flow.event_lines(e, "session", "event_id", line)
+
+
+# Cached replies are the last documents of a source and language; what is asked anew is made of a page of its issues.
+REPLAY = f"""{DOCS}, {ISS}, asked AS (SELECT session, unnest(['en', 'de', 'zh']) AS language FROM (SELECT DISTINCT source AS session FROM docs)),
+cache AS (SELECT source AS session, lang AS language, arg_max(text, doc_id) AS hit FROM docs GROUP BY source, lang),
+paged AS (SELECT 'src' || (number % 20) AS session, number, updated, title, row_number() OVER (PARTITION BY number % 20 ORDER BY updated DESC, number DESC) AS n FROM iss WHERE {{where}}),
+made AS (SELECT session, string_agg({{line}}, chr(10) ORDER BY {{order}}) AS payload FROM paged WHERE n <= {{most}} GROUP BY session),
+t AS (SELECT a.session, a.language, hit IS NOT NULL AS cached, coalesce(hit, payload) AS text FROM asked a LEFT JOIN cache USING (session, language) LEFT JOIN made USING (session))
+SELECT session, language, cached, i AS pos, md5(substr(text, CAST(i * 900 + 1 AS BIGINT), 900)) AS part FROM (SELECT *, unnest(range(CAST(ceil(length(text) / 900) AS BIGINT))) AS i FROM t)"""
+
+
+def _replayed(spark: SparkSession, sf_dir: str, made: DataFrame) -> DataFrame:
+    d = docs(spark, sf_dir)
+    wanted = d.select(F.col("source").alias("session")).distinct().withColumn("language", F.explode(F.array(*map(F.lit, ("en", "de", "zh")))))
+    cache = latest(d.select(F.col("source").alias("session"), F.col("lang").alias("language"), F.col("text").alias("payload"), "doc_id"), ["session", "language"], "doc_id", "payload")
+    parts = Flow.replayed(wanted, cache, made, ["session", "language"], ["session"])
+    return parts.select("session", "language", "cached", F.col("pos").cast("long").alias("pos"), F.md5("part").alias("part"))
+
+
+def _paged(spark: SparkSession, sf_dir: str, where: str, line: Column, most: int, oldest_first: bool) -> DataFrame:
+    rows = issues(spark, sf_dir).where(where).withColumn("session", F.concat(F.lit("src"), F.col("number") % 20))
+    return Flow.page(rows, ["session"], [F.desc("updated"), F.desc("number")], line, most, oldest_first)
 
 
-@register("pipe_issue_summary", f"WITH {ISS}, p AS (SELECT string_agg('- #' || number || ' ' || title, chr(10) ORDER BY number) AS text FROM iss WHERE state = 'open' AND label = 'bug'), c AS (SELECT text, unnest(range(CAST(ceil(length(text) / 900) AS BIGINT))) AS i FROM p) SELECT i AS pos, md5(substr(text, CAST(i * 900 + 1 AS BIGINT), 900)) AS part FROM c")
+@register("pipe_issue_summary", "WITH " + REPLAY.format(where="state = 'open' AND label = 'bug'", line="'- #' || number || ' ' || title", order="n", most=30))
 def pipe_issue_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The prompt text of open bugs, replayed from the cache in parts of 900."""
-    bugs = issues(spark, sf_dir).where("state = 'open' AND label = 'bug'")
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("number", F.format_string("- #%d %s", "number", "title").alias("line")))), lambda x: x["line"])
-    text = bugs.agg(F.array_join(lines, "\n").alias("text"))
-    return text.select(F.posexplode(X.rechunk(F.col("text"))).alias("pos", "part")).select(F.col("pos").cast("long").alias("pos"), F.md5("part").alias("part"))
+    """The cached summary of a session in parts of 900, else the prompt of its newest page of open bugs."""
+    return _replayed(spark, sf_dir, _paged(spark, sf_dir, "state = 'open' AND label = 'bug'", F.format_string("- #%d %s", "number", "title"), 30, False))
 
 
-@register("pipe_roadmap", f"WITH {ISS} SELECT string_agg(left(updated, 10) || ' ' || title, chr(10) ORDER BY updated, number) AS roadmap FROM (SELECT * FROM iss ORDER BY updated DESC, number DESC LIMIT 10)")
+@register("pipe_roadmap", "WITH " + REPLAY.format(where="true", line="left(updated, 10) || ' ' || title", order="n DESC", most=10))
 def pipe_roadmap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ten = issues(spark, sf_dir).orderBy(F.desc("updated"), F.desc("number")).limit(10)
-    line = F.concat_ws(" ", F.substring("updated", 1, 10), "title")
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("updated", "number", line.alias("line")))), lambda x: x["line"])
-    return ten.agg(F.array_join(lines, "\n").alias("roadmap"))
+    """The cached roadmap of a session, else its ten newest changes, the oldest first."""
+    return _replayed(spark, sf_dir, _paged(spark, sf_dir, "true", F.concat_ws(" ", F.substring("updated", 1, 10), "title"), 10, True))
 
 
 @register(
@@ -81,8 +171,9 @@ def pipe_auto_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gate, dedupe, judge, combine with the second score, then route or review: outcomes with their counts."""
     rows = final(spark, sf_dir)
     reason = E.online_reason(F.col("query"), F.lit("def "), F.col("answer"), F.col("repo_url"))
-    first = first_of(rows.select("query", (F.col("conv_id") * 1000 + F.col("turn")).alias("at")), ["query"], "at").withColumnRenamed("at", "first_at")
-    marked = rows.withColumn("reason", reason).withColumn("at", F.col("conv_id") * 1000 + F.col("turn")).join(first, "query")
+    at = F.struct("conv_id", "turn").alias("at")
+    first = rows.select("query", at).groupBy("query").agg(F.min("at").alias("first_at"))
+    marked = rows.withColumn("reason", reason).withColumn("at", at).join(first, "query")
     from orefall.functions.scores import tier
 
     outcome = F.when(F.col("reason").isNotNull(), F.concat(F.lit("skipped:"), "reason")).when(F.col("at") != F.col("first_at"), "duplicate").when(F.col("status") == "needs_review", "review").otherwise(tier(F.col("final_score")))

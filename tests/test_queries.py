@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 from compare import connection, differences
 
 from orefall.plans import registry
 
+ROOT = Path(__file__).resolve().parent.parent
 QUERIES, ORACLES = registry.queries(), registry.oracles()
 
 
@@ -34,3 +40,10 @@ def test_entry_contract(spark):
     assert set(QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["qid", "doc_id", "score", "rank"]
+
+
+def test_the_rest_stands_without_the_training_data_operators(tmp_path):
+    shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    code = "import __spark_entry__ as e; from orefall.plans import registry; assert set(e.queries()) == set(registry.queries()); assert set(e.oracle_sql()) == set(registry.oracles()); print(len(e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", capture_output=True, text=True, timeout=120, check=False)
+    assert out.returncode == 0 and int(out.stdout) == len(QUERIES), out.stderr
