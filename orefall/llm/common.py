@@ -23,6 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+STORED: list[str] = []  # folders that store has written in this process
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -33,6 +34,7 @@ def store(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    STORED.append(path)
     before = spark.conf.get(CLEAN_SHUFFLES, "false")
     spark.conf.set(CLEAN_SHUFFLES, "true")
     try:
@@ -50,6 +52,14 @@ def drop_stored(df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def delete_stored(spark: SparkSession, since: int) -> None:
+    """Delete what ``store`` wrote behind the first ``since`` tables, once nothing reads it any more."""
+    for path in STORED[since:]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    del STORED[since:]
+
+
 def replayable(df: DataFrame, label: str) -> DataFrame:
     """``df`` itself if it only reads files (columns, filters), so that each pass over it has the same rows in the same splits; else a written copy."""
 
