@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from orefall.llm import langid, packing, secrets, shingles, toxicity
-from orefall.llm.common import documents, shared_dir, table
+from orefall.llm.common import STORED, delete_stored, documents, shared_dir, table
 from orefall.session import ship
 
 
@@ -62,11 +62,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each returns is written as Parquet to the shared folder and read again."""
+    """All stages over ``documents``; what each returns is written as Parquet to the shared folder and read again.
+
+    A stage's own tables are deleted when its output is written.
+    """
     docs = documents(spark, sf_dir)
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
         path = f"{base}/{i}_{name}"
+        before = len(STORED)
         stage(spark, docs, sf_dir).write.parquet(path)
+        delete_stored(spark, before)
         docs = spark.read.parquet(path)
     return docs

@@ -78,6 +78,12 @@ def ordinals(rows: DataFrame, order: str, name: str = "ordinal", block: int = 65
     return blocked.withColumn("_i", within).join(before, "_b").withColumn(name, F.col("_before") + F.col("_i")).drop("_b", "_i", "_before")
 
 
+def traced(rows: DataFrame, key: str, order: str, starts: Column) -> DataFrame:
+    """Rows with the trace_id that is open for their key: each start opens the next; rows before the first are left out."""
+    run = F.count_if(starts).over(Window.partitionBy(key).orderBy(order))
+    return rows.withColumn("_run", run).where("_run > 0").withColumn("trace_id", F.concat_ws(":", F.col(key).cast("string"), F.col("_run").cast("string"))).drop("_run")
+
+
 def fifo_kept(keys: DataFrame, order: str, most: int = 1000, keep: int = 500) -> DataFrame:
     """What is left of keys that came in order, when more than ``most`` are cut to the newest ``keep`` each time."""
     numbered = ordinals(keys, order, "n").crossJoin(F.broadcast(keys.agg(F.count("*").alias("total"))))

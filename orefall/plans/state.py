@@ -220,19 +220,30 @@ def state_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return few.unionByName(newest).distinct()
 
 
-@register("trace_scope", f"WITH {TRACE} SELECT session, count(*) AS n, count(DISTINCT 'trace-' || session) AS traces FROM trace GROUP BY session")
+# A signup opens a trace of its session; what comes before the first belongs to none. Kinds are those of the recorders.
+SCOPED = f"""{TRACE}, numbered AS (SELECT *, count(*) FILTER (step = 'signup') OVER (PARTITION BY session ORDER BY event_id) AS run FROM trace),
+scoped AS (SELECT *, session || ':' || run AS trace_id, CASE step WHEN 'signup' THEN 'trace_start' WHEN 'purchase' THEN 'tool' WHEN 'error' THEN 'error' ELSE 'step' END AS kind FROM numbered WHERE run > 0)"""
+
+
+def scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("step") == "signup", "trace_start").when(F.col("step") == "purchase", "tool").when(F.col("step") == "error", "error").otherwise("step")
+    return T.traced(events(spark, sf_dir), "session", "event_id", F.col("step") == "signup").withColumn("kind", kind)
+
+
+@register("trace_scope", f"WITH {SCOPED} SELECT event_id, trace_id, first_value(event_id) OVER (PARTITION BY trace_id ORDER BY event_id) AS opened_by FROM scoped")
 def trace_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row carries its trace."""
-    t = events(spark, sf_dir).withColumn("trace_id", F.concat(F.lit("trace-"), "session"))
-    return t.groupBy("session").agg(F.count("*").alias("n"), F.count_distinct("trace_id").alias("traces"))
+    """Every row carries the trace that was open, and what opened it."""
+    return scoped(spark, sf_dir).select("event_id", "trace_id", F.min("event_id").over(Window.partitionBy("trace_id")).alias("opened_by"))
 
 
-@register("trace_events", f"WITH {TRACE} SELECT session, unnest(['trace_start', 'step', 'trace_end']) AS kind, unnest([CAST(1 AS BIGINT), count(*), CAST(1 AS BIGINT)]) AS n FROM trace GROUP BY session")
+@register("trace_events", f"WITH {SCOPED} SELECT trace_id, kind, count(*) AS n, min(event_id) AS first, max(event_id) AS last, round(sum(latency), 6) AS total FROM scoped GROUP BY trace_id, kind UNION ALL SELECT trace_id, 'trace_end', 1, max(event_id), max(event_id), round(sum(latency), 6) FROM scoped GROUP BY trace_id")
 def trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = events(spark, sf_dir).groupBy("session").agg(F.count("*").alias("c"))
-    one = F.lit(1).cast("long")
-    rows = F.array(F.struct(F.lit("trace_start").alias("kind"), one.alias("n")), F.struct(F.lit("step").alias("kind"), F.col("c").alias("n")), F.struct(F.lit("trace_end").alias("kind"), one.alias("n")))
-    return n.select("session", F.explode(rows).alias("r")).select("session", "r.kind", "r.n")
+    """What the recorders kept of each trace, with an end behind its last row."""
+    rows = scoped(spark, sf_dir)
+    ended = rows.unionByName(rows.withColumn("kind", F.lit("trace_end")))
+    end = F.col("kind") == "trace_end"
+    kept = ended.groupBy("trace_id", "kind").agg(F.count("*").alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"), r6(F.sum("latency")).alias("total"))
+    return kept.select("trace_id", "kind", F.when(end, 1).otherwise(F.col("n")).cast("long").alias("n"), F.when(end, F.col("last")).otherwise(F.col("first")).alias("first"), "last", "total")
 
 
 @register("state_fold", f"WITH {DOCS} SELECT source, arg_max(file, doc_id) AS latest, count(*) AS writes FROM docs GROUP BY source")
