@@ -50,7 +50,7 @@ def _alnum(text: Column, most: int) -> Column:
 
 def repo_info(url: Column) -> tuple[Column, Column]:
     """(owner, repo) of the normalized URL; empty where it has fewer than two segments."""
-    parts = F.split(F.substring(normalize_repo_url(url), len(BASE) + 1, 4096), "/")
+    parts = F.split(F.regexp_replace(normalize_repo_url(url), f"^{BASE}", ""), "/")
     two = F.size(parts) >= 2
     return F.when(two, parts[0]).otherwise(""), F.when(two, F.get(parts, F.lit(1))).otherwise("")
 

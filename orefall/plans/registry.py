@@ -43,4 +43,4 @@ def oracles() -> dict[str, str]:
 
 def _load() -> None:
     """Imports the modules that register queries."""
-    from orefall.plans import chunks, evaluation, extras, pipes, replies, repo, retrieval, sources, state, streams  # noqa: F401
+    from orefall.plans import chunks, evaluation, extras, pipes, replies, repo, retrieval, sources, state, streams, tables  # noqa: F401
