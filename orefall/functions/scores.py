@@ -13,6 +13,13 @@ def r6(value: Column | str) -> Column:
     return F.round((F.col(value) if isinstance(value, str) else value) + 1e-9, 6)
 
 
+def r2(value: Column) -> Column:
+    """Rounded to two digits as the SQL engine does it: a hundredfold in double precision, its ties away from zero (0.575 gives 0.57, as 57.49999999999999 is below the tie)."""
+    many = F.abs(value) * 100
+    whole = F.floor(many)
+    return F.signum(value) * (whole + F.when(many - whole >= 0.5, 1).otherwise(0)) / 100
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0 or null."""
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))

@@ -25,7 +25,7 @@ def online_reason(query: Column, context: Column, answer: Column, repo_url: Colu
 
 def offline_reason(query: Column, context: Column, answer: Column, repo_url: Column, score: Column, faithful: Column, relevant: Column, c: config.Cleaning = config.CLEANING) -> Column:
     """The first rule of the cleaning gate that fails, with its value, or ``passed``. Lengths are of the texts as they are."""
-    two = lambda name, x: F.concat(F.lit(name + ":"), F.format_string("%.2f", F.round(x, 2)))
+    two = lambda name, x: F.concat(F.lit(name + ":"), F.format_string("%.2f", S.r2(x)))
     n = lambda name, x: F.concat(F.lit(name + ":"), F.length(x).cast("string"))
     zero = lambda x: F.coalesce(x, F.lit(0.0))
     return (

@@ -212,3 +212,39 @@ def test_queue_keeps_its_count_between_batches(spark, tmp_path):
     stream = spark.readStream.schema(flows.EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/events").selectExpr("event_id", "CAST(ts AS TIMESTAMP) AS ts")
     got = [r["accepted"] for r in flows.bounded_queue(stream, 10).collect()]
     assert len(got) == 18 and sum(got) == 10
+
+
+def test_r2_rounds_as_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(i / 1000 + d,) for i in range(1001) for d in (0.0, 1e-6)] + [(-0.575,), (0.015,), (None,)]
+    got = values(spark, rows, "x double", "x", S.r2(F.col("x")))
+    with duckdb.connect() as c:
+        assert all(y == c.execute("SELECT round(CAST(? AS DOUBLE), 2)", [x]).fetchone()[0] for x, y in got)
+    assert dict(got)[0.575] == 0.57
+
+
+@pytest.fixture(scope="module")
+def pairs_at_the_tie(tmp_path_factory):
+    """Conversations whose one pair scores 0.575 (faithful 0.342857, relevant 0.5, complete 0.9), beside two others."""
+    pd = pytest.importorskip("pandas")
+    words = [c * 40 for c in "abcdefg"]
+    tie = ["about " + words[0], f"{words[1]} how does parsing work", " ".join(words)]
+    other = ["about nothing", "tell me of it all", " ".join(words)]
+    said = [(i, turn, role, text) for i, texts in ((1, tie), (2, tie), (4, other), (5, tie)) for turn, (role, text) in enumerate(zip(("assistant", "user", "assistant"), texts, strict=True))]
+    folder = tmp_path_factory.mktemp("tie")
+    pd.DataFrame(said, columns=["conv_id", "turn", "role", "text"]).to_parquet(folder / "conversations.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["offline_gate", "rejection_counts"])
+def test_scores_on_a_tie_equal_the_sql(spark, pairs_at_the_tie, name):
+    duckdb = pytest.importorskip("duckdb")
+    from compare import differences
+
+    from orefall.plans import registry
+
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{pairs_at_the_tie}/conversations.parquet')")
+        wanted = c.execute(registry.oracles()[name]).fetchdf()
+    got = registry.queries()[name](spark, pairs_at_the_tie).toPandas()
+    assert not differences(got, wanted)
