@@ -236,7 +236,7 @@ def pairs_at_the_tie(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["offline_gate", "rejection_counts"])
+@pytest.mark.parametrize("name", ["offline_gate", "rejection_counts", "top_issues"])
 def test_scores_on_a_tie_equal_the_sql(spark, pairs_at_the_tie, name):
     duckdb = pytest.importorskip("duckdb")
     from compare import differences
