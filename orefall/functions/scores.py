@@ -37,8 +37,13 @@ def words(text: Column) -> Column:
 def faithfulness(context: Column, answer: Column) -> Column:
     """Share of an answer's content words that occur in the context as substrings, plus 0.2, at most 1; 0.7 without any."""
     content = F.array_except(words(answer), F.array(*map(F.lit, config.JUDGE_STOP)))
-    found = F.size(F.filter(content, lambda w: F.contains(F.lower(context), w)))
-    return F.when(F.size(content) == 0, 0.7).otherwise(F.least(F.lit(1.0), ratio(found, F.size(content)) + 0.2))
+
+    def share(x: Column) -> Column:
+        found = F.size(F.filter(x["content"], lambda w: F.contains(x["context"], w)))
+        return F.when(F.size(x["content"]) == 0, 0.7).otherwise(F.least(F.lit(1.0), ratio(found, F.size(x["content"])) + 0.2))
+
+    # A list of one, so that words are cut and the context is lower-cased once for a row, not once for each word.
+    return F.transform(F.array(F.struct(content.alias("content"), F.lower(context).alias("context"))), share)[0]
 
 
 def relevance(query: Column, answer: Column) -> Column:

@@ -47,7 +47,8 @@ def offline_reason(query: Column, context: Column, answer: Column, repo_url: Col
 def scored(qa: DataFrame) -> DataFrame:
     """Judged pairs: faithful, relevant, complete, generation score, overall score, tier, and whether it is fit for training."""
     q, c, a = F.col("query"), F.col("context"), F.col("answer")
-    judged = qa.withColumns({"faithful": r6(S.faithfulness(c, a)), "relevant": r6(S.relevance(q, a)), "complete": S.completeness(a)})
+    measures = F.struct(r6(S.faithfulness(c, a)).alias("faithful"), r6(S.relevance(q, a)).alias("relevant"), S.completeness(a).alias("complete"))
+    judged = qa.select("*", F.inline(F.array(measures)))  # a generator: filters on scores stay behind it, or each would take in the measures many times
     gen = S.generation_score(F.col("faithful"), F.col("relevant"), F.col("complete"), F.lit(1.0), F.lit(0))
     out = judged.withColumn("generation", r6(gen))
     return out.withColumn("score", F.col("generation")).withColumn("tier", S.tier(F.col("score"))).withColumn("sft_ready", F.col("score") >= 0.7)

@@ -248,3 +248,17 @@ def test_scores_on_a_tie_equal_the_sql(spark, pairs_at_the_tie, name):
         wanted = c.execute(registry.oracles()[name]).fetchdf()
     got = registry.queries()[name](spark, pairs_at_the_tie).toPandas()
     assert not differences(got, wanted)
+
+
+@pytest.mark.parametrize("name", ["route_positive", "route_negative"])
+def test_routes_take_in_the_measures_once(spark, sf, name):
+    from orefall.plans import registry
+
+    plan = registry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect(") == 1 and plan.count("array_except(") == 1
+
+
+def test_long_contexts_are_lowered_once_a_row(spark):
+    plan = spark.createDataFrame([("A b", "b C")], "c string, a string").select(S.faithfulness(F.col("c"), F.col("a")).alias("f"))
+    assert plan.head()["f"] == 0.7
+    assert "Contains(lower" not in plan._jdf.queryExecution().analyzed().toString()
