@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orefall.functions import text as X
 from orefall.operators import chunking as C
 from orefall.plans.registry import register
+from orefall.session import spread
 from orefall.plans.views import DOCS, docs, literals, read, sql_values
 
 LINES = f"""{DOCS}, lines AS (SELECT file, string_split(text, chr(10)) AS l FROM docs WHERE text <> ''),
@@ -100,7 +101,7 @@ _WORDS = """w AS (SELECT file, regexp_extract_all(text, '[a-zA-Z]+') AS words FR
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("file", F.regexp_extract_all("text", F.lit("([a-zA-Z]+)")).alias("words"))
+    return spread(docs(spark, sf_dir), "doc_id").select("file", F.regexp_extract_all("text", F.lit("([a-zA-Z]+)")).alias("words"))
 
 
 def _lines_of(words: str, make) -> Column:
@@ -131,7 +132,8 @@ def blocks_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A block for each word, with braces in a string and a comment."""
     body = _lines_of("words", lambda x: F.concat(F.lit("int "), x, F.lit('(int a) {\n  f("{"); // {\n  return a;\n}\n')))
     files = _words(spark, sf_dir).select(F.concat("file", F.lit(".c")).alias("file"), body.alias("content"))
-    return C.chunk_files(files).select(F.regexp_replace("file", "\\.c$", "").alias("file"), "ord", "type", "name", "start_line")
+    found = C.chunk_files(files, columns=("file", "ord", "type", "name", "start_line"))
+    return found.withColumn("file", F.expr("left(file, length(file) - 2)"))
 
 
 @register(

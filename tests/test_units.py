@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -262,3 +263,19 @@ def test_long_contexts_are_lowered_once_a_row(spark):
     plan = spark.createDataFrame([("A b", "b C")], "c string, a string").select(S.faithfulness(F.col("c"), F.col("a")).alias("f"))
     assert plan.head()["f"] == 0.7
     assert "Contains(lower" not in plan._jdf.queryExecution().analyzed().toString()
+
+
+def test_many_blocks_take_time_in_proportion():
+    block = 'int f(int a) {\n  f("{"); // {\n  return a;\n}\n'
+    began = time.process_time()
+    chunks = C.brace_chunks(block * 100_000)
+    assert time.process_time() - began < 15
+    assert len(chunks) == 100_000 and [c.start for c in chunks[:3]] == [1, 4, 8] and chunks[-1].end == 400_000
+
+
+def test_chunks_with_the_columns_named(spark):
+    files = spark.createDataFrame([("a.c", "int f(int a) {}\nint g(int a) {}\n" * 2), ("b.c", None), ("c.md", "x")], "file string, content string")
+    whole, part = C.chunk_files(files), C.chunk_files(files, columns=("file", "start_line", "type"))
+    assert part.columns == ["file", "type", "start_line"]
+    assert sorted(map(tuple, part.collect())) == sorted((r["file"], r["type"], r["start_line"]) for r in whole.collect())
+    assert whole.count() == 5
