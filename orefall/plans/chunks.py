@@ -146,7 +146,8 @@ def functions_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Python function for each word, under one import."""
     body = _lines_of("words", lambda x: F.concat(F.lit("\ndef f_"), x, F.lit('(value):\n    return os.path.join(str(value), "a constant text")\n')))
     files = _words(spark, sf_dir).where("size(words) > 0").select(F.concat("file", F.lit(".py")).alias("file"), F.concat(F.lit("import os\n"), body).alias("content"))
-    return C.chunk_files(files).select(F.regexp_replace("file", "\\.py$", "").alias("file"), "ord", "type", "name", "start_line", "content")
+    found = C.chunk_files(files, columns=("file", "ord", "type", "name", "start_line", "content"))
+    return found.withColumn("file", F.expr("left(file, length(file) - 3)"))
 
 
 T = "```"

@@ -279,3 +279,33 @@ def test_chunks_with_the_columns_named(spark):
     assert part.columns == ["file", "type", "start_line"]
     assert sorted(map(tuple, part.collect())) == sorted((r["file"], r["type"], r["start_line"]) for r in whole.collect())
     assert whole.count() == 5
+
+
+_TOPS = [
+    "import os\n", "x = 1\r\n", "def f(a):\n    return os.path.join(a, 'a text that is long enough')\n", "@dec\nasync def g(b):\n    await b  # a text that is long enough to stay\n",
+    "class A:\n    v = 1\n", '"""\ndef h():\n    pass\n"""\n', "y = (\n", "z = 2\\\n", "\n", "def bad(:\n", "a != b\n", "from __future__ import barry_as_FLUFL\n", "s = 'é'\r",
+]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(_TOPS), max_size=8).map("".join))
+def test_sources_parsed_in_pieces_equal_the_whole(source):
+    assert "".join(C._pieces(source)) == source
+
+    def outcome(parse):
+        try:
+            return parse(source, 50)
+        except (SyntaxError, ValueError):
+            return None
+
+    assert outcome(C._parsed_in_pieces) == outcome(C._parsed)
+
+
+def test_equal_functions_are_parsed_once(monkeypatch):
+    seen = []
+    parse = ast.parse
+    monkeypatch.setattr(C.ast, "parse", lambda source, *a, **k: seen.append(source) or parse(source, *a, **k))
+    C._kept_parse.cache_clear()
+    one = "def f_once(value):\n    return os.path.join(str(value), 'a constant text')\n"
+    chunks = C.python_chunks("import os\n" + one * 500)
+    assert [c.start for c in chunks] == [2 + 2 * i for i in range(500)] and sum(map(len, seen)) < 3 * len(one)
