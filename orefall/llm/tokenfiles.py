@@ -240,6 +240,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, end_id: in
     (
         dealt.mapInArrow(encode, FILE_SCHEMA)
         .write.option("compression", "zstd")
+        .option("orc.compression.zstd.level", "1")  # packed ids hardly shrink at higher levels
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", "2000")
         .option("orc.stripe.size", str(32 << 20))
