@@ -34,16 +34,23 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), "\\s+"), lambda w: w != ""))
 
 
+def content_words(answer: Column) -> Column:
+    return F.array_except(words(answer), F.array(*map(F.lit, config.JUDGE_STOP)))
+
+
+def found_share(found: Column, content: Column) -> Column:
+    """Faithfulness from the number of content words and of those found."""
+    return F.when(content == 0, 0.7).otherwise(F.least(F.lit(1.0), ratio(found, content) + 0.2))
+
+
 def faithfulness(context: Column, answer: Column) -> Column:
     """Share of an answer's content words that occur in the context as substrings, plus 0.2, at most 1; 0.7 without any."""
-    content = F.array_except(words(answer), F.array(*map(F.lit, config.JUDGE_STOP)))
 
     def share(x: Column) -> Column:
-        found = F.size(F.filter(x["content"], lambda w: F.contains(x["context"], w)))
-        return F.when(F.size(x["content"]) == 0, 0.7).otherwise(F.least(F.lit(1.0), ratio(found, F.size(x["content"])) + 0.2))
+        return found_share(F.size(F.filter(x["content"], lambda w: F.contains(x["context"], w))), F.size(x["content"]))
 
     # A list of one, so that words are cut and the context is lower-cased once for a row, not once for each word.
-    return F.transform(F.array(F.struct(content.alias("content"), F.lower(context).alias("context"))), share)[0]
+    return F.transform(F.array(F.struct(content_words(answer).alias("content"), F.lower(context).alias("context"))), share)[0]
 
 
 def relevance(query: Column, answer: Column) -> Column:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
 from orefall import config
 from orefall.functions import scores as S
@@ -44,10 +49,92 @@ def offline_reason(query: Column, context: Column, answer: Column, repo_url: Col
     )
 
 
-def scored(qa: DataFrame) -> DataFrame:
-    """Judged pairs: faithful, relevant, complete, generation score, overall score, tier, and whether it is fit for training."""
+WIDE, BLOCK, PLAIN = 24, 1 << 20, 1 << 14  # bytes of a window, windows sorted at once, length up to which texts are searched word by word
+
+
+def first_ends(text: bytes, words: set[bytes]) -> dict[bytes, int]:
+    """Where the first occurrence of each word in a UTF-8 text ends, for those that occur.
+
+    In long texts the windows at all places are sorted, so that a word is a range of them and
+    many words do not each take a walk over the text.
+    """
+    if len(text) <= PLAIN or b"\0" in text:
+        return {w: at + len(w) for w in words if (at := text.find(w)) >= 0}
+    padded, ends, left = np.frombuffer(text + bytes(WIDE), np.uint8), {}, list(words)
+    for begin in range(0, len(text), BLOCK):
+        n = min(BLOCK, len(text) - begin)
+        windows = np.lib.stride_tricks.sliding_window_view(padded[begin : begin + n + WIDE - 1], WIDE)
+        windows = np.ascontiguousarray(windows).view(f"S{WIDE}").ravel()
+        order = np.argsort(windows, kind="stable")
+        ordered = windows[order]
+        starts = np.array([w[:WIDE] for w in left], f"S{WIDE}")
+        low = np.searchsorted(ordered, starts)
+        high = np.searchsorted(ordered, np.array([w[:WIDE].ljust(WIDE, b"\xff") for w in left], f"S{WIDE}"), side="right")
+        least = np.minimum.reduceat(np.append(order, n), np.column_stack([low, high]).ravel())[::2]
+        for w, at in zip(left, np.where(high > low, least, -1).tolist(), strict=True):
+            if at >= 0 and (at := begin + at if len(w) <= WIDE else text.find(w, begin + at)) >= 0:
+                ends[w] = at + len(w)
+        left = [w for w in left if w not in ends]
+        if not left:
+            break
+    return ends
+
+
+def found_earlier(said: DataFrame, group: str, order: str, text: str, wanted: str, gap: int = 1) -> DataFrame:
+    """The rows without ``text`` and ``wanted``, with found: how many of the words ``wanted`` stand in the texts of the group at least ``gap`` rows before.
+
+    Counts as ``contains`` on these texts joined by line ends, but no such context is made, so
+    a long group takes time and memory in proportion to its length. Null texts are not said;
+    found is null where ``wanted`` is. Rows of a group come in one partition, in order.
+    """
+    kept = [c for c in said.columns if c not in (text, wanted)]
+    schema = StructType([said.schema[c] for c in kept]).add("found", IntegerType())
+
+    def counts(texts: list[bytes | None], asked: list[list[bytes] | None]) -> list[int | None]:
+        ends = first_ends(b"\n".join(t for t in texts if t is not None), {w for words in asked for w in words or ()})
+        until, out = [], []
+        length = -1
+        for i, (t, words) in enumerate(zip(texts, asked, strict=True)):
+            until.append(length)
+            before = until[i - gap + 1] if i >= gap - 1 else -1
+            out.append(None if words is None else sum(0 <= ends.get(w, -1) <= before for w in words))
+            length += 0 if t is None else len(t) + 1
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        found: list[int | None] = []
+        key, texts, asked = None, [], []
+
+        def ready() -> Iterator[pa.RecordBatch]:
+            while held and len(found) >= held[0].num_rows:
+                b = held.pop(0)
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(found[: b.num_rows], pa.int32())], names=schema.names)
+                del found[: b.num_rows]
+
+        for b in batches:
+            held.append(b)
+            words = b.column(wanted).cast(pa.list_(pa.binary()))
+            for k, t, w in zip(b.column(group).to_pylist(), b.column(text).cast(pa.binary()).to_pylist(), words.to_pylist(), strict=True):
+                if k != key and texts:
+                    found.extend(counts(texts, asked))
+                    texts, asked = [], []
+                key = k
+                texts.append(t)
+                asked.append(w)
+            yield from ready()
+        found.extend(counts(texts, asked))
+        yield from ready()
+
+    parts = int(said.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return said.repartition(parts, group).sortWithinPartitions(group, order).mapInArrow(run, schema)
+
+
+def scored(qa: DataFrame, faithful: Column | None = None) -> DataFrame:
+    """Judged pairs: faithful (as given, else from context and answer), relevant, complete, generation score, overall score, tier, and whether it is fit for training."""
     q, c, a = F.col("query"), F.col("context"), F.col("answer")
-    measures = F.struct(r6(S.faithfulness(c, a)).alias("faithful"), r6(S.relevance(q, a)).alias("relevant"), S.completeness(a).alias("complete"))
+    faithful = S.faithfulness(c, a) if faithful is None else faithful
+    measures = F.struct(r6(faithful).alias("faithful"), r6(S.relevance(q, a)).alias("relevant"), S.completeness(a).alias("complete"))
     judged = qa.select("*", F.inline(F.array(measures)))  # a generator: filters on scores stay behind it, or each would take in the measures many times
     gen = S.generation_score(F.col("faithful"), F.col("relevant"), F.col("complete"), F.lit(1.0), F.lit(0))
     out = judged.withColumn("generation", r6(gen))
@@ -57,7 +144,9 @@ def scored(qa: DataFrame) -> DataFrame:
 def routed(rows: DataFrame, score: str = "score", recomputed: str = "generation") -> DataFrame:
     """(…, tier, sink): a score of exactly 0 is computed anew; gold and silver go to positive, bronze to negative, others nowhere."""
     s = F.when(F.col(score) == 0.0, F.col(recomputed)).otherwise(F.col(score))
-    out = rows.withColumn(score, S.clamp(s)).withColumn("tier", S.tier(S.clamp(s)))
+    # A generator: else the tier and filters on it take in the score so often that no code can be made of the plan.
+    out = rows.select(*[c for c in rows.columns if c != score], F.inline(F.array(F.struct(S.clamp(s).alias(score)))))
+    out = out.withColumn("tier", S.tier(F.col(score)))
     return out.withColumn("sink", F.when(F.col("tier").isin("gold", "silver"), "positive").when(F.col("tier") == "bronze", "negative"))
 
 

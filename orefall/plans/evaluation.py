@@ -92,7 +92,8 @@ OFFLINE = f"""CASE WHEN coalesce(query, '') = '' THEN 'missing_query' WHEN answe
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.scored(qa(spark, sf_dir))
+    pairs = qa(spark, sf_dir, found=True)
+    return E.scored(pairs, S.found_share(F.col("found"), F.col("content"))).drop("found", "content")
 
 
 def gated(spark: SparkSession, sf_dir: str) -> DataFrame:

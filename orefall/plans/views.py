@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orefall.functions.scores import content_words
+from orefall.operators.evaluation import found_earlier
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,13 +22,21 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 DOCS = "docs AS (SELECT doc_id, source || '/' || doc_id AS file, source, lang, text FROM documents)"
 
 
-def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user turn with the assistant turn after it; context is what was said before, in order."""
+def qa(spark: SparkSession, sf_dir: str, found: bool = False) -> DataFrame:
+    """Each user turn with the assistant turn after it; context is what was said before, in order.
+
+    With ``found``, also how many content words the answer has, and how many of them the context has.
+    """
     c = read(spark, sf_dir, "conversations")
+    more = []
+    if found:
+        c = c.select("conv_id", "turn", "role", "text", F.lower("text").alias("low"), F.when(F.col("role") == "assistant", content_words(F.col("text"))).alias("wanted"))
+        c = found_earlier(c.withColumn("content", F.size("wanted")), "conv_id", "turn", "low", "wanted", gap=2)
+        more = [F.lead(x).over(Window.partitionBy("conv_id").orderBy("turn")).alias(x) for x in ("content", "found")]
     w = Window.partitionBy("conv_id").orderBy("turn")
-    said = c.select("conv_id", "turn", "role", "text", F.lead("role").over(w).alias("next_role"), F.lead("turn").over(w).alias("next_turn"), F.lead("text").over(w).alias("answer"), F.array_join(F.collect_list("text").over(w.rowsBetween(Window.unboundedPreceding, -1)), "\n").alias("context"))
+    said = c.select("conv_id", "turn", "role", "text", F.lead("role").over(w).alias("next_role"), F.lead("turn").over(w).alias("next_turn"), F.lead("text").over(w).alias("answer"), F.array_join(F.collect_list("text").over(w.rowsBetween(Window.unboundedPreceding, -1)), "\n").alias("context"), *more)
     pairs = said.where("role = 'user' AND next_role = 'assistant' AND next_turn = turn + 1")
-    return pairs.select("conv_id", "turn", F.col("text").alias("query"), "answer", F.coalesce("context", F.lit("")).alias("context"), F.when(F.col("conv_id") % 7 != 3, F.concat(F.lit("https://github.com/org"), F.col("conv_id") % 5, F.lit("/repo"), "conv_id")).otherwise("").alias("repo_url"))
+    return pairs.select("conv_id", "turn", F.col("text").alias("query"), "answer", F.coalesce("context", F.lit("")).alias("context"), F.when(F.col("conv_id") % 7 != 3, F.concat(F.lit("https://github.com/org"), F.col("conv_id") % 5, F.lit("/repo"), "conv_id")).otherwise("").alias("repo_url"), *(("content", "found") if found else ()))
 
 
 QA = """qa AS (

@@ -265,6 +265,46 @@ def test_long_contexts_are_lowered_once_a_row(spark):
     assert "Contains(lower" not in plan._jdf.queryExecution().analyzed().toString()
 
 
+def test_routes_make_code_of_bounded_size(spark, sf):
+    from orefall.plans import registry
+
+    plan = registry.queries()["route_positive"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CASE WHEN") < 60
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("ab é中\0", max_size=200), st.lists(st.text("abé中\0", min_size=1, max_size=40)), st.sampled_from([0, 1 << 14]), st.sampled_from([7, 1 << 20]))
+def test_first_ends_equal_find(text, words, plain, block):
+    raw, asked = text.encode(), {w.encode() for w in [*words, *text.split(), text[3:50]]} - {b""}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(E, "PLAIN", plain)
+        m.setattr(E, "BLOCK", block)
+        assert E.first_ends(raw, asked) == {w: raw.find(w) + len(w) for w in asked if w in raw}
+
+
+def test_words_found_earlier_equal_contains(spark):
+    texts = ["ab cd", "é中 abc", None, "cd x", "", "abc x ab"]
+    rows = [(g, i, t, None if i % 5 == 3 else ["b", "ab cd", "d\né", "x", "zz", "中 a"]) for g in (1, None, 2) for i, t in enumerate(texts[g or 0 :])]
+    for gap in (1, 2):
+        got = E.found_earlier(spark.createDataFrame(rows, "g int, i int, t string, w array<string>"), "g", "i", "t", "w", gap).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            before = "\n".join(x[2] for x in rows if x[0] == r["g"] and x[1] <= r["i"] - gap and x[2] is not None)
+            words = next(x[3] for x in rows if x[:2] == (r["g"], r["i"]))
+            assert r["found"] == (None if words is None else sum(w in before for w in words))
+
+
+def test_a_long_conversation_takes_time_in_proportion(spark, tmp_path):
+    from orefall.plans import registry
+
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(59)), lambda k: F.substring(F.sha2((F.col("id") * 60 + k).cast("string"), 224), 1, 12)), " ")
+    said = spark.range(3000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), text.alias("text"))
+    said.write.parquet(str(tmp_path / "conversations.parquet"))
+    began = time.time()
+    assert len(registry.queries()["route_audit"](spark, str(tmp_path)).collect()) == 1500
+    assert time.time() - began < 20
+
+
 def test_many_blocks_take_time_in_proportion():
     block = 'int f(int a) {\n  f("{"); // {\n  return a;\n}\n'
     began = time.process_time()
