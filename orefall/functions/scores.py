@@ -29,9 +29,14 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
+def lowered(text: Column) -> Column:
+    """Lower-cased sign by sign as the SQL engine does it: a sigma at a word's end is as any other, a dotted capital I becomes one sign."""
+    return F.lower(F.replace(F.replace(text, F.lit("Σ"), F.lit("σ")), F.lit("İ"), F.lit("i")))
+
+
 def words(text: Column) -> Column:
-    """Distinct lower-cased words, split at ASCII white space."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), "\\s+"), lambda w: w != ""))
+    """Distinct lower-cased words, split at blanks, tabs and ends of lines and pages (not at vertical tabs, as in the SQL)."""
+    return F.array_distinct(F.filter(F.split(lowered(text), "[ \\t\\n\\f\\r]+"), lambda w: w != ""))
 
 
 def content_words(answer: Column) -> Column:
@@ -50,7 +55,7 @@ def faithfulness(context: Column, answer: Column) -> Column:
         return found_share(F.size(F.filter(x["content"], lambda w: F.contains(x["context"], w))), F.size(x["content"]))
 
     # A list of one, so that words are cut and the context is lower-cased once for a row, not once for each word.
-    return F.transform(F.array(F.struct(content_words(answer).alias("content"), F.lower(context).alias("context"))), share)[0]
+    return F.transform(F.array(F.struct(content_words(answer).alias("content"), lowered(context).alias("context"))), share)[0]
 
 
 def relevance(query: Column, answer: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from orefall import config
+from orefall.functions.scores import lowered
 
 
 def any_of(*conditions: Column) -> Column:
@@ -47,8 +48,13 @@ def normalize_query(text: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(text, "(?U)\\s+", " "), "^ | $", ""))
 
 
+def trimmed(text: Column) -> Column:
+    """Without blanks of any script at both ends, as the SQL engine trims."""
+    return F.regexp_replace(text, "^\\p{Zs}+|\\p{Zs}+\\z", "")
+
+
 def is_chatty(query: Column, least: int = 5) -> Column:
-    q = F.lower(F.trim(query))
+    q = lowered(trimmed(query))
     talk = any_of(*[(q == p) | q.startswith(p + " ") for p in config.CHATTY])
     return query.isNull() | (query == "") | (F.length(q) < least) | talk
 

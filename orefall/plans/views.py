@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orefall.functions.scores import content_words
+from orefall.functions.scores import content_words, lowered
 from orefall.operators.evaluation import found_earlier
 
 
@@ -30,7 +30,7 @@ def qa(spark: SparkSession, sf_dir: str, found: bool = False) -> DataFrame:
     c = read(spark, sf_dir, "conversations")
     more = []
     if found:
-        c = c.select("conv_id", "turn", "role", "text", F.lower("text").alias("low"), F.when(F.col("role") == "assistant", content_words(F.col("text"))).alias("wanted"))
+        c = c.select("conv_id", "turn", "role", "text", lowered(F.col("text")).alias("low"), F.when(F.col("role") == "assistant", content_words(F.col("text"))).alias("wanted"))
         c = found_earlier(c.withColumn("content", F.size("wanted")), "conv_id", "turn", "low", "wanted", gap=2)
         more = [F.lead(x).over(Window.partitionBy("conv_id").orderBy("turn")).alias(x) for x in ("content", "found")]
     w = Window.partitionBy("conv_id").orderBy("turn")

@@ -251,6 +251,40 @@ def test_scores_on_a_tie_equal_the_sql(spark, pairs_at_the_tie, name):
     assert not differences(got, wanted)
 
 
+@pytest.fixture(scope="module")
+def odd_pairs(tmp_path_factory):
+    """Conversations with vertical tabs, capitals of odd lower case, and blanks of other scripts around small talk."""
+    pd = pytest.importorskip("pandas")
+    words = [c * 40 for c in "abcdefg"]
+    said = []
+    for i, (before, query, answer) in enumerate(
+        [
+            (words[0], "how does parsing work", "\x0b".join(words)),
+            ("ΑΣΒ " + words[0], "how does ΑΣ parsing work", " ".join([*words, "ΑΣ"])),
+            ("ISTANBUL " + words[0], "İstanbul where is it", " ".join([*words, "istanbul"])),
+            ("def f " + " ".join(words), "\u3000hello my friend of these parts", " ".join(words)),
+            ("def f " + " ".join(words), " ".join(words) + "\u00a0", " ".join(words)),
+        ]
+    ):
+        said += [(7 * i + 1, turn, role, text) for turn, (role, text) in enumerate(zip(("assistant", "user", "assistant"), (before, query, answer), strict=True))]
+    folder = tmp_path_factory.mktemp("odd")
+    pd.DataFrame(said, columns=["conv_id", "turn", "role", "text"]).to_parquet(folder / "conversations.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["offline_gate", "top_issues", "generation_score", "chatty_filter"])
+def test_odd_words_equal_the_sql(spark, odd_pairs, name):
+    duckdb = pytest.importorskip("duckdb")
+    from compare import differences
+
+    from orefall.plans import registry
+
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{odd_pairs}/conversations.parquet')")
+        wanted = c.execute(registry.oracles()[name]).fetchdf()
+    assert not differences(registry.queries()[name](spark, odd_pairs).toPandas(), wanted)
+
+
 @pytest.mark.parametrize("name", ["route_positive", "route_negative"])
 def test_routes_take_in_the_measures_once(spark, sf, name):
     from orefall.plans import registry
