@@ -8,14 +8,14 @@ costs time in proportion to its size, and no pair of a bucket is left out.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orefall.llm.common import maybe_broadcast, shuffle_partitions, store
+from orefall.llm.common import drop_stored, maybe_broadcast, shuffle_partitions, store
 from orefall.llm.components import connected_components
 
 WANTED = 4_000_000  # ids of 8 bytes that go to the texts at once; beyond, the texts are shuffled to the ids
@@ -132,28 +132,48 @@ def _by_cell(rows: DataFrame) -> DataFrame:
     return rows.repartition(shuffle_partitions(rows.sparkSession), "band", "key", "cell").sortWithinPartitions("band", "key", "cell")
 
 
-def _links(cells: DataFrame, texts_of: Callable[[DataFrame], DataFrame], at_least: float, set_of: SetOf, firsts: DataFrame | None) -> DataFrame:
-    """Links (a, b) of cells (band, key, cell, rep, label, probe); with ``firsts``, rows that cannot be alike with any go before texts are moved."""
+def packed_sets(set_of: SetOf):
+    """Texts (rep, text) as their sets, packed: these are much smaller than texts where few words make a member."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [set_of(t).astype("<u8").tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(sets, pa.binary())], names=["rep", "content"])
+
+    return run
+
+
+def unpacked(content: bytes) -> np.ndarray:
+    return np.frombuffer(content, dtype="<u8")
+
+
+def _links(cells: DataFrame, contents_of: Callable[[DataFrame], DataFrame], at_least: float, set_of: SetOf, firsts: DataFrame | None) -> DataFrame:
+    """Links (a, b) of cells (band, key, cell, rep, label, probe); with ``firsts``, rows that cannot be alike with any go before contents (texts or sets) are moved."""
     held = cells.groupBy("band", "key", "cell", "rep").agg(F.min("label").alias("label"), F.max("probe").alias("probe"))
     if firsts is not None:
         rows = held.join(firsts, "rep").select("band", "key", F.col("cell").cast("int").alias("cell"), "rep", "label", "probe", "n", "firsts", F.xxhash64("band", "key").alias("here"), "buckets")
         held = store(_by_cell(rows).mapInArrow(_hopeful(at_least), ROWS), "alike-hopeful")
-    rows = held.join(texts_of(held), "rep").select("band", "key", "cell", "rep", "label", "probe", "text")
+    rows = held.join(contents_of(held), "rep").select("band", "key", "cell", "rep", "label", "probe", "content")
     return store(_by_cell(rows).mapInArrow(_verified(at_least, set_of), "a long, b long"), "alike-links")
 
 
-def alike_components(docs: DataFrame, seen: DataFrame, reps: DataFrame, banded: DataFrame, set_of: SetOf, at_least: float, tile: int = 128, near: DataFrame | None = None, firsts: DataFrame | None = None) -> DataFrame:
+def alike_components(docs: DataFrame, seen: DataFrame, reps: DataFrame, banded: DataFrame, set_of: SetOf, at_least: float, tile: int = 128, near: DataFrame | None = None, firsts: DataFrame | None = None, spent: Sequence[DataFrame] = ()) -> DataFrame:
     """(doc_id, component_id) for each doc_id of ``docs``: sets with a likeness of ``at_least`` link, links chain.
 
     ``seen`` has (doc_id, digest of the set), ``reps`` (digest, rep) the smallest id of each
     digest, ``banded`` (band, key, rep) the buckets in which candidates meet, ``near`` more
     candidates (centre, rep). ``set_of`` gives the sorted set of a text. ``firsts`` (rep, n,
     firsts) may hold the size of each set and marks of its first members in any common order:
-    ints that do not descend, taken without sign. Null and empty texts link with each other. A doc_id with several
-    texts ties them together.
+    ints that do not descend, taken without sign; then sets are moved in place of texts. ``spent`` are stored tables
+    behind these that nothing else reads: they are deleted before any set is compared. Null and empty texts link with
+    each other. A doc_id with several texts ties them together.
     """
     spark = docs.sparkSession
     ties = seen.select("doc_id", "digest").join(reps.select("digest", "rep"), "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    ids = seen.select("doc_id").distinct()
+    if spent:
+        ties = store(ties, "alike-ties")
+        ids = ties.select(F.col("a").alias("doc_id")).distinct()
     sizes = banded.groupBy("band", "key").agg(
         F.count("*").alias("m"), F.min("rep").alias("centre"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")
     )
@@ -164,16 +184,26 @@ def alike_components(docs: DataFrame, seen: DataFrame, reps: DataFrame, banded:
     if firsts is not None:
         met = store(members.select("rep").distinct(), "alike-wanted")
         firsts = store(firsts.join(maybe_broadcast(met, WANTED), "rep", "left_semi"), "alike-firsts")
+    for table in spent:
+        drop_stored(table)
     near = spark.createDataFrame([], "centre long, rep long") if near is None else near
     every = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
 
     def texts_of(rows: DataFrame) -> DataFrame:
         wanted = store(rows.select("rep").distinct(), "alike-wanted")
-        return store(every.join(maybe_broadcast(wanted, WANTED), "rep", "left_semi").dropDuplicates(["rep", "text"]), "alike-texts")
+        return every.join(maybe_broadcast(wanted, WANTED), "rep", "left_semi")
+
+    def sets_of(rows: DataFrame) -> DataFrame:
+        # Dealt by rep, so that the join behind needs no second shuffle.
+        sets = texts_of(rows).mapInArrow(packed_sets(set_of), "rep long, content binary")
+        return sets.repartition(shuffle_partitions(spark), "rep").dropDuplicates(["rep", "content"])
 
     if firsts is None:
         texts = texts_of(members.select("rep").unionByName(near.select("rep")).unionByName(near.select(F.col("centre").alias("rep"))))
-        texts_of = lambda _: texts
+        texts = store(texts.dropDuplicates(["rep", "text"]), "alike-texts").withColumnRenamed("text", "content")
+        contents_of, compared = (lambda _: texts), set_of
+    else:
+        contents_of, compared = sets_of, unpacked
 
     # Each member against the smallest of its bucket.
     pairs = store(members.select("centre", "rep").unionByName(near.select("centre", "rep")).where("rep <> centre").distinct(), "alike-pairs")
@@ -183,7 +213,7 @@ def alike_components(docs: DataFrame, seen: DataFrame, reps: DataFrame, banded:
     cells = dealt.select("band", "key", "cell", "rep", F.col("rep").alias("label"), F.lit(False).alias("probe")).unionByName(
         dealt.select("band", "key", "cell", "centre").distinct().select("band", "key", "cell", F.col("centre").alias("rep"), F.col("centre").alias("label"), F.lit(True).alias("probe"))
     )
-    links = _links(cells, texts_of, at_least, set_of, None if firsts is None else firsts.withColumn("buckets", F.lit(None).cast("array<long>"))).unionByName(ties)
+    links = _links(cells, contents_of, at_least, compared, None if firsts is None else firsts.withColumn("buckets", F.lit(None).cast("array<long>"))).unionByName(ties)
 
     # Those in other components than it, against all of the bucket.
     comps = store(connected_components(links), "alike-components")
@@ -204,7 +234,6 @@ def alike_components(docs: DataFrame, seen: DataFrame, reps: DataFrame, banded:
     asked = asked.select("band", "key", (F.col("probe_part") * F.col("parts") + F.col("j")).alias("cell"), "rep", "label", "probe")
     if firsts is not None:
         firsts = firsts.join(left.groupBy("rep").agg(F.sort_array(F.collect_set(F.xxhash64("band", "key"))).alias("buckets")), "rep")
-    more = _links(shared.unionByName(asked), texts_of, at_least, set_of, firsts)
+    more = _links(shared.unionByName(asked), contents_of, at_least, compared, firsts)
     final = connected_components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    ids = seen.select("doc_id").distinct()
     return ids.join(final, ids["doc_id"] == final["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import threading
 import uuid
 
 import numpy as np
@@ -23,7 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-STORED: list[str] = []  # folders that store has written in this process
+class Stored(threading.local):
+    """Folders that ``store`` has written in this thread, so that no other query's tables are counted."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def __len__(self) -> int:
+        return len(self.paths)
+
+
+STORED = Stored()
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -34,7 +45,7 @@ def store(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    STORED.append(path)
+    STORED.paths.append(path)
     before = spark.conf.get(CLEAN_SHUFFLES, "false")
     spark.conf.set(CLEAN_SHUFFLES, "true")
     try:
@@ -52,12 +63,12 @@ def drop_stored(df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def delete_stored(spark: SparkSession, since: int) -> None:
-    """Delete what ``store`` wrote behind the first ``since`` tables, once nothing reads it any more."""
-    for path in STORED[since:]:
+def delete_stored(spark: SparkSession, since: int, until: int | None = None) -> None:
+    """Delete what ``store`` wrote in this thread behind the first ``since`` tables (up to ``until`` tables), once nothing reads it any more."""
+    for path in STORED.paths[since:until]:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    del STORED[since:]
+    del STORED.paths[since:until]
 
 
 def replayable(df: DataFrame, label: str) -> DataFrame:

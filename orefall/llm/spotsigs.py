@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orefall.llm.alike import alike_components, likeness
-from orefall.llm.common import deal_by_range, shuffle_partitions, store
+from orefall.llm.common import STORED, deal_by_range, delete_stored, shuffle_partitions, store
 from orefall.llm.ranges import Ranges, spread_texts
 
 # Common words of English, German, French and Spanish that anchor signatures.
@@ -140,7 +140,9 @@ def edited_fingerprints(docs: DataFrame, at_least: float = 0.8) -> DataFrame:
             yield flush()
 
     ranges = Ranges.of(docs, halo=True)
-    classes = spotsigs_dedup(docs, at_least).where("component_id <> doc_id")
+    before = len(STORED)
+    classes = store(spotsigs_dedup(docs, at_least).where("component_id <> doc_id"), "spotsigs-classes")
+    delete_stored(docs.sparkSession, before, len(STORED) - 1)  # all that led to the classes, before the texts are dealt
 
     def noted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -186,13 +188,75 @@ def listed_under(sigs: np.ndarray, common: np.ndarray, at_least: float) -> np.nd
     return order[: len(sigs) - math.ceil(at_least * len(sigs) - 1e-9) + 1 if len(sigs) else 0]
 
 
+def some_reach(values: np.ndarray, start: np.ndarray, end: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Whether one of values[start:end] is ``least`` or more, for each range; by maxima of runs whose length doubles."""
+    found, length, span = np.zeros(len(start), bool), end - start, 1
+    top = int(length.max(initial=0))
+    while span <= top:
+        ask = np.flatnonzero((length >= span) & (length < 2 * span))
+        found[ask] = np.maximum(values[start[ask]], values[end[ask] - span]) >= least[ask]
+        values = np.maximum(values[:-span], values[span:])
+        span *= 2
+    return found
+
+
+def partners(key: np.ndarray, n: np.ndarray, place: np.ndarray, at_least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, band) of the rows that have a partner under their key in a length partition, for rows in the order of whole keys.
+
+    ``place`` is the number of members before the key in the common order. In the first bucket
+    that two sets share, all before it is in one of them only, so they have n - place members in
+    common at most, and by that may be alike or not. Each pair that is alike stays in that bucket.
+    """
+    same = np.flatnonzero(key[1:] == key[:-1])
+    rows = np.unique(np.r_[same, same + 1])
+    part = np.floor(np.log(n[rows]) / math.log(1 / at_least)).astype(np.int32)
+    rows, band = np.r_[rows, rows], np.r_[part, part + 1]
+    order = np.lexsort((n[rows], band, key[rows]))
+    rows, band = rows[order], band[order]
+    if not len(rows):
+        return rows, band
+    size, k = n[rows].astype(np.int64), key[rows]
+    most = ((size - place[rows]) * (1 + at_least) / at_least - size + 1e-6).clip(0, 2**31)
+    new = np.r_[True, (k[1:] != k[:-1]) | (band[1:] != band[:-1])]
+    group = np.cumsum(new) - 1
+    at = np.arange(len(rows))
+    end = np.searchsorted((group << 32) + size, (group << 32) + np.floor(most).astype(np.int64), side="right")
+    met = some_reach(most, np.flatnonzero(new)[group], np.minimum(at, end), size) | some_reach(most, at + 1, end, size)
+    return rows[met], band[met]
+
+
+def _met(at_least: float):
+    """Streams rows (key, rep, n, place) sorted by key; puts out (rep, key, band) where there are partners."""
+
+    def found(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        key, rep, n, place = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("key", "rep", "n", "place"))
+        rows, band = partners(key, n, place, at_least)
+        return pa.RecordBatch.from_arrays([pa.array(rep[rows]), pa.array(key[rows]), pa.array(band)], names=["rep", "key", "band"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of the last key, which may go on
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = b.column("key").to_numpy()
+            last = int(np.searchsorted(key, key[-1]))
+            if last:
+                yield found([*held, b.slice(0, last)])
+                held = []
+            held.append(b.slice(last))
+        if held:
+            yield found(held)
+
+    return run
+
+
 def spotsigs_dedup(docs: DataFrame, at_least: float = 0.8, tile: int = 128) -> DataFrame:
     """(doc_id, component_id) for each doc_id: documents whose signature sets have a Jaccard likeness of ``at_least`` link, links chain.
 
     Equal sets are folded first. Two sets that are alike enough share one of the signatures
     that they are listed under, and their lengths lie in the same or neighbouring partitions,
-    so each is listed in its own partition and the next. Signatures that list one set alone
-    are dropped before any set is moved. No pair is lost and none is put out, only spanning
+    so each is listed in its own partition and the next, where its place in the common order
+    leaves it a partner (``partners``). Signatures that list one set alone are dropped before any set is moved. No pair is lost and none is put out, only spanning
     links. Texts without words of any kind share the empty set; rows without doc_id are left out.
     """
     spark = docs.sparkSession
@@ -210,14 +274,12 @@ def spotsigs_dedup(docs: DataFrame, at_least: float = 0.8, tile: int = 128) -> D
 
     seen = store(docs.mapInArrow(run, "doc_id long, digest binary, n int, sigs array<long>"), "spotsigs")
     reps = store(seen.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("sigs").alias("sigs")), "spotsigs-sets")
-    listed = reps.select("rep", "n", F.explode("sigs").alias("key")).repartition(shuffle_partitions(spark), "key")
-    # The condition on n keeps all columns in the shuffle, so that both uses read one.
-    shared_keys = listed.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("r"), F.min("n").alias("n")).where("m > 1 AND r IS NOT NULL AND n > 0").select("key")
-    part = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / at_least)).cast("int")
-    banded = store(listed.join(shared_keys.hint("merge"), "key").select("rep", "key", F.explode(F.array(part, part + 1)).alias("band")), "spotsigs-listed")
+    listed = reps.select("rep", "n", F.posexplode("sigs").alias("place", "key")).select("key", "rep", "n", "place")
+    listed = listed.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
+    banded = store(listed.mapInArrow(_met(at_least), "rep long, key long, band int"), "spotsigs-listed")
     # The upper halves keep the order.
     firsts = reps.select("rep", "n", F.transform("sigs", lambda x: F.shiftright(x, 32).cast("int")).alias("firsts"))
-    return alike_components(docs, seen, reps, banded, signatures_or_none, at_least, tile, firsts=firsts)
+    return alike_components(docs, seen, reps, banded, signatures_or_none, at_least, tile, firsts=firsts, spent=(seen, reps, banded))
 
 
 def signatures_or_none(text: str | None) -> np.ndarray:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import os
 import time
 import zlib
 
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from orefall.llm import alike, components, langid, multiindex, packing, pieces, queries, secrets, shingles, simhash, spotsigs, tokenfiles, toxicity, urlfilter
 from orefall.llm.common import replayable, table
+from orefall.session import shared_dir
 
 BPE, PIECES = queries.tokenizer_path("byte_bpe_50k.json"), queries.tokenizer_path("piece_bpe_32k.model")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, part int, component_id long, score double"
@@ -338,6 +341,40 @@ def test_listing_keeps_a_shared_signature():
             assert np.intersect1d(spotsigs.listed_under(a, common, 0.8), spotsigs.listed_under(b, common, 0.8)).size
 
 
+def test_spotsigs_query_leaves_no_table_of_its_search(spark, sf):
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    rows = queries.op4_spotsigs(spark, sf)
+    left = set(os.listdir(folder)) - before
+    assert [x.rpartition("-")[0][:16] for x in left] == ["spotsigs-classes"], left
+    assert rows.count() == rows.select("doc_id").distinct().count() > 0
+
+
+def test_partners_keep_sets_that_are_alike_in_their_first_bucket():
+    rng = np.random.default_rng(21)
+    common = np.sort(rng.choice(300, 40, replace=False)).astype(np.uint64)
+    sets = [np.unique(rng.choice(300, int(rng.integers(1, 60)), replace=False)).astype(np.uint64) for _ in range(60)]
+    for a in sets[:40]:
+        for share in (0.03, 0.1, 0.2):
+            sets.append(np.unique(np.r_[a[rng.random(len(a)) > share], rng.choice(300, 1)]).astype(np.uint64))
+    listed = [spotsigs.listed_under(x, common, 0.8) for x in sets]
+    rows = sorted((int(k.view(np.int64)), rep, len(sets[rep]), place) for rep, keys in enumerate(listed) for place, k in enumerate(keys))
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["key", "rep", "n", "place"])
+    kept = {}
+    for step in (7, len(rows)):
+        out = [b.to_pylist() for b in spotsigs._met(0.8)(batch(rows[i : i + step]) for i in range(0, len(rows), step))]
+        kept[step] = sorted((r["rep"], r["key"], r["band"]) for b in out for r in b)
+    assert kept[7] == kept[len(rows)] and len(kept[7]) < 2 * len(rows)
+    found, alike_pairs = set(kept[7]), 0
+    part = [int(np.floor(np.log(len(x)) / math.log(1 / 0.8))) for x in sets]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if alike.likeness(a, b) >= 0.8:
+                first, alike_pairs = int(np.intersect1d(listed[i], listed[j])[:1].view(np.int64)[0]), alike_pairs + 1
+                assert all((x, first, band) in found for x in (i, j) for band in {part[i], part[i] + 1} & {part[j], part[j] + 1})
+    assert alike_pairs > 50
+
+
 # --- op5
 
 
